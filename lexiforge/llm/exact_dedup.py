@@ -23,20 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.llm.hashing import mixed
 from lexiforge.llm.storage import lower_ascii, settle, table
 
 #: Distinct digests that one filter and one screening task are sized for.
 DIGESTS_A_BUCKET = 200_000
 
 
-def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit finaliser of keys and seed."""
-    x = keys + np.uint64(seed)
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(33))
-
-
 class FuseFilter:
     """A static 3-wise binary fuse filter with 16-bit fingerprints: no false negatives, about 2^-16 false positives."""
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from lexiforge.llm import exact_dedup, quality_rules, secret_scan, token_counts
+from lexiforge.llm import exact_dedup, jaccard_join, mixing, quality_rules, secret_scan, sentence_pieces, token_counts
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_sentence_pieces": sentence_pieces.op8_sentence_pieces,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 
 ORACLES = {
+    "op1_mixing": mixing.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }
