@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from lexiforge.llm import exact_dedup, jaccard_join, mixing, quality_rules, secret_scan, sentence_pieces, token_counts
+from lexiforge.llm import exact_dedup, html_wrapper, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op6_html_wrapper": html_wrapper.op6_html_wrapper,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_sentence_pieces": sentence_pieces.op8_sentence_pieces,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLES = {
