@@ -1,0 +1,4 @@
+"""All queries of the reference's own operators, with their SQL."""
+
+from lexiforge.plans import catalog, ledger, reconcile, resolution, texts  # noqa: F401
+from lexiforge.plans.registry import ORACLES, QUERIES  # noqa: F401
