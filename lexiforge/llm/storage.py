@@ -1,33 +1,11 @@
-"""Cutting lineage in the shared checkpoint folder, and small checks used by all operators."""
+"""Small helpers that all operators of this subpackage use."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder the session names in ``spark.checkpoint.dir``; make one only where it is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="lexiforge-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-    context.setCheckpointDir(named)
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and continue from a replicated copy in the checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from lexiforge.sources.checkpoints import ensure_checkpoint_dir, settle  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
