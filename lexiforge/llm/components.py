@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.storage import settle
+from lexiforge.llm.storage import ensure_checkpoint_dir, settle
+
+
+class Rounds:
+    """Tables of an iteration, written in the shared checkpoint folder.
+
+    A checkpoint keeps the estimated size of the plan behind it, and from join to
+    join such estimates are multiplied; a table that is read again has its own.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.n = spark, 0
+        self.folder = f"{spark.sparkContext.getCheckpointDir()}/rounds-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Removes the folder; tables read from it must not be needed any more."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,19 +44,19 @@ def components(edges: DataFrame) -> DataFrame:
     rounds grow with the logarithm of the input. Groups are combined before the
     shuffle; joins on a hub are split by adaptive execution.
     """
-    rounds = []
-    edges = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    tables, steps = Rounds(edges.sparkSession), []
+    edges = tables.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     while not edges.isEmpty():
-        order = lambda c, k=len(rounds): F.xxhash64(F.col(c), F.lit(k))
+        order = lambda c, k=len(steps): F.xxhash64(F.col(c), F.lit(k))
         near = edges.groupBy("a").agg(F.min(F.struct(order("b").alias("o"), F.col("b").alias("v"))).alias("near"))
         own = F.struct(order("a").alias("o"), F.col("a").alias("v"))
-        step = settle(near.select(F.col("a").alias("v"), F.least("near", own)["v"].alias("to")))
-        rounds.append(step)
+        step = tables.keep(near.select(F.col("a").alias("v"), F.least("near", own)["v"].alias("to")))
+        steps.append(step)
         moved = edges.join(step.select(F.col("v").alias("a"), F.col("to").alias("a2")), "a").join(step.select(F.col("v").alias("b"), F.col("to").alias("b2")), "b")
-        edges = settle(moved.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
-    if not rounds:
-        return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    labels = rounds[0].select("v", F.col("to").alias("label"))
-    for step in rounds[1:]:
+        edges = tables.keep(moved.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
+    labels = steps[0].select("v", F.col("to").alias("label")) if steps else edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    for step in steps[1:]:
         labels = labels.join(step.select(F.col("v").alias("label"), "to"), "label", "left").select("v", F.coalesce("to", "label").alias("label"))
+    labels = settle(labels)
+    tables.drop()
     return labels
