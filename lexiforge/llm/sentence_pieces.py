@@ -10,9 +10,9 @@ turns markers back and drops the first.
 Scores: a unigram model's own. A byte-pair model has ranks in their place; they
 become log scores by Zipf's law, ``-log((rank + 3) * 10)``.
 
-No piece has a marker after another character (this is checked), so a text is
-cut before its spaces into chunks whose best cuts are independent; chunks are
-remembered within a task.
+No piece has a marker after another character, or a line end (this is checked),
+so a text is cut before its spaces and around line ends into chunks whose best
+cuts are independent; chunks are remembered within a task.
 
 Defined results: null and empty texts have no pieces and decode to an empty
 text. A marker character in a text itself is written in bytes, so decoding gives
@@ -37,8 +37,11 @@ MARKER = "▁"
 #: How far the score of an unknown character is below the least one.
 UNKNOWN_PENALTY = 10.0
 #: Chunks remembered by one worker before the memory is emptied; bounds memory only.
-REMEMBERED_CHUNKS = 300_000
+REMEMBERED_CHUNKS = 400_000
+#: Longer chunks are cut one by one and not remembered.
 REMEMBERED_BYTES = 64
+#: Characters of texts whose new chunks are cut together.
+TOGETHER = 1_500_000
 
 
 #: The check of a slot that no state has.
@@ -88,7 +91,7 @@ class DoubleArrayTrie:
 class PieceModel(dict):
     """Encodes and decodes; as a dict it remembers chunks' pieces as packed 32-bit numbers."""
 
-    CHUNK = re.compile(r" *[^ ]+| +")
+    CHUNK = re.compile(r"\n| *[^ \n]+| +")
 
     def __init__(self, path: str):
         super().__init__()
@@ -101,12 +104,15 @@ class PieceModel(dict):
         if norm.name != "identity" or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not model.trainer_spec.byte_fallback:
             raise ValueError(f"{path}: only models with byte fallback, without normalisation, are handled")
         normal = [i for i, p in enumerate(model.pieces) if p.type == p.NORMAL]
-        if any(MARKER in model.pieces[i].piece.lstrip(MARKER) for i in normal):
+        if any(MARKER in model.pieces[i].piece.lstrip(MARKER) or "\n" in model.pieces[i].piece for i in normal):
             raise ValueError(f"{path}: a piece has white space after other characters")
         ranked = model.trainer_spec.model_type != model.trainer_spec.UNIGRAM
         self.scores = {i: -math.log((k + 3) * 10.0) if ranked else model.pieces[i].score for k, i in enumerate(normal)}
         self.unknown = min(self.scores.values()) - UNKNOWN_PENALTY
         self.trie = DoubleArrayTrie({model.pieces[i].piece.replace(MARKER, " ").encode(): i for i in normal})
+        score = np.zeros(len(model.pieces))
+        score[list(self.scores)] = list(self.scores.values())
+        self.arrays = np.array(self.trie.base), np.array(self.trie.check), np.array(self.trie.value), score
         self.byte_ids = [0] * 256
         self.pieces = [b""] * len(model.pieces)
         for i, p in enumerate(model.pieces):
@@ -149,18 +155,85 @@ class PieceModel(dict):
             n = i
         return found[::-1]
 
+    def best_of_all(self, chunks: list[str]) -> None:
+        """Remembers the best cuts of short chunks; those of one length are cut in step."""
+        data = [c.encode() for c in chunks]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        for n in np.unique(sizes).tolist():
+            which = np.flatnonzero(sizes == n)
+            found, counts, rare = self.in_step(np.frombuffer(b"".join(data[i] for i in which), np.uint8).reshape(-1, n))
+            packed, width = found.tobytes(), 4 * n
+            for k, (i, count, alone) in enumerate(zip(which.tolist(), counts.tolist(), rare.tolist())):
+                self[chunks[i]] = np.array(self.best(data[i]), np.int32).tobytes() if alone else packed[(k + 1) * width - 4 * count : (k + 1) * width]
+
+    def in_step(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of rows of bytes, right-aligned, their numbers, and which rows have unknown characters."""
+        base, check, value, score = self.arrays
+        rows, n = text.shape
+        total = np.full((n + 1, rows), -np.inf)
+        total[0] = 0.0
+        came = np.zeros((n + 1, rows), np.int64)
+        piece = np.zeros((n + 1, rows), np.int32)
+        rare = np.zeros(rows, bool)
+        columns = np.ascontiguousarray(text.T).astype(np.int64)
+        for i in range(n):
+            live = np.flatnonzero(total[i] > -np.inf)
+            if not len(live):
+                continue
+            here, state, own = total[i, live], np.zeros(len(live), np.int64), np.arange(len(live))
+            lead = columns[i, live]
+            width = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+            whole = np.zeros(len(live), bool)
+            for j in range(i, n):
+                after = base[state] + columns[j, live[own]] + 1
+                going = check[after] == state
+                state, own = after[going], own[going]
+                if not len(own):
+                    break
+                ends = value[state]
+                at = ends >= 0
+                if at.any():
+                    ids, o = ends[at], own[at]
+                    whole[o] |= j + 1 == i + width[o]
+                    sums, r = here[o] + score[ids], live[o]
+                    up = sums > total[j + 1, r]
+                    r = r[up]
+                    total[j + 1, r], came[j + 1, r], piece[j + 1, r] = sums[up], i, ids[up]
+            unknown = np.flatnonzero(~whole)
+            if len(unknown):
+                r, end = live[unknown], i + width[unknown]
+                rare[r] = True  # cut one by one, in bytes
+                total[end, r] = np.maximum(total[end, r], here[unknown] + self.unknown)
+        found, counts, at, every = np.zeros((rows, n), np.int32), np.zeros(rows, np.int64), np.full(rows, n), np.arange(rows)
+        while len(every := every[(at[every] > 0) & ~rare[every]]):
+            counts[every] += 1
+            found[every, n - counts[every]] = piece[at[every], every]
+            at[every] = came[at[every], every]
+        return found, counts, rare
+
     def __missing__(self, chunk: str) -> bytes:
-        data = chunk.encode()
-        ids = np.array(self.best(data), np.int32).tobytes()
-        if len(data) <= REMEMBERED_BYTES:
-            if len(self) >= REMEMBERED_CHUNKS:
+        return np.array(self.best(chunk.encode()), np.int32).tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's pieces as packed 32-bit numbers."""
+        found, start = [], 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (stop == start or size < TOGETHER):
+                size += len(texts[stop] or "")
+                stop += 1
+            cut = [self.CHUNK.findall(" " + t) if t else [] for t in texts[start:stop]]
+            new = [c for c in set().union(*cut) if c not in self]
+            if len(self) + len(new) > REMEMBERED_CHUNKS:
                 self.clear()
-            self[chunk] = ids
-        return ids
+                new = set().union(*cut)
+            self.best_of_all([c for c in new if 4 * len(c) <= REMEMBERED_BYTES or len(c.encode()) <= REMEMBERED_BYTES])
+            found += [b"".join(map(self.__getitem__, chunks)) for chunks in cut]
+            start = stop
+        return found
 
     def encode(self, text: str | None) -> bytes:
-        """The text's pieces as packed 32-bit numbers."""
-        return b"".join(map(self.__getitem__, self.CHUNK.findall(" " + text))) if text else b""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -177,7 +250,7 @@ def encoded(text: Column, model_path: str) -> Column:
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         model = piece_model(model_path)
-        found = [model.encode(t.as_py()) for t in texts]
+        found = model.encode_all(texts.to_pylist())
         offsets = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
