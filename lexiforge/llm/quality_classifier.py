@@ -145,9 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary()), pa.array([w.tobytes() for _, w in made], pa.binary()), batch.column(2)], ["id", "ids", "weights", "label"])
 
     def fitted(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("id")
-        made = [(np.frombuffer(i.as_py(), np.int32).astype(np.int64), np.frombuffer(w.as_py(), np.float32)) for i, w in zip(rows["ids"], rows["weights"])]
-        return pa.table({"model": pa.array([train(made, rows["label"].to_numpy()).tobytes()], pa.binary())})
+        # views of the rows' own buffers, in the order of ids: nothing is copied
+        view = lambda column, kind: [np.frombuffer(x.as_buffer(), kind) if len(x.as_buffer()) else np.zeros(0, kind) for x in column]
+        ids, weights, labels = view(rows["ids"], np.int32), view(rows["weights"], np.float32), rows["label"].to_numpy()
+        order = np.argsort(np.array(rows["id"].to_pylist())).tolist()
+        return pa.table({"model": pa.array([train([(ids[i], weights[i]) for i in order], labels[order]).tobytes()], pa.binary())})
 
     sparse_rows = rows.select(F.col("_id").cast("string"), "_text", "_label").mapInArrow(hashed, "id string, ids binary, weights binary, label int")
     model = sparse_rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(fitted, "model binary").first()
