@@ -8,8 +8,9 @@ exact: no link between different sets is lost.
    one class from here on, so exact copies cost one class however many there are.
 2. The classes' shingle hashes are dealt out into buckets of hash space, packed
    in binary columns. Within a bucket, shingles of a single class are dropped:
-   they can't be in any overlap. What is left goes back to the classes; a class
-   of which less than three quarters are left can't link with anything.
+   they can't be in any overlap. What is left goes back to the classes, packed by
+   groups of them; a class of which less than three quarters are left can't link
+   with anything.
 3. Two linked sets have a common shingle among the rarest quarter of either. The
    classes are joined to blocks along these shingles (to the first class of each,
    not pairwise); links exist within blocks only.
@@ -84,8 +85,29 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "s.n", "s.key")
 
 
+BLOB = "keys binary, sizes binary, runs binary, ids binary"
+
+
+def runs_of(values: np.ndarray) -> list[int]:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))).tolist()
+
+
+def blob(keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> dict[str, bytes]:
+    """Shingles in the order of their classes, packed: each class's key and size once, with the number of its shingles."""
+    begins = runs_of(keys)
+    return {"keys": keys[begins].astype(np.int64).tobytes(), "sizes": sizes[begins].astype(np.uint32).tobytes(), "runs": np.diff(begins, append=len(ids)).astype(np.uint32).tobytes() if begins else b"", "ids": pack(ids)}
+
+
+def unblob(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, sizes, ids) of each shingle of all blobs."""
+    read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in rows[name]]
+    runs = np.concatenate(read("runs", np.uint32))
+    return np.repeat(np.concatenate(read("keys", np.int64)), runs), np.repeat(np.concatenate(read("sizes", np.uint32)), runs), np.concatenate([unpack(x.as_py()) for x in rows["ids"]])
+
+
 def dealt(docs: DataFrame, text_col: str, n_buckets: int) -> DataFrame:
-    """(bucket, keys, runs, ids): the shingles of each bucket of hash space, from many texts at a time."""
+    """(bucket, blob): the shingles of each bucket of hash space, from many texts at a time."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,77 +116,74 @@ def dealt(docs: DataFrame, text_col: str, n_buckets: int) -> DataFrame:
                 if not classes:
                     continue
                 keys = np.fromiter(classes, np.int64, len(classes))
+                sizes = np.array([len(s) for s in classes.values()], np.uint32)
                 ids = np.concatenate(list(classes.values())) >> np.uint64(16)
-                owner = np.repeat(np.arange(len(keys)), [len(s) for s in classes.values()])
+                owner = np.repeat(np.arange(len(keys)), sizes)
                 bucket = (ids * np.uint64(n_buckets)) >> np.uint64(48)
                 order = np.argsort(bucket.astype(np.uint32), kind="stable")
                 ids, owner, bucket = ids[order], owner[order], bucket[order]
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                out = {"bucket": [], "keys": [], "runs": [], "ids": []}
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
-                    own = owner[a:b]
-                    begins = np.flatnonzero(np.diff(own, prepend=-1))
-                    out["bucket"].append(int(bucket[a]))
-                    out["keys"].append(keys[own[begins]].tobytes())
-                    out["runs"].append(np.diff(begins, append=b - a).astype(np.uint32).tobytes())
-                    out["ids"].append(pack(ids[a:b]))
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("runs", pa.binary()), ("ids", pa.binary())]))
-
-    return docs.select(text_col).mapInArrow(deal, "bucket int, keys binary, runs binary, ids binary")
+                begins = runs_of(bucket)
+                out = [{"bucket": int(bucket[a])} | blob(keys[owner[a:b]], sizes[owner[a:b]], ids[a:b]) for a, b in zip(begins, [*begins[1:], len(ids)])]
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "sizes", "runs", "ids"))]))
 
+    return docs.select(text_col).mapInArrow(deal, f"bucket int, {BLOB}")
 
-SHARED = pa.schema([("key", pa.int64()), ("m", pa.int64()), ("ids", pa.binary()), ("df", pa.binary())])
 
+def shared_shingles(blobs: DataFrame, n_groups: int) -> DataFrame:
+    """(group, blob, df): the shingles that two classes or more have, and how many have them, dealt by groups of classes.
 
-def shared_shingles(blobs: DataFrame) -> DataFrame:
-    """(key, m, ids, df): of each class and bucket, the shingles that other classes have too, and how many have them."""
+    A bucket gives one row to each group of classes, not to each class.
+    """
 
     def keep(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        ids = np.concatenate([unpack(x.as_py()) for x in rows["ids"]])
-        keys = np.concatenate([np.repeat(np.frombuffer(k.as_py(), np.int64), np.frombuffer(r.as_py(), np.uint32)) for k, r in zip(rows["keys"], rows["runs"])])
+        keys, sizes, ids = unblob(rows)
         order = np.argsort(ids, kind="stable")
-        ids, keys = ids[order], keys[order]
+        keys, sizes, ids = keys[order], sizes[order], ids[order]
         same = ids[1:] == ids[:-1]
         twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        ids, keys = ids[twice], keys[twice]
+        keys, sizes, ids = keys[twice], sizes[twice], ids[twice]
         order = np.lexsort((keys, ids))
-        ids, keys = ids[order], keys[order]
+        keys, sizes, ids = keys[order], sizes[order], ids[order]
         new = np.ones(len(ids), bool)
         new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])  # a class may come from several tasks
-        ids, keys = ids[new], keys[new]
-        begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(ids)), bool), ids[1:] != ids[:-1])))
-        df = np.repeat(np.diff(begins, append=len(ids)), np.diff(begins, append=len(ids)))
-        ids, keys, df = ids[df > 1], keys[df > 1], df[df > 1]
-        order = np.argsort(keys, kind="stable")
-        ids, keys, df = ids[order], keys[order], df[order].astype(np.uint32)
-        begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))).tolist()
-        out = {"key": keys[begins], "m": np.diff(begins, append=len(keys)).astype(np.int64) if begins else np.zeros(0, np.int64), "ids": [], "df": []}
-        for a, b in zip(begins, [*begins[1:], len(keys)]):
-            out["ids"].append(pack(ids[a:b]))
-            out["df"].append(df[a:b].tobytes())
-        return pa.table(out, SHARED)
+        keys, sizes, ids = keys[new], sizes[new], ids[new]
+        have = np.diff(runs_of(ids), append=len(ids)) if len(ids) else np.zeros(0, np.int64)
+        df = np.repeat(have, have)
+        keys, sizes, ids, df = keys[df > 1], sizes[df > 1], ids[df > 1], df[df > 1].astype(np.uint32)
+        group = (keys.astype(np.uint64) % np.uint64(n_groups)).astype(np.int64)
+        order = np.lexsort((keys, group))
+        keys, sizes, ids, df, group = keys[order], sizes[order], ids[order], df[order], group[order]
+        begins = runs_of(group)
+        out = [{"group": int(group[a])} | blob(keys[a:b], sizes[a:b], ids[a:b]) | {"df": df[a:b].tobytes()} for a, b in zip(begins, [*begins[1:], len(ids)])]
+        return pa.Table.from_pylist(out, pa.schema([("group", pa.int32()), *((c, pa.binary()) for c in ("keys", "sizes", "runs", "ids", "df"))]))
 
-    return blobs.groupBy("bucket").applyInArrow(keep, "key long, m long, ids binary, df binary")
+    return blobs.groupBy("bucket").applyInArrow(keep, f"group int, {BLOB}, df binary")
 
 
-def candidates(shared: DataFrame, classes: DataFrame) -> DataFrame:
+def candidates(shared: DataFrame) -> DataFrame:
     """(key, n, ids, prefix): classes that may link; their shared shingles in order; the rarest of them that a partner must meet."""
 
-    @F.arrow_udf("ids binary, prefix array<long>")
-    def gathered(n: pa.Array, parts: pa.Array) -> pa.Array:
-        out = []
-        for size, blobs in zip(n.to_pylist(), parts.to_pylist()):
-            ids = np.concatenate([unpack(p["ids"]) for p in blobs])
-            df = np.concatenate([np.frombuffer(p["df"], np.uint32) for p in blobs])
+    def gather(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        keys, sizes, ids = unblob(rows)
+        df = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows["df"]])
+        order = np.argsort(keys, kind="stable")
+        keys, sizes, ids, df = keys[order], sizes[order], ids[order], df[order]
+        out = {"key": [], "n": [], "ids": [], "prefix": []}
+        begins = runs_of(keys)
+        for a, b in zip(begins, [*begins[1:], len(keys)]):
+            size, m = int(sizes[a]), b - a
+            if NEED[1] * m < NEED[0] * size:
+                continue
             least = -(-NEED[0] * size // NEED[1])  # no partner has fewer in common
-            length = size - least + 1 - (size - len(ids))  # the shingles of this class alone come first
-            rarest = np.lexsort((ids, df))[: max(0, length)]
-            out.append({"ids": pack(np.sort(ids)), "prefix": ids[rarest].astype(np.int64).tolist()})
-        return pa.array(out, pa.struct([("ids", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
+            length = size - least + 1 - (size - m)  # the shingles of this class alone come first
+            rarest = np.lexsort((ids[a:b], df[a:b]))[: max(0, length)]
+            out["key"].append(int(keys[a]))
+            out["n"].append(size)
+            out["ids"].append(pack(np.sort(ids[a:b])))
+            out["prefix"].append(ids[a:b][rarest].astype(np.int64))
+        return pa.table(out, pa.schema([("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
 
-    grouped = shared.groupBy("key").agg(F.sum("m").alias("m"), F.collect_list(F.struct("ids", "df")).alias("parts"))
-    may = grouped.join(classes.select("key", "n"), "key").where(NEED[1] * F.col("m") >= NEED[0] * F.col("n"))
-    return may.select("key", "n", gathered("n", "parts").alias("g")).select("key", "n", "g.ids", "g.prefix")
+    return shared.groupBy("group").applyInArrow(gather, "key long, n long, ids binary, prefix array<long>")
 
 
 def in_blocks(sets: DataFrame) -> DataFrame:
@@ -268,8 +287,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = settle(measured(docs, id_col, text_col))
     classes = settle(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("first"), F.max("n").alias("n")))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blobs = dealt(docs, text_col, max(1, -(-total // BUCKET_SHINGLES)))
-    sets = settle(candidates(shared_shingles(blobs), classes))
+    buckets = max(1, -(-total // BUCKET_SHINGLES))
+    sets = settle(candidates(shared_shingles(dealt(docs, text_col, buckets), 2 * buckets)))
     found = components(link_edges(in_blocks(sets)))
     joined = classes.join(found, classes.key == found.v)
     least = joined.groupBy("label").agg(F.min("first").alias("component"))
