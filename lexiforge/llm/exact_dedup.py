@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.llm.hashing import mixed
-from lexiforge.llm.storage import lower_ascii, settle, table
+from lexiforge.llm.storage import lower_ascii, settle, table, unused
 
 #: Distinct digests that one filter and one screening task are sized for.
 DIGESTS_A_BUCKET = 200_000
@@ -176,11 +176,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = exact_groups(docs, older_half(docs, id_col), id_col, text_col)
     # the id is part of the key, so that the rows of a large group spread over all tasks
     as_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    kept = groups.where("kept").select(as_key("id").alias("_id"), F.col("digest").alias("_digest"))
+    id_, digest = unused(docs, "_id"), unused(docs, "_digest")
+    kept = groups.where("kept").select(as_key("id").alias(id_), F.col("digest").alias(digest))
     text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumns({"_digest": F.unhex(F.sha2(text, 256)), "_id": as_key(id_col)})
-    rows = keyed.join(kept, ["_digest", "_id"], "left_semi")
-    return rows.dropDuplicates(["_digest", "_id"]).drop("_digest", "_id")
+    keyed = docs.withColumns({digest: F.unhex(F.sha2(text, 256)), id_: as_key(id_col)})
+    rows = keyed.join(kept, [digest, id_], "left_semi")
+    return rows.dropDuplicates([digest, id_]).drop(digest, id_)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

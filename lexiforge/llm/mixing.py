@@ -104,7 +104,8 @@ def dimensions_named(docs: DataFrame) -> DataFrame:
 
 def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sampled rows of ``docs``, as they were."""
-    keyed = docs.select("*", F.struct(*docs.columns).alias("_row"))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"))
+    keyed = packed.select("_row", *[F.col("_row")[c].alias(c) for c in (id_col, text_col, "source", "lang")])
     named = dimensions_named(with_topics(keyed, text_col))
     counted = settle(named.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n_tokens")))
     return mix(named, counted, id_col).where("sampled").select("_row.*")

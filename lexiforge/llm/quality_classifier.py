@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model from a bounded sample of the labelled rows that are not held out."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).where(~held_out(F.col(id_col)))
     sample = settle(usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(TRAINING_ROWS))
-    rows = docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select("_id", F.col(text_col).alias("_text"), "_label")
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_text", "_label")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.storage import table
+from lexiforge.llm.storage import settle, table, unused
 
 #: Words are runs of other characters than space and \\x09-\\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,8 +65,9 @@ def repeated_words(words: Column, n: Column) -> Column:
 def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    words, n = F.col("_words"), F.size("_words")
+    own = unused(docs, "_words")
+    split = docs.withColumn(own, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    words, n = F.col(own), F.size(own)
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
     counted = split.withColumns(
         {
@@ -77,7 +78,7 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_repeat_words": repeated_words(words, n),
         }
     )
-    return counted.drop("_words")
+    return counted.drop(own)
 
 
 def base_failed() -> Column:
@@ -103,17 +104,16 @@ def host_verdicts(judged: DataFrame, host: Column) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``docs`` with the counts, ``base_failed``, ``host_rate`` and ``kept``."""
+    """``docs`` with the counts, ``base_failed``, ``host_rate`` and ``kept``; these replace columns of the same names."""
     judged = text_counts(docs, text_col).withColumn("base_failed", base_failed())
-    hosts = host_verdicts(judged, F.col(host_col))
-    joined = judged.join(hosts, F.col(host_col).eqNullSafe(F.col("host")), "left").drop("host")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_kept")).drop("host_kept")
+    host, rate, kept = (unused(judged, f"_{c}") for c in ("host", "rate", "kept"))
+    hosts = host_verdicts(judged, F.col(host_col)).toDF(host, rate, kept)
+    joined = judged.join(hosts, F.col(host_col).eqNullSafe(F.col(host)), "left")
+    return joined.withColumns({"host_rate": F.col(rate), "kept": ~F.col("base_failed") & F.col(kept)}).drop(host, rate, kept)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    from lexiforge.llm.storage import settle
-
     # the counts are used twice (by host, by document): they are computed once
     judged = settle(text_counts(docs).drop("text").withColumn("base_failed", base_failed()))
     hosts = host_verdicts(judged, F.col("source"))
