@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from lexiforge.llm.storage import settle, table
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Targets are the present shares to this power: large categories give to small ones.
-TEMPERATURE = 0.7
+#: Unless given, targets are the present shares to this power: large categories
+#: give to small ones. The further from 1, the fewer documents the sample has.
+TEMPERATURE = 0.9
 TOLERANCE = 1e-12
 ROUNDS_A_JOB = 3
 MAX_ROUNDS = 60
@@ -90,9 +91,9 @@ def calibrated(counted: DataFrame, targets: dict[str, DataFrame] | None = None)
     return settle(scaled.withColumn("probability", F.least(F.lit(1.0), F.col("factor") / F.max("factor").over(Window.partitionBy(F.lit(1))))).select(*DIMENSIONS, "weight", "probability"))
 
 
-def mix(docs: DataFrame, counted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, counted: DataFrame, id_col: str = "doc_id", targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """``docs`` (with the dimensions, nulls replaced) and weight, probability and ``sampled``."""
-    cells = calibrated(counted)
+    cells = calibrated(counted, targets)
     if cells.count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
     return docs.join(cells, [*DIMENSIONS]).withColumn("sampled", chance(F.col(id_col)) < F.col("probability"))
@@ -102,13 +103,13 @@ def dimensions_named(docs: DataFrame) -> DataFrame:
     return docs.withColumns({d: F.coalesce(F.col(d), F.lit("(none)")) for d in ("source", "lang")})
 
 
-def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The sampled rows of ``docs``, as they were."""
+def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The sampled rows of ``docs``, as they were; targets: of each dimension (category, ``target``)."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"))
     keyed = packed.select("_row", *[F.col("_row")[c].alias(c) for c in (id_col, text_col, "source", "lang")])
     named = dimensions_named(with_topics(keyed, text_col))
     counted = settle(named.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n_tokens")))
-    return mix(named, counted, id_col).where("sampled").select("_row.*")
+    return mix(named, counted, id_col, targets).where("sampled").select("_row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
