@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +122,7 @@ class PieceModel(dict):
                 self.pieces[i] = bytes([int(p.piece[1:-1], 16)])
             elif p.type == p.NORMAL:
                 self.pieces[i] = p.piece.replace(MARKER, " ").encode()
+        self.piece_table = pa.array(self.pieces, pa.large_binary())
 
     def best(self, data: bytes) -> list[int]:
         """The pieces of the best cut of a chunk, whose markers are spaces."""
@@ -238,6 +240,24 @@ class PieceModel(dict):
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """Each list's text; the pieces of all lists, one after the other, are already the bytes of all texts."""
+        ids = lists.flatten()
+        if not len(ids):
+            return pa.array([""] * len(lists), pa.string())
+        last = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        pieces = self.piece_table.take(ids)
+        _, offsets, data = pieces.buffers()
+        bounds = np.frombuffer(offsets, np.int64, len(ids) + 1)[np.concatenate(([0], last))]
+        filled = bounds[1:] > bounds[:-1]
+        plain = np.delete(np.frombuffer(data, np.uint8, bounds[-1]), bounds[:-1][filled])  # without the markers in front
+        bounds = bounds - np.concatenate(([0], np.cumsum(filled)))
+        texts = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(bounds), pa.py_buffer(plain)])
+        try:
+            return texts.cast(pa.string())
+        except pa.ArrowInvalid:  # lists that no text gave
+            return pa.array((self.decode(x.values.to_pylist()) if x.is_valid else "" for x in lists), pa.string())
+
 
 @lru_cache(maxsize=2)
 def piece_model(path: str) -> PieceModel:
@@ -262,8 +282,7 @@ def decoded(ids: Column, model_path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
-        model = piece_model(model_path)
-        return pa.array((model.decode(x.values.to_pylist()) if x.is_valid else "" for x in lists), pa.string())
+        return piece_model(model_path).decode_all(lists)
 
     return decode(ids)
 
