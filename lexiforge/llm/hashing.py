@@ -41,8 +41,8 @@ class Powers:
 POWERS = Powers()
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, offsets) of runs of texts of about BLOCK_BYTES; null texts are empty."""
+def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of runs of texts of about ``size`` bytes; null texts are empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
@@ -50,7 +50,7 @@ def blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     start = 0
     while start < len(texts):
-        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BLOCK_BYTES, "right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
         yield data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start]
         start = stop
 

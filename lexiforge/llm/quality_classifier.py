@@ -36,7 +36,9 @@ SIZES = (2, 3, 4)
 REPEATED = 17
 VECTOR = 8
 #: Labelled documents that the classifier is fitted on, at most.
-TRAINING_ROWS = 4000
+TRAINING_ROWS = 2000
+#: Bytes of text whose features are held at a time.
+BLOCK = 1 << 19
 EPOCHS = 12
 RATE = 0.3
 FOLDS = 5
@@ -45,7 +47,7 @@ THRESHOLD = 0.3
 
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For blocks of texts: the bucket of every feature, one kind after the other, as (buckets, starts, stops) with each text's slice."""
-    for data, offsets in blocks(texts):
+    for data, offsets in blocks(texts, BLOCK):
         words, counts = word_hashes(data, offsets)
         ends = np.cumsum(counts)
         yield (mixed(words, 31) & np.uint64(BUCKETS - 1)).astype(np.int64), ends - counts, ends
@@ -142,12 +144,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = list(sparse(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary()), pa.array([w.tobytes() for _, w in made], pa.binary()), batch.column(2)], ["id", "ids", "weights", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.uint16).tobytes() for i, _ in made], pa.binary()), pa.array([w.tobytes() for _, w in made], pa.binary()), batch.column(2)], ["id", "ids", "weights", "label"])
 
     def fitted(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         # views of the rows' own buffers, in the order of ids: nothing is copied
         view = lambda column, kind: [np.frombuffer(x.as_buffer(), kind) if len(x.as_buffer()) else np.zeros(0, kind) for x in column]
-        ids, weights, labels = view(rows["ids"], np.int32), view(rows["weights"], np.float32), rows["label"].to_numpy()
+        ids, weights, labels = view(rows["ids"], np.uint16), view(rows["weights"], np.float32), rows["label"].to_numpy()
         order = np.argsort(np.array(rows["id"].to_pylist())).tolist()
         return pa.table({"model": pa.array([train([(ids[i], weights[i]) for i in order], labels[order]).tobytes()], pa.binary())})
 
