@@ -9,6 +9,13 @@ side only become optional, equal neighbours become a repeated group, and texts
 that differ become slots. Wrappers are merged within each task, then for salted
 parts of a host, then for the host, so no task sees all pages of a large one.
 
+Some elements are never part of the article by their tag. Of those that only have
+a class, id or role that sounds so, the wrapper tells which are: items of text that
+is the same on all pages or mostly links are, items with most of the host's varying
+text are not. What holds an ``article`` or ``main`` element is lifted for that
+element: forms always, others unless the whole class is a plain word for comments,
+adverts, sidebars and the like.
+
 The wrapper tells where the article is: its ``article`` or ``main`` items, else
 the item whose slots hold most varying text outside links. Each page is then read
 again, and the texts of that item are its main text, without menus, page headers,
@@ -22,10 +29,12 @@ give equal texts. Other columns pass. Whole pages are read, however long.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,14 +55,39 @@ SCOPES = frozenset("html body article main section table nav aside header footer
 #: Never part of the article.
 OUTSIDE = frozenset("head script style title noscript template iframe noframes nav footer aside form button select textarea dialog menu svg object video audio canvas xmp".split())
 OUTSIDE_WORDS = frozenset("ad ads adslot advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: Of these, words that article text has as well.
+AMBIGUOUS_WORDS = frozenset("banner footer masthead modal notice notification popup related respond replies toolbar widget".split())
+#: Parts that may follow another word of OUTSIDE_WORDS without making it another thing.
+STRUCTURE_WORDS = frozenset("area author bar block body bottom box button buttons container content footer form header icon icons inner item items left level link links list main meta outer panel primary right row section slot text title top unit wrap wrapper".split())
+#: Elements that hold the article on some pages though their tag says otherwise.
+LIFTED = frozenset(["form"])
+#: How much a label sounds like boilerplate.
+PLAIN, COMPOUND, AMBIGUOUS, SURE = range(4)
 #: Salted parts that a host's wrappers are merged in first.
 PARTS = 32
 #: Hosts up to which the chosen items are broadcast; beyond, they are joined by shuffle.
 BROADCAST_HOSTS = 20_000
 
 
+@lru_cache(maxsize=65536)
+def suspicion(label: str) -> int:
+    """SURE if a whole class, id or role is a word for boilerplate, AMBIGUOUS if the word has other uses, COMPOUND if it is only a part."""
+    name, *words = label.split(".")
+    most = PLAIN
+    for word in words if name not in ("html", "body") else ():
+        parts = [p for p in re.split(r"[-_:]+", word) if p]
+        if not OUTSIDE_WORDS.intersection(parts):
+            continue
+        if parts[0] in OUTSIDE_WORDS and all(p in STRUCTURE_WORDS or p in OUTSIDE_WORDS for p in parts[1:]):
+            sure = any(p in OUTSIDE_WORDS and p not in AMBIGUOUS_WORDS for p in parts)
+            most = max(most, SURE if sure else AMBIGUOUS if len(parts) == 1 else COMPOUND)
+        else:
+            most = max(most, COMPOUND)
+    return most
+
+
 class Element:
-    __slots__ = ("name", "label", "outside")
+    __slots__ = ("name", "label", "outside", "article", "suspect")
 
     def __init__(self, name: str, attributes: str):
         self.name, words = name, []
@@ -63,8 +97,24 @@ class Element:
             if key.lower() == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search"):
                 words.append("nav")
         self.label = ".".join([name, *sorted({w for w in words if w})])
-        parts = {p for w in words for p in re.split(r"[-_:]+", w)}
-        self.outside = name in OUTSIDE or bool(parts & OUTSIDE_WORDS) and name not in ("html", "body", "article", "main")
+        self.outside = name in OUTSIDE
+        self.article = name in ("article", "main") or "articlebody" in words
+        self.suspect = suspicion(self.label) if words else PLAIN
+
+
+def excluded(stack: list[Element], out: frozenset[str] | None) -> bool:
+    """Is text below ``stack`` no part of an article? ``out`` are the host's boilerplate labels; None: only tags count."""
+    no = hard = False
+    for e in stack:
+        if e.outside:
+            no = True
+            hard |= e.name not in LIFTED
+        elif out is not None and e.suspect and (e.label in out or e.suspect == SURE and e.name in INLINE):
+            no = True
+            hard |= e.suspect == SURE
+        elif e.article and not hard:
+            no = False
+    return no
 
 
 def read(page: str, text: Callable[[list[Element], str], None], block: Callable[[list[Element]], None], start: Callable[[list[Element]], None] | None = None) -> None:
@@ -120,13 +170,13 @@ def spaced(text: str) -> str:
     return " ".join(html_.unescape(text).split())
 
 
-# A wrapper item: [label, optional, repeated, varying characters, fixed text or None, children]
-LABEL, OPTIONAL, REPEATED, CHARS, FIXED, CHILDREN = range(6)
+# A wrapper item: [label, optional, repeated, characters outside links, hash of the fixed text or None, children, characters of links, elements]
+LABEL, OPTIONAL, REPEATED, CHARS, FIXED, CHILDREN, LINKS, COUNT = range(8)
 
 
 def page_items(page: str) -> list:
     """A page as a wrapper of its own: the root item."""
-    root = ["", False, False, 0, "", []]
+    root = ["", False, False, 0, "", [], 0, 1]
     open_: list[tuple[Element | None, list]] = [(None, root)]
 
     def align_with(stack: list[Element]) -> None:
@@ -136,40 +186,48 @@ def page_items(page: str) -> list:
             keep += 1
         del open_[keep + 1 :]
         for e in blocks[keep:]:
-            item = [e.label, False, False, 0, "", []]
+            item = [e.label, False, False, 0, "", [], 0, 1]
             open_[-1][1][CHILDREN].append(item)
             open_.append((e, item))
 
     def text(stack: list[Element], run: str) -> None:
-        if any(e.outside for e in stack):
+        if excluded(stack, None):
             return
         run = spaced(run)
-        if run and not any(e.name == "a" for e in stack):
+        if run:
             align_with(stack)
             item = open_[-1][1]
-            item[FIXED] = (item[FIXED] + " " + run).strip()
+            if any(e.name == "a" for e in stack):
+                item[LINKS] += len(run)
+            else:
+                item[FIXED] = (item[FIXED] + " " + run).strip()
 
     read(page, text, lambda stack: None, align_with)
     return fold(root)
 
 
 def fold(item: list) -> list:
-    """Equal neighbours become one repeated item; texts become their length and, as long as they are fixed, themselves."""
+    """Equal neighbours become one repeated item; texts become their length and a hash of all of them."""
     children: list = []
     for child in map(fold, item[CHILDREN]):
         if children and children[-1][LABEL] == child[LABEL]:
+            both = digest(f"{children[-1][FIXED]} {child[FIXED]}") if children[-1][FIXED] or child[FIXED] else ""
             children[-1] = merge(children[-1], child)
-            children[-1][REPEATED] = True
+            children[-1][REPEATED], children[-1][FIXED] = True, both
         else:
             children.append(child)
     text = item[FIXED] or ""
-    return [item[LABEL], item[OPTIONAL], item[REPEATED], len(text), text[:200], children]
+    return [item[LABEL], item[OPTIONAL], item[REPEATED], len(text), digest(text) if text else "", children, item[LINKS], 1]
+
+
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
 def merge(a: list, b: list) -> list:
     """The wrapper of both items' streams."""
     fixed = a[FIXED] if a[FIXED] == b[FIXED] else None
-    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], a[CHARS] + b[CHARS], fixed, aligned(a[CHILDREN], b[CHILDREN])]
+    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], a[CHARS] + b[CHARS], fixed, aligned(a[CHILDREN], b[CHILDREN]), a[LINKS] + b[LINKS], a[COUNT] + b[COUNT]]
 
 
 def aligned(a: list, b: list) -> list:
@@ -199,6 +257,48 @@ def aligned(a: list, b: list) -> list:
     return out
 
 
+def sums(item: list) -> tuple[int, int, int]:
+    """Of an item with all below it: characters outside links, those of them that vary between pages, characters of links."""
+    chars, varying, links = item[CHARS], item[CHARS] if item[FIXED] is None else 0, item[LINKS]
+    for child in item[CHILDREN]:
+        c, v, k = sums(child)
+        chars, varying, links = chars + c, varying + v, links + k
+    return chars, varying, links
+
+
+def boilerplate(wrapper: list) -> list[str]:
+    """Labels that sound like boilerplate and are, as far as the host's pages tell."""
+    all_varying = sums(wrapper)[1]
+    of: dict[str, list[int]] = {}
+
+    def visit(item: list, above: tuple[str, ...]) -> None:
+        if suspicion(item[LABEL]) and item[LABEL] not in above:
+            total = of.setdefault(item[LABEL], [0, 0, 0, 0])
+            for i, x in enumerate((*sums(item), item[COUNT])):
+                total[i] += x
+            above = (*above, item[LABEL])
+        for child in item[CHILDREN]:
+            visit(child, above)
+
+    visit(wrapper, ())
+    out = []
+    for label, (chars, varying, links, count) in of.items():
+        kind = suspicion(label)
+        if links > chars:
+            no = True
+        elif 2 * varying > all_varying:
+            no = False
+        elif kind == SURE:
+            no = True
+        elif count == 1:  # nothing to compare with
+            no = kind == AMBIGUOUS
+        else:
+            no = varying == 0
+        if no and not (kind < SURE and label.split(".")[0] in ("article", "main")):
+            out.append(label)
+    return sorted(out)
+
+
 def article_labels(wrapper: list) -> list[str]:
     """Labels of the items that may hold the article, the best first."""
     named, main, weight = set(), set(), {}
@@ -220,8 +320,8 @@ def article_labels(wrapper: list) -> list[str]:
     return list(dict.fromkeys([*sorted(named), *sorted(main), *rest[:3]]))
 
 
-def main_text(page: str | None, labels: list[str]) -> str:
-    """The blocks of the first of ``labels`` that the page has, else of its body."""
+def main_text(page: str | None, labels: list[str], out: frozenset[str] | None = frozenset()) -> str:
+    """The blocks of the first of ``labels`` that the page has, else of its body, without those of ``out``."""
     if not page:
         return ""
     found: dict[str, list[str]] = {label: [] for label in labels}
@@ -230,10 +330,7 @@ def main_text(page: str | None, labels: list[str]) -> str:
     where: list[set[str]] = [set()]
 
     def text(stack: list[Element], piece: str) -> None:
-        outside = False
-        for e in stack:
-            outside |= e.outside
-        if not outside:
+        if not excluded(stack, out):
             if not run:
                 where[0] = {e.label for e in stack}
             run.append(piece)
@@ -249,9 +346,17 @@ def main_text(page: str | None, labels: list[str]) -> str:
 
     read(page, text, block)
     block([])
+    if not everything and out is not None:  # no class word empties a page
+        return main_text(page, labels, None)
     return "\n\n".join(next((found[label] for label in labels if found[label]), everything))
 
 
+@lru_cache(maxsize=1024)
+def plan_of(plan: str | None) -> tuple[list[str], frozenset[str]]:
+    labels, out = json.loads(plan) if plan else ([], [])
+    return labels, frozenset(out)
+
+
 def merged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     wrapper = None
     for one in sorted(rows["wrapper"].to_pylist()):
@@ -280,20 +385,20 @@ def host_wrappers(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with the main text of each."""
 
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf("string")
     def chosen(wrappers: pa.Array) -> pa.Array:
-        return pa.array([article_labels(json.loads(w.as_py())) for w in wrappers], pa.list_(pa.string()))
+        return pa.array([json.dumps([article_labels(w), boilerplate(w)]) for w in map(json.loads, wrappers.to_pylist())], pa.string())
 
     @F.arrow_udf("string")
-    def extracted(html: pa.Array, labels: pa.Array) -> pa.Array:
-        return pa.array((main_text(h.as_py(), own.as_py() or []) for h, own in zip(html, labels)), pa.string())
+    def extracted(html: pa.Array, plans: pa.Array) -> pa.Array:
+        return pa.array((main_text(h.as_py(), *plan_of(p.as_py())) for h, p in zip(html, plans)), pa.string())
 
     host = host_and_path(F.col(url_col))[0]
-    hosts = settle(host_wrappers(pages, host, html_col).select(F.col("host").alias("_host"), chosen("wrapper").alias("_labels")))
+    hosts = settle(host_wrappers(pages, host, html_col).select(F.col("host").alias("_host"), chosen("wrapper").alias("_plan")))
     if hosts.count() <= BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
     joined = pages.withColumn("_page_host", host).join(hosts, F.col("_page_host") == F.col("_host"), "left")
-    return joined.withColumn(text_col, extracted(html_col, "_labels")).drop("_page_host", "_host", "_labels")
+    return joined.withColumn(text_col, extracted(html_col, "_plan")).drop("_page_host", "_host", "_plan")
 
 
 def op6_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
