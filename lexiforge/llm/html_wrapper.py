@@ -16,9 +16,11 @@ text are not. What holds an ``article`` or ``main`` element is lifted for that
 element: forms always, others unless the whole class is a plain word for comments,
 adverts, sidebars and the like.
 
-The wrapper tells where the article is: its ``article`` or ``main`` items, else
-the item whose slots hold most varying text outside links. Each page is then read
-again, and the texts of that item are its main text, without menus, page headers,
+The wrapper tells where the article is. All items are ranked by the varying text of
+their slots and repeats outside links; ``article`` items lead if they hold a quarter
+of the host's or more, then ``main`` items. Article items that are mostly links, or
+are short and repeat beside a longer one, are teasers. Each page is then read again,
+and the texts of all its article items, or of the best other item, are its main text, without menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
 Defined results: null and empty pages have an empty text; URLs without a host
@@ -109,7 +111,7 @@ def excluded(stack: list[Element], out: frozenset[str] | None) -> bool:
         if e.outside:
             no = True
             hard |= e.name not in LIFTED
-        elif out is not None and e.suspect and (e.label in out or e.suspect == SURE and e.name in INLINE):
+        elif out is not None and (e.label in out or e.suspect == SURE and e.name in INLINE):
             no = True
             hard |= e.suspect == SURE
         elif e.article and not hard:
@@ -299,33 +301,63 @@ def boilerplate(wrapper: list) -> list[str]:
     return sorted(out)
 
 
-def article_labels(wrapper: list) -> list[str]:
-    """Labels of the items that may hold the article, the best first."""
-    named, main, weight = set(), set(), {}
+def plan(wrapper: list) -> str:
+    """Where the host's articles are, as JSON: tiers of labels, the best first, each with whether it needs no proof by the page; labels of boilerplate."""
+    out = set(boilerplate(wrapper))
+    articles, mains, weight = {}, {}, {}
+    all_varying = 0
 
-    def visit(item: list) -> None:
-        words = item[LABEL].split(".")
-        if words[0] == "article" or "articlebody" in words:
-            named.add(item[LABEL])
-        elif words[0] == "main" or "main" in words[1:]:
-            main.add(item[LABEL])
-        if item[LABEL]:
+    def visit(item: list, above: tuple[str, ...]) -> None:
+        nonlocal all_varying
+        label = item[LABEL]
+        if label in out:
+            return
+        all_varying += item[CHARS] if item[FIXED] is None else 0
+        words = label.split(".")
+        named = articles if words[0] == "article" or "articlebody" in words else mains if words[0] == "main" or "main" in words[1:] else None
+        if named is not None and label not in above:
+            total = named.setdefault(label, [0, 0, 0, 0])
+            for i, x in enumerate((*sums(item), item[COUNT])):
+                total[i] += x
+            above = (*above, label)
+        if label:
             # text of the item and of its children that varies between pages or repeats within one
-            weight[item[LABEL]] = weight.get(item[LABEL], 0) + sum(x[CHARS] for x in (item, *item[CHILDREN]) if x[FIXED] is None or x[REPEATED])
+            weight[label] = weight.get(label, 0) + sum(x[CHARS] for x in (item, *item[CHILDREN]) if (x[FIXED] is None or x[REPEATED]) and x[LABEL] not in out)
         for child in item[CHILDREN]:
-            visit(child)
-
-    visit(wrapper)
-    rest = sorted((label for label in weight if weight[label] and label.split(".")[0] not in ("html", "p")), key=lambda label: (-weight[label], label))
-    return list(dict.fromkeys([*sorted(named), *sorted(main), *rest[:3]]))
-
+            visit(child, above)
 
-def main_text(page: str | None, labels: list[str], out: frozenset[str] | None = frozenset()) -> str:
-    """The blocks of the first of ``labels`` that the page has, else of its body, without those of ``out``."""
+    visit(wrapper, ())
+    linked = {label for label, (chars, _, links, _) in articles.items() if links > chars}
+    if linked != set(articles):
+        out |= linked
+        for label in linked:
+            del articles[label]
+    mean = lambda label: articles[label][0] / articles[label][3]
+    posts = [mean(label) for label in articles if articles[label][3] <= wrapper[COUNT]]
+    teasers = {label for label, (_, _, links, count) in articles.items() if links and count > wrapper[COUNT] and any(2 * mean(label) <= post for post in posts)}
+    tiers = []
+    for named, proven in ((set(articles) - teasers, False), (set(mains), False), (teasers, True)):
+        if named:
+            varying = sum((articles.get(x) or mains[x])[1] for x in named)
+            tiers.append((not proven and 4 * varying >= all_varying, varying, sorted(named), proven))
+    rest = [x for x in weight if weight[x] and x not in articles and x not in mains and x not in out and x.split(".")[0] not in ("html", "p")]
+    tiers += [(False, weight[x], [x], None) for x in rest]
+    top = max((weight[x] for x in rest), default=0)
+    tiers = [tier for _, tier in sorted(enumerate(tiers), key=lambda t: (0, t[0]) if t[1][0] else (1, -t[1][1], [x.split(".")[0] == "body" for x in t[1][2]], t[1][2]))]
+    return json.dumps([[[lead or proven is not True and 2 * w >= top, labels] for lead, w, labels, proven in tiers], sorted(out)])
+
+
+Tiers = list[tuple[bool, frozenset[str]]]
+
+
+def main_text(page: str | None, tiers: Tiers, out: frozenset[str] | None = frozenset()) -> str:
+    """The blocks of the first of ``tiers`` that the page has, else of its body, without those of ``out``.
+
+    A tier that few of the host's pages have must hold a third of the page's text.
+    """
     if not page:
         return ""
-    found: dict[str, list[str]] = {label: [] for label in labels}
-    everything: list[str] = []
+    blocks: list[tuple[str, set[str]]] = []
     run: list[str] = []
     where: list[set[str]] = [set()]
 
@@ -340,21 +372,25 @@ def main_text(page: str | None, labels: list[str], out: frozenset[str] | None =
             own = spaced("".join(run))
             run.clear()
             if own:
-                everything.append(own)
-                for label in where[0] & found.keys():
-                    found[label].append(own)
+                blocks.append((own, where[0]))
 
     read(page, text, block)
     block([])
-    if not everything and out is not None:  # no class word empties a page
-        return main_text(page, labels, None)
-    return "\n\n".join(next((found[label] for label in labels if found[label]), everything))
+    if not blocks and out is not None:  # no class word empties a page
+        return main_text(page, tiers, None)
+    present, whole = set().union(*(w for _, w in blocks)), sum(len(own) for own, _ in blocks)
+    for enough, labels in tiers:
+        if not labels.isdisjoint(present):
+            own = [own for own, w in blocks if not labels.isdisjoint(w)]
+            if enough or 3 * sum(map(len, own)) >= whole:
+                return "\n\n".join(own)
+    return "\n\n".join(own for own, _ in blocks)
 
 
 @lru_cache(maxsize=1024)
-def plan_of(plan: str | None) -> tuple[list[str], frozenset[str]]:
-    labels, out = json.loads(plan) if plan else ([], [])
-    return labels, frozenset(out)
+def plan_of(plan: str | None) -> tuple[Tiers, frozenset[str]]:
+    tiers, out = json.loads(plan) if plan else ([], [])
+    return [(enough, frozenset(labels)) for enough, labels in tiers], frozenset(out)
 
 
 def merged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -387,7 +423,7 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
 
     @F.arrow_udf("string")
     def chosen(wrappers: pa.Array) -> pa.Array:
-        return pa.array([json.dumps([article_labels(w), boilerplate(w)]) for w in map(json.loads, wrappers.to_pylist())], pa.string())
+        return pa.array([plan(json.loads(w.as_py())) for w in wrappers], pa.string())
 
     @F.arrow_udf("string")
     def extracted(html: pa.Array, plans: pa.Array) -> pa.Array:

@@ -37,3 +37,31 @@ def test_the_wrapper_decides_about_class_words(spark):
 def test_most_of_the_varying_text_is_no_boilerplate(spark):
     assert texts(spark, f'<body><div class="widget">{ARTICLE}</div><div class="sidebar">Fixed</div></body>') == expected(TEXT)
     assert texts(spark, f'<body><div class="sidebar">{ARTICLE}</div></body>', 1) == expected(TEXT, 1)
+
+
+def test_teasers_beside_the_article_and_embeds_in_it(spark):
+    card = "<article class='card'><a href=/{0}>Read story {0}</a><p>In brief {0}</p></article>"
+    post = f"<article class='post'>{ARTICLE}<article class='embed'><p>Quoted {{0}}</p></article><p>The end of {{0}}.</p></article>"
+    assert texts(spark, f"<body>{card * 3}{post}{card}</body>") == expected(TEXT + "\n\nQuoted {0}\n\nThe end of {0}.")
+
+
+def test_all_articles_of_a_page(spark):
+    assert texts(spark, f"<body><div>Site</div><article class='b'>{ARTICLE}</article><article class='a'><p>A second story {{0}}.</p></article></body>") == expected(TEXT + "\n\nA second story {0}.")
+
+
+def test_a_small_article_does_not_hide_the_text(spark):
+    page = f"<body><article class='hint'><p>Tip {{0}}</p></article><div class='top'>Site</div><div class='story'>{ARTICLE * 3}</div></body>"
+    assert texts(spark, page) == expected("\n\n".join([TEXT] * 3))
+
+
+def test_every_layout_of_a_host(spark):
+    rows = [(i, f"https://a.example/{i}", f"<body><div class='top'>Our site</div><div class='layout{'abcdef'[i % 6]}'><div>{ARTICLE.replace('{0}', str(i) * (7 - i % 6))}</div></div></body>") for i in range(18)]
+    rows = [(i, u, h.replace("<div><h1>", "<h1>").replace("</p></div></div>", "</p></div>")) for i, u, h in rows]
+    found = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {i: TEXT.replace("{0}", str(i) * (7 - i % 6)) for i in range(18)}
+
+
+def test_texts_that_differ_late(spark):
+    same = "The same long opening of every page. " * 8
+    page = f"<body><div class='top'>Our site</div><div class='story'>{same} {{0}}</div></body>"
+    assert texts(spark, page) == expected(same.strip() + " {0}")
