@@ -1,12 +1,13 @@
 """Secret scans by pattern and by compressed size (operator 4).
 
 Three fixed patterns give the base spans. Beyond them, strings in a sensitive
-context (a word such as ``credential`` stands shortly before, on the same line)
-are candidates: zstandard, primed with a dictionary of identifiers, compresses
-the surrounding code with and without the candidate, and the bytes that the
-candidate adds are set against its length. Identifiers, words and paths repeat
-their surroundings or the dictionary and add little; random strings add about
-their whole length and are reported as spans of kind ``novel``.
+context (a word such as ``credential`` stands on the same line or the ones beside
+it, or they are in a PEM block) are candidates: zstandard, primed with a dictionary
+of identifiers, compresses the code on both sides with and without the candidate,
+and the bytes that the candidate adds are set against its length. Identifiers, words
+and paths repeat their surroundings or the dictionary and add little; random strings
+add about their whole length and are reported as spans of kind ``novel``, wherever
+in the text they stand again.
 
 Defined results: null texts are empty and have no spans. Texts of any length
 are scanned whole; positions are code points, ends exclusive. Equal starts are
@@ -35,13 +36,20 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 6, 20
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "novel")
 
-# Words that make what follows them on the line sensitive.
-SENSITIVE = re.compile(r"passw(?:or)?d|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|credential|bearer|authorization", re.IGNORECASE | re.ASCII)
+# Words that make the lines around them sensitive.
+SENSITIVE = re.compile(r"passw(?:or)?d|passphrase|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|signing[\x20_-]?key|credential|bearer|authorization", re.IGNORECASE | re.ASCII)
 SENSITIVE_WORDS = ("passw", "passphrase", "secret", "token", "key", "credential", "bearer", "authorization")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
-#: Characters after a sensitive word in which candidates may begin.
-REACH = 64
-#: Characters before a candidate that count as its surroundings.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}", re.ASCII)
+#: Words as identifiers are put together from them, and runs without vowels.
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", re.ASCII)
+CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{6,}", re.ASCII)
+#: A PEM block up to its END line, or to the text's end.
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.*?)(?=-----END |\Z)", re.ASCII | re.DOTALL)
+#: Lines before and after a sensitive word's own that belong to its context.
+LINES = 1
+#: Lines that begin with a space or tab go on with the one before, as those of a header do.
+WRAPPED = (" ", "\t")
+#: Characters before and after a candidate that count as its surroundings.
 SURROUNDINGS = 256
 #: Compressed bytes added, over the candidate's length.
 NOVEL = 0.7
@@ -71,9 +79,10 @@ class Novelty:
     def __init__(self, words: bytes = IDENTIFIERS, level: int = 9):
         self.compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
 
-    def ratio(self, before: str, candidate: str) -> float:
-        around, own = before.encode(), candidate.encode()
-        added = len(self.compressor.compress(around + own)) - len(self.compressor.compress(around))
+    def ratio(self, before: str, candidate: str, after: str = "") -> float:
+        # lone surrogates may stand beside it
+        before_, own, after_ = (x.encode("utf-8", "surrogatepass") for x in (before, candidate, after))
+        added = len(self.compressor.compress(before_ + own + after_)) - len(self.compressor.compress(before_ + after_))
         return added / len(own)
 
 
@@ -93,26 +102,61 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def contexts(text: str) -> list[tuple[int, int]]:
+    """Parts of the text, in order and apart, that are sensitive: the lines around sensitive words, with wrapped lines after them, and PEM blocks."""
+    parts = [m.span(1) for m in PEM.finditer(text)]
+    reached = -1
+    for word in SENSITIVE.finditer(text):
+        if word.end() <= reached:  # on a line that has had its turn
+            continue
+        start = word.start()
+        for _ in range(LINES + 1):
+            start = text.rfind("\n", 0, max(0, start))
+            if start < 0:
+                break
+        line = stop = text.find("\n", word.end())
+        reached = len(text) if line < 0 else line
+        for _ in range(LINES):
+            stop = text.find("\n", stop + 1) if stop >= 0 else -1
+        while stop >= 0 and text.startswith(WRAPPED, stop + 1):
+            stop = text.find("\n", stop + 1)
+        parts.append((start + 1, len(text) if stop < 0 else stop))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(parts):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def worded(own: str) -> bool:
+    """Is a string without digits put together from what may be words, which compress no better than random letters do?"""
+    letters = [c for c in own.lower() if c.isalpha()]
+    pieces = PIECE.findall(own)
+    return len(letters) >= 3 * len(pieces) and 5 * sum(c in "aeiouy" for c in letters) >= len(letters) and not CONSONANTS.search(own.lower())
+
+
 def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Incompressible strings in a sensitive context that no base span touches."""
+    """Incompressible strings in a sensitive context that no base span touches, and all their copies."""
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
     taken = bytearray(len(text)) if base else b""
     for start, _, end in base:
         taken[start:end] = b"\x01" * (end - start)
-    found, seen = [], -1
-    for word in SENSITIVE.finditer(text):
-        stop = text.find("\n", word.end(), word.end() + REACH)
-        stop = word.end() + REACH if stop < 0 else stop
-        at = max(word.end(), seen)
-        while (m := CANDIDATE.search(text, at)) and m.start() < stop:
-            at = seen = m.end()
+    novel: dict[str, bool] = {}
+    for start, stop in contexts(text):
+        for m in CANDIDATE.finditer(text, start, stop):
             own = m.group()
-            if any(taken[m.start() : m.end()]) or not re.search("[0-9]", own) or not re.search("[A-Za-z]", own):
+            if novel.get(own) or any(taken[m.start() : m.end()]):
+                continue
+            if not re.search("[A-Za-z]", own) or not re.search("[0-9]", own) and worded(own):
                 continue
-            if novelty().ratio(text[max(0, m.start() - SURROUNDINGS) : m.start()], own) >= NOVEL:
-                found.append((m.start(), 3, m.end()))
-    return found
+            # copies nearby are no surroundings: they would make any string known
+            before, after = text[max(0, m.start() - SURROUNDINGS) : m.start()].replace(own, ""), text[m.end() : m.end() + SURROUNDINGS].replace(own, "")
+            novel[own] = novelty().ratio(before, own, after) >= NOVEL
+    copies = (m.span() for own, is_novel in novel.items() if is_novel for m in re.finditer(re.escape(own), text))
+    return sorted((a, 3, b) for a, b in copies if not any(taken[a:b]))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
