@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +14,9 @@ from lexiforge.functions import text as X
 from lexiforge.plans.registry import query
 from lexiforge.sources.tables import table
 
+#: Digests that a range is sized for, and that a block of a range holds at most.
+RANGE_ROWS, BLOCK_ROWS = 250_000, 16_384
+
 
 @query("""
 WITH s AS (SELECT l_orderkey, CAST(max(l_linenumber) AS BIGINT) AS staged FROM lineitem GROUP BY l_orderkey), p AS (SELECT o_orderkey, o_orderkey % 8 AS version FROM orders WHERE o_orderstatus <> 'O')
@@ -88,12 +96,53 @@ def recovery_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT source, sha256(string_agg(h, '' ORDER BY h)) AS digest, count(*) AS n FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source)
 SELECT source, digest, n FROM s""")
 def multiset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest of each source's texts that doesn't depend on their order.
+    """A digest of each source's texts that doesn't depend on their order."""
+    return multiset_digests(table(spark, sf_dir, "documents").select("source", "text"))
+
+
+def multiset_digests(docs: DataFrame) -> DataFrame:
+    """(source, digest, n) of (source, text): the digest of the texts' digests one after the other in their order.
 
-    The lists hold a source's digests; content_digest() has a form for groups without bound.
+    Equal digests are counted, then dealt out by ranges and sorted there, and packed
+    into blocks. One task a source reads its blocks in order and holds one at a time.
     """
-    hashed = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("h"))
-    return hashed.groupBy("source").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("digest"), F.count("*").alias("n"))
+    hashed = docs.select("source", F.sha2("text", 256).alias("h"))
+    ranges = max(8, -(-docs.count() // RANGE_ROWS))
+    record = F.concat(F.unhex("h"), F.unhex(F.lpad(F.hex("c"), 16, "0"))).alias("record")
+    once = hashed.where("h is not null").groupBy("source", "h").agg(F.count("*").alias("c"))
+    dealt = once.repartitionByRange(ranges, "source", "h").sortWithinPartitions("source", "h").select("source", "h", record)
+    schema = pa.schema([("source", pa.string()), ("first", pa.string()), ("block", pa.binary())])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sources, digests, records = (column.to_pylist() for column in batch.columns)
+            start, out = 0, []
+            for i in range(1, len(sources) + 1):
+                if i == len(sources) or sources[i] != sources[start] or i - start == BLOCK_ROWS:
+                    out.append((sources[start], digests[start], b"".join(records[start:i])))
+                    start = i
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), schema.types)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, source, sha = [], None, None
+        for batch in batches:
+            for own, block in zip(batch.column(0), batch.column(1)):
+                if sha is None or own.as_py() != source:
+                    if sha is not None:
+                        done.append((source, sha.hexdigest()))
+                    source, sha = own.as_py(), hashlib.sha256()
+                for digest, copies in struct.iter_unpack(">32sQ", block.as_py()):
+                    digest = digest.hex().encode()
+                    for at in range(0, copies, BLOCK_ROWS):
+                        sha.update(digest * min(BLOCK_ROWS, copies - at))
+        if sha is not None:
+            done.append((source, sha.hexdigest()))
+        yield pa.RecordBatch.from_pylist([{"source": s, "digest": d} for s, d in done], pa.schema([("source", pa.string()), ("digest", pa.string())]))
+
+    blocks = dealt.mapInArrow(packed, "source string, first string, block binary")
+    digests = blocks.repartition("source").sortWithinPartitions("source", "first").select("source", "block").mapInArrow(folded, "source string, digest string")
+    counts = hashed.groupBy("source").agg(F.count("*").alias("n"))
+    return counts.join(digests.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").select("source", "digest", "n")
 
 
 @query("""
