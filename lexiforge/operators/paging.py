@@ -24,6 +24,12 @@ def running_sum(df: DataFrame, key: str, amount: str, total: str = "running", ra
     return local.join(F.broadcast(before), "_range").withColumn(total, F.col("_local") + F.col("_before")).drop("_range", "_local", "_before")
 
 
-def budget_prefix(df: DataFrame, key: str, amount: str, budget: int) -> DataFrame:
-    """The longest prefix in key order whose amounts fit the budget, with the running sum."""
-    return running_sum(df, key, amount).where(F.col("running") <= budget)
+def budget_prefix(df: DataFrame, key: str, amount: str, budget: int, items: int | None = None) -> DataFrame:
+    """Rows in key order as long as their amounts fit the budget, at most ``items``, with the running sum.
+
+    A row that alone exceeds the budget is left out and does not count; the first
+    other row that doesn't fit ends the prefix.
+    """
+    fitting = df.where(F.coalesce(F.col(amount), F.lit(0)) <= budget)
+    within = running_sum(fitting, key, amount).where(F.col("running") <= budget)
+    return within if items is None else within.orderBy(key).limit(items)

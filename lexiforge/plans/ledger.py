@@ -153,7 +153,7 @@ def log_page_hwm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, n_chars, CAST(running AS BIGINT) AS running FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) AS running FROM documents) WHERE running <= 200000")
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in order as long as their sizes fit a budget."""
+    """Rows in order as long as their sizes fit a budget, without those that alone exceed it."""
     return prefix_within(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 200_000)
 
 

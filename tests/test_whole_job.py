@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
-from lexiforge.plans import reconcile
+from lexiforge.operators.paging import budget_prefix
+from lexiforge.plans import QUERIES, reconcile
 
 
 def test_multiset_digest_by_blocks(spark, monkeypatch):
@@ -18,3 +19,16 @@ def test_multiset_digest_by_blocks(spark, monkeypatch):
         own = sorted(hashlib.sha256(t.encode()).hexdigest() for s, t in rows if s == source and t is not None)
         expected[source] = (hashlib.sha256("".join(own).encode()).hexdigest() if own else None, sum(s == source for s, _ in rows))
     assert {r.source: (r.digest, r.n) for r in made.collect()} == expected
+
+
+def test_budget_prefix_skips_what_alone_exceeds_the_budget(spark, tmp_path):
+    sizes = [250_000, 90_000, 200_001, 60_000, 70_000, 10]
+    rows = [(i, "", "en", "a", n) for i, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["budget_prefix"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.running) for r in found) == [(1, 90_000), (3, 150_000)]
+
+
+def test_budget_prefix_limits_the_items(spark):
+    df = spark.createDataFrame([(i, 300 if i == 1 else 10) for i in range(9)], "id long, n long")
+    assert sorted(tuple(r) for r in budget_prefix(df, "id", "n", 100, items=3).select("id", "running").collect()) == [(0, 10), (2, 20), (3, 30)]
