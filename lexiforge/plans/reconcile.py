@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as X
@@ -149,10 +149,20 @@ def multiset_digests(docs: DataFrame) -> DataFrame:
 WITH a AS (SELECT conv_id, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS first, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn, role)) AS second, max(turn) + 1 = count(*) AS continuous FROM conversations GROUP BY conv_id)
 SELECT conv_id, first AS digest, first = second AND continuous AS certified FROM a""")
 def two_pass_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two passes agree and pages are continuous."""
-    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda s: F.concat(s["role"], F.lit(":"), s["text"])), "\n")
-    digests = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha2(ordered, 256).alias("digest"), (F.max("turn") + 1 == F.count("*")).alias("certified"))
-    return digests.select("conv_id", "digest", "certified")
+    """Two passes, read and ordered each on its own, agree, and turns run from 0 without repeats and gaps."""
+    line = lambda s: F.concat(s["role"], F.lit(":"), s["text"])
+
+    def digests(name: str, *order: str) -> DataFrame:
+        lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order))), line), "\n")
+        return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias(f"{name}_id")).agg(F.sha2(lines, 256).alias(name))
+
+    before = F.lag("turn", 1, -1).over(Window.partitionBy("conv_id").orderBy("turn"))
+    steps = table(spark, sf_dir, "conversations").select("conv_id", F.coalesce(F.col("turn") - before == 1, F.lit(False)).alias("next"))
+    pages = steps.groupBy("conv_id").agg(F.bool_and("next").alias("continuous"))
+    # of equal turns each pass has another first
+    first, second = digests("first", "turn", "role", "text"), digests("second", "turn", "text", "role")
+    both = pages.join(first, F.col("conv_id").eqNullSafe(F.col("first_id"))).join(second, F.col("conv_id").eqNullSafe(F.col("second_id")))
+    return both.select("conv_id", F.col("first").alias("digest"), ((F.col("first") == F.col("second")) & F.col("continuous")).alias("certified"))
 
 
 @query("""

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
+from pyspark.sql import functions as F
+
+from lexiforge.operators.html import segments
 from lexiforge.operators.paging import budget_prefix
 from lexiforge.plans import QUERIES, reconcile
 
@@ -32,3 +36,21 @@ def test_budget_prefix_skips_what_alone_exceeds_the_budget(spark, tmp_path):
 def test_budget_prefix_limits_the_items(spark):
     df = spark.createDataFrame([(i, 300 if i == 1 else 10) for i in range(9)], "id long, n long")
     assert sorted(tuple(r) for r in budget_prefix(df, "id", "n", 100, items=3).select("id", "running").collect()) == [(0, 10), (2, 20), (3, 30)]
+
+
+def test_two_pass_certificate_sees_repeats_and_gaps(spark, tmp_path):
+    turns = {1: [0, 1, 2], 2: [0, 0, 2], 3: [0, 2], 4: [1, 2], 5: [2, 0, 1], 6: [0, 1, 1, 3]}
+    rows = [(c, t, "user" if i % 2 else "assistant", f"{9 - i} says") for c, own in turns.items() for i, t in enumerate(own)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.conv_id: r for r in QUERIES["two_pass_certificate"](spark, str(tmp_path)).collect()}
+    assert {c: r.certified for c, r in found.items()} == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False}
+    said = "\n".join(f"{r}:{t}" for _, _, r, t in sorted(x for x in rows if x[0] == 5))
+    assert found[5].digest == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_segments_against_brute_force(spark):
+    texts = ["", "word", "  two  words ", "(a) b_c, d-e\n\tf9!", "\u0642\u0627\u0644 \u0627\u0644\u0634\u0627\u0639\u0631\u060c x", "...", "\u00fcml\u00e4ut 12"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    for r in df.select("text", segments(F.col("text")).alias("parts")).collect():
+        runs = ["".join(own) for _, own in groupby(r.text, key=str.isalnum)]
+        assert r.parts == runs and "".join(r.parts) == r.text
