@@ -1,40 +1,46 @@
 """Main text of web pages by wrappers that are inferred for each host (operator 6).
 
 Every page is read as a stream of tags and texts. A wrapper is a union-free
-regular expression over such streams, kept as nested items: elements, each once,
-optional or repeated, with slots for text. The pages of a host are folded into
-one wrapper: the items of both streams are aligned (the longest common
-subsequence of their labels), matched ones are merged in turn, elements on one
-side only become optional, equal neighbours become a repeated group, and texts
-that differ become slots. Wrappers are merged within each task, then for salted
-parts of a host, then for the host, so no task sees all pages of a large one.
-
-Some elements are never part of the article by their tag. Of those that only have
-a class, id or role that sounds so, the wrapper tells which are: items of text that
-is the same on all pages or mostly links are, items with most of the host's varying
-text are not. What holds an ``article`` or ``main`` element is lifted for that
-element: forms always, others unless the whole class is a plain word for comments,
-adverts, sidebars and the like.
-
-The wrapper tells where the article is. All items are ranked by the varying text of
-their slots and repeats outside links; ``article`` items lead if they hold a quarter
-of the host's or more, then ``main`` items. Article items that are mostly links, or
-are short and repeat beside a longer one, are teasers. Each page is then read again,
-and the texts of all its article items, or of the best other item, are its main text, without menus, page headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+regular expression over such streams, kept as a tree of items: an element, what
+stands in it in order, and its texts. The pages of a host are aligned into one
+wrapper: elements of one label under one parent are one item. Where streams
+differ, an item that some pages lack is optional, one that stands twice in a row
+or whose followers lead back to it is a repeated group, and a text that three
+quarters of the item's pages don't share is a slot. Items add up counts and unite the pairs
+of neighbours, so the wrapper does not depend on the order of the pages. Labels
+and texts that fewer than 1 in ``RARE`` of the item's pages have become plain tags
+and slots, which bounds a wrapper by the size of pages, not by their number.
+Pages are aligned within each task, then by salted parts of a host, then by host.
+
+Each page is then matched to its host's wrapper, item by item, and the wrapper
+tells what is its main text:
+
+1. Some elements are never part of an article by their tag. Those that only have a
+   class, id or role that sounds so are boilerplate if their item is fixed or mostly
+   links, but not if it holds most of the host's varying text.
+2. ``article`` (then ``main``) items lead if their slots hold a quarter of the host's
+   varying text. Those that are mostly links, or short and repeated beside a longer
+   one, are teasers.
+3. Elsewhere the article is looked for from the root down: as long as one of the
+   items that this page has holds four fifths of all varying text, is no repeated
+   group and does not stand beside headings, paragraphs or bare text that varies. Fixed
+   texts and links at both ends of what is found are the host's and not the article's.
 
 Defined results: null and empty pages have an empty text; URLs without a host
-share one wrapper. Text ends with the input where markup is cut off. A page
-without the host's item uses the next best one, the body at last. Repeated rows
-give equal texts. Other columns pass. Whole pages are read, however long.
+share one wrapper. Text ends with the input where markup is cut off. Where nothing
+varies, all of a page's text counts as varying. Repeated rows give equal texts, an
+empty table an empty result. Other columns pass, whatever their names, but one
+named like the result is replaced. Whole pages are read, however long or deep.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import html as html_
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -42,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.storage import settle, table
+from lexiforge.llm.storage import settle, table, unused
 from lexiforge.llm.url_filter import host_and_path
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
@@ -65,10 +71,20 @@ STRUCTURE_WORDS = frozenset("area author bar block body bottom box button button
 LIFTED = frozenset(["form"])
 #: How much a label sounds like boilerplate.
 PLAIN, COMPOUND, AMBIGUOUS, SURE = range(4)
+#: Tags of an article's own flow: no article is looked for inside them.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: The part of the varying text that the article's item has at least.
+MOST = 0.8
+#: Labels and texts must be on one in so many of their item's pages to be told apart.
+RARE = 16
+#: Pages from which a wrapper is simplified.
+MANY = 64
 #: Salted parts that a host's wrappers are merged in first.
 PARTS = 32
-#: Hosts up to which the chosen items are broadcast; beyond, they are joined by shuffle.
-BROADCAST_HOSTS = 20_000
+#: Items that a task holds before it passes its wrappers on.
+HELD_ITEMS = 200_000
+#: Bytes of all wrappers up to which they are broadcast; beyond, they are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 @lru_cache(maxsize=65536)
@@ -89,9 +105,11 @@ def suspicion(label: str) -> int:
 
 
 class Element:
-    __slots__ = ("name", "label", "outside", "article", "suspect")
+    """An open element: what its tag says, and where it stands."""
 
-    def __init__(self, name: str, attributes: str):
+    __slots__ = ("name", "label", "outside", "article", "suspect", "item", "no", "hard", "linked", "named", "last")
+
+    def __init__(self, name: str, attributes: str = ""):
         self.name, words = name, []
         for key, *values in ATTRIBUTE.findall(attributes):
             value = "".join(values).lower()
@@ -102,339 +120,479 @@ class Element:
         self.outside = name in OUTSIDE
         self.article = name in ("article", "main") or "articlebody" in words
         self.suspect = suspicion(self.label) if words else PLAIN
+        self.item, self.no, self.hard, self.linked, self.named = None, False, False, name == "a", frozenset()
+        self.last = ""
+
+    def inherit(self, parent: "Element", out: bool) -> None:
+        """Is text in here no part of an article? ``out``: the wrapper says so of this element."""
+        self.no, self.hard = parent.no, parent.hard
+        self.linked |= parent.linked
+        if self.outside:
+            self.no, self.hard = True, self.hard or self.name not in LIFTED
+        elif out:
+            self.no, self.hard = True, self.hard or self.suspect == SURE
+        elif self.article and not self.hard:
+            self.no = False
+
+
+def read(page: str, root: Element, opened: Callable[[Element, Element], None], text: Callable[[Element, str], None], block: Callable[[], None]) -> None:
+    """Calls ``opened`` for each new element and its parent, ``text`` for each run of text in its element, ``block`` where a block begins or ends."""
+    stack, names = [root], Counter()
+    at, n = 0, len(page)
 
+    def cut(depth: int) -> None:
+        for e in stack[depth:]:
+            names[e.name] -= 1
+        del stack[depth:]
+
+    def push(name: str, attributes: str) -> None:
+        element = Element(name, attributes)
+        opened(element, stack[-1])
+        stack.append(element)
+        names[name] += 1
 
-def excluded(stack: list[Element], out: frozenset[str] | None) -> bool:
-    """Is text below ``stack`` no part of an article? ``out`` are the host's boilerplate labels; None: only tags count."""
-    no = hard = False
-    for e in stack:
-        if e.outside:
-            no = True
-            hard |= e.name not in LIFTED
-        elif out is not None and (e.label in out or e.suspect == SURE and e.name in INLINE):
-            no = True
-            hard |= e.suspect == SURE
-        elif e.article and not hard:
-            no = False
-    return no
-
-
-def read(page: str, text: Callable[[list[Element], str], None], block: Callable[[list[Element]], None], start: Callable[[list[Element]], None] | None = None) -> None:
-    """Calls ``text`` for each run of text, ``block`` where a block begins or ends, ``start`` for each new block element, all with the open elements."""
-    stack: list[Element] = []
-    at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
         stop = m.start() if m else n
         if stop > at:
-            text(stack, page[at:stop])
+            text(stack[-1], page[at:stop])
         if not m:
-            return
+            break
         at = m.end()
         name = (m.group(2) or m.group(5) or "").lower()
         if not name:
             continue
         if m.group(1) or m.group(4):
-            depth = len(stack) - 1
-            while depth >= 0 and stack[depth].name != name and (stack[depth].name not in SCOPES or name in SCOPES):
+            depth = len(stack) - 1 if names[name] > 0 else 0
+            while depth > 0 and stack[depth].name != name and (stack[depth].name not in SCOPES or name in SCOPES):
                 depth -= 1
-            if depth >= 0 and stack[depth].name == name:
+            if depth > 0 and stack[depth].name == name:
                 if any(e.name not in INLINE for e in stack[depth:]):
-                    block(stack)
-                del stack[depth:]
+                    block()
+                cut(depth)
             continue
         if name not in INLINE:
-            block(stack)
+            block()
             closed = CLOSES.get(name) or ({"p"} if name != "option" else set())
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].name in closed:
-                    del stack[depth:]
-                    break
-                if stack[depth].name in SCOPES:
-                    break
+            if any(names[c] > 0 for c in closed):
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].name in closed:
+                        cut(depth)
+                        break
+                    if stack[depth].name in SCOPES:
+                        break
         elif name == "br":
-            text(stack, " ")
+            text(stack[-1], " ")
         if name in VOID:
             continue
         attributes = m.group(3) or m.group(6) or ""
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else n
-            stack.append(Element(name, attributes))
-            continue
-        if not attributes.endswith("/") or name not in ("svg", "path", "g"):
-            stack.append(Element(name, attributes))
-            if name not in INLINE and start:
-                start(stack)
+            push(name, attributes)
+        elif not attributes.endswith("/") or name not in ("svg", "path", "g"):
+            push(name, attributes)
+    block()
 
 
 def spaced(text: str) -> str:
     return " ".join(html_.unescape(text).split())
 
 
-# A wrapper item: [label, optional, repeated, characters outside links, hash of the fixed text or None, children, characters of links, elements]
-LABEL, OPTIONAL, REPEATED, CHARS, FIXED, CHILDREN, LINKS, COUNT = range(8)
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big")
 
 
-def page_items(page: str) -> list:
-    """A page as a wrapper of its own: the root item."""
-    root = ["", False, False, 0, "", [], 0, 1]
-    open_: list[tuple[Element | None, list]] = [(None, root)]
+class Item:
+    """An element of a wrapper.
 
-    def align_with(stack: list[Element]) -> None:
-        blocks = [e for e in stack if e.name not in INLINE]
-        keep = 0
-        while keep < len(blocks) and keep + 1 < len(open_) and open_[keep + 1][0] is blocks[keep]:
-            keep += 1
-        del open_[keep + 1 :]
-        for e in blocks[keep:]:
-            item = [e.label, False, False, 0, "", [], 0, 1]
-            open_[-1][1][CHILDREN].append(item)
-            open_.append((e, item))
+    pages have it, and it stands there ``times``; characters outside and inside of
+    links in its own texts; of each of these texts (by digest) the pages and the
+    characters; the items in it by label; pairs of labels of which the second
+    follows the first there.
+    """
 
-    def text(stack: list[Element], run: str) -> None:
-        if excluded(stack, None):
-            return
-        run = spaced(run)
-        if run:
-            align_with(stack)
-            item = open_[-1][1]
-            if any(e.name == "a" for e in stack):
-                item[LINKS] += len(run)
-            else:
-                item[FIXED] = (item[FIXED] + " " + run).strip()
+    __slots__ = ("label", "pages", "times", "chars", "links", "texts", "kids", "follows")
 
-    read(page, text, lambda stack: None, align_with)
-    return fold(root)
+    def __init__(self, label: str):
+        self.label, self.pages, self.times, self.chars, self.links = label, 1, 0, 0, 0
+        self.texts: dict[int, list[int]] = {}
+        self.kids: dict[str, Item] = {}
+        self.follows: set[tuple[str, str]] = set()
 
 
-def fold(item: list) -> list:
-    """Equal neighbours become one repeated item; texts become their length and a hash of all of them."""
-    children: list = []
-    for child in map(fold, item[CHILDREN]):
-        if children and children[-1][LABEL] == child[LABEL]:
-            both = digest(f"{children[-1][FIXED]} {child[FIXED]}") if children[-1][FIXED] or child[FIXED] else ""
-            children[-1] = merge(children[-1], child)
-            children[-1][REPEATED], children[-1][FIXED] = True, both
-        else:
-            children.append(child)
-    text = item[FIXED] or ""
-    return [item[LABEL], item[OPTIONAL], item[REPEATED], len(text), digest(text) if text else "", children, item[LINKS], 1]
-
-
-def digest(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-
-
-def merge(a: list, b: list) -> list:
-    """The wrapper of both items' streams."""
-    fixed = a[FIXED] if a[FIXED] == b[FIXED] else None
-    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], a[CHARS] + b[CHARS], fixed, aligned(a[CHILDREN], b[CHILDREN]), a[LINKS] + b[LINKS], a[COUNT] + b[COUNT]]
-
-
-def aligned(a: list, b: list) -> list:
-    """Both lists along the longest common subsequence of labels; what is on one side only is optional."""
-    if [x[LABEL] for x in a] == [x[LABEL] for x in b]:
-        return [merge(x, y) for x, y in zip(a, b)]
-    common = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            common[i][j] = common[i + 1][j + 1] + 1 if a[i][LABEL] == b[j][LABEL] else max(common[i + 1][j], common[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i][LABEL] == b[j][LABEL]:
-            made = merge(a[i], b[j])
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and common[i + 1][j] >= common[i][j + 1]:
-            made = [*a[i][:OPTIONAL], True, *a[i][REPEATED:]]
-            i += 1
-        else:
-            made = [*b[j][:OPTIONAL], True, *b[j][REPEATED:]]
-            j += 1
-        if out and out[-1][LABEL] == made[LABEL]:
-            out[-1] = merge(out[-1], made)
-            out[-1][REPEATED] = True
-        else:
-            out.append(made)
-    return out
-
-
-def sums(item: list) -> tuple[int, int, int]:
-    """Of an item with all below it: characters outside links, those of them that vary between pages, characters of links."""
-    chars, varying, links = item[CHARS], item[CHARS] if item[FIXED] is None else 0, item[LINKS]
-    for child in item[CHILDREN]:
-        c, v, k = sums(child)
-        chars, varying, links = chars + c, varying + v, links + k
-    return chars, varying, links
-
-
-def boilerplate(wrapper: list) -> list[str]:
-    """Labels that sound like boilerplate and are, as far as the host's pages tell."""
-    all_varying = sums(wrapper)[1]
-    of: dict[str, list[int]] = {}
-
-    def visit(item: list, above: tuple[str, ...]) -> None:
-        if suspicion(item[LABEL]) and item[LABEL] not in above:
-            total = of.setdefault(item[LABEL], [0, 0, 0, 0])
-            for i, x in enumerate((*sums(item), item[COUNT])):
-                total[i] += x
-            above = (*above, item[LABEL])
-        for child in item[CHILDREN]:
-            visit(child, above)
-
-    visit(wrapper, ())
-    out = []
-    for label, (chars, varying, links, count) in of.items():
-        kind = suspicion(label)
-        if links > chars:
-            no = True
-        elif 2 * varying > all_varying:
-            no = False
-        elif kind == SURE:
-            no = True
-        elif count == 1:  # nothing to compare with
-            no = kind == AMBIGUOUS
-        else:
-            no = varying == 0
-        if no and not (kind < SURE and label.split(".")[0] in ("article", "main")):
-            out.append(label)
-    return sorted(out)
-
-
-def plan(wrapper: list) -> str:
-    """Where the host's articles are, as JSON: tiers of labels, the best first, each with whether it needs no proof by the page; labels of boilerplate."""
-    out = set(boilerplate(wrapper))
-    articles, mains, weight = {}, {}, {}
-    all_varying = 0
-
-    def visit(item: list, above: tuple[str, ...]) -> None:
-        nonlocal all_varying
-        label = item[LABEL]
-        if label in out:
+def page_wrapper(page: str) -> Item:
+    """The wrapper of a single page: elements of one label under one parent are one item from the start."""
+    root = Element("")
+    root.item = Item("")
+    run: list[tuple[bool, str]] = []
+    where = [root.item]
+
+    def opened(element: Element, parent: Element) -> None:
+        element.inherit(parent, False)
+        element.item = parent.item
+        if element.name in INLINE or element.no and not element.name == "form":
             return
-        all_varying += item[CHARS] if item[FIXED] is None else 0
-        words = label.split(".")
+        kids, label = parent.item.kids, element.label
+        item = kids.get(label)
+        if item is None:
+            item = kids[label] = Item(label)
+        item.times += 1
+        if parent.last not in ("", label):
+            parent.item.follows.add((parent.last, label))
+        parent.last, element.item = label, item
+
+    def text(element: Element, piece: str) -> None:
+        if not element.no:
+            if not run:
+                where[0] = element.item
+            run.append((element.linked, piece))
+
+    def block() -> None:
+        if run:
+            chars, links = (len(spaced("".join(p for linked, p in run if linked == side))) for side in (False, True))
+            if chars or links:
+                item = where[0]
+                item.chars += chars
+                item.links += links
+                own = item.texts.setdefault(digest(spaced("".join(p for _, p in run))), [1, 0])
+                own[1] += chars
+            run.clear()
+
+    read(page, root, opened, text, block)
+    root.item.times = 1
+    return root.item
+
+
+def absorb(into: Item, other: Item) -> Item:
+    """``into`` as the wrapper of both; ``other`` must not be used any more."""
+    todo = [(into, other)]
+    while todo:
+        a, b = todo.pop()
+        a.pages, a.times, a.chars, a.links = a.pages + b.pages, a.times + b.times, a.chars + b.chars, a.links + b.links
+        a.follows |= b.follows
+        for text, (pages, chars) in b.texts.items():
+            if (own := a.texts.get(text)) is None:
+                a.texts[text] = [pages, chars]
+            else:
+                own[0], own[1] = own[0] + pages, own[1] + chars
+        for label, kid in b.kids.items():
+            if (mine := a.kids.get(label)) is None:
+                a.kids[label] = kid
+            else:
+                todo.append((mine, kid))
+    return into
+
+
+def simplified(root: Item) -> Item:
+    """Rare texts become slots, rare labels their tags."""
+    todo = [root]
+    while todo:
+        item = todo.pop()
+        item.texts = {h: own for h, own in item.texts.items() if RARE * own[0] >= item.pages}
+        rare = [kid for label, kid in item.kids.items() if "." in label and RARE * kid.pages < item.pages]
+        for kid in rare:
+            del item.kids[kid.label]
+            tag = kid.label.split(".")[0]
+            kid.label = tag
+            same = item.kids.setdefault(tag, kid)
+            if same is not kid:
+                absorb(same, kid)
+                same.pages = min(same.pages, item.pages)  # a page may have had both
+        if rare:
+            short = lambda label: label if label in item.kids else label.split(".")[0]  # noqa: E731, B023
+            item.follows = {(a, b) for a, b in ((short(a), short(b)) for a, b in item.follows) if a != b}
+        todo += item.kids.values()
+    return root
+
+
+def aligned(wrappers: list[Item]) -> Item:
+    """One wrapper of all, smaller ones first."""
+    heap = [(w.pages, i, w) for i, w in enumerate(wrappers)]
+    heapq.heapify(heap)
+    n = len(heap)
+    while len(heap) > 1:
+        (_, _, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        both = absorb(b, a)
+        n += 1
+        heapq.heappush(heap, (both.pages, n, simplified(both) if both.pages >= MANY else both))
+    return heap[0][2]
+
+
+def flat(root: Item) -> str:
+    """As JSON that is nested no deeper however deep the pages are: items before what is in them, each with its depth."""
+    rows, todo = [], [(0, root)]
+    while todo:
+        depth, item = todo.pop()
+        rows.append([depth, item.label, item.pages, item.times, item.chars, item.links, [[h, *own] for h, own in sorted(item.texts.items())], sorted(item.follows)])
+        todo += [(depth + 1, kid) for _, kid in sorted(item.kids.items(), reverse=True)]
+    return json.dumps(rows)
+
+
+def unflat(text: str) -> Item:
+    open_: list[Item] = []
+    for depth, label, pages, times, chars, links, texts, follows in json.loads(text):
+        item = Item(label)
+        item.pages, item.times, item.chars, item.links = pages, times, chars, links
+        item.texts = {h: [n, c] for h, n, c in texts}
+        item.follows = {(a, b) for a, b in follows}
+        del open_[depth:]
+        if open_:
+            open_[-1].kids[label] = item
+        open_.append(item)
+    return open_[0]
+
+
+def looped(item: Item) -> set[str]:
+    """Labels that stand between others that follow themselves: the repeated groups in ``item``."""
+    left = set(item.kids)
+    edges = {(a, b) for a, b in item.follows if a in left and b in left}
+    while True:
+        inner = {a for a, _ in edges} & {b for _, b in edges}
+        kept = {(a, b) for a, b in edges if a in inner and b in inner}
+        if len(kept) == len(edges):
+            return inner
+        edges = kept
+
+
+def fixed_texts(item: Item) -> list[int]:
+    """Texts that are on three quarters of the item's pages or more, and on two at least."""
+    return [h for h, (pages, _) in item.texts.items() if pages > 1 and 4 * pages >= 3 * item.pages]
+
+
+def plan(wrapper: Item) -> str:
+    """What a page needs to know of its host's wrapper, as JSON: sets of labels of articles that lead, and each item as (depth, label, mean of varying characters in it, of its own texts alone, repeated, boilerplate, digests of fixed texts)."""
+    order, todo = [], [(0, wrapper, False)]
+    while todo:
+        depth, item, repeated = todo.pop()
+        order.append((depth, item, repeated))
+        loops = looped(item)
+        todo += [(depth + 1, kid, kid.times > kid.pages or label in loops) for label, kid in sorted(item.kids.items(), reverse=True)]
+    fixed = {id(item): fixed_texts(item) for _, item, _ in order}
+    own = {id(item): item.chars - sum(item.texts[h][1] for h in fixed[id(item)]) for _, item, _ in order}
+    # of each item with all in it: characters, those that vary, those of links
+    sums: dict[int, tuple[int, int, int]] = {}
+    for _, item, _ in reversed(order):
+        below = [sums[id(kid)] for kid in item.kids.values()]
+        sums[id(item)] = tuple(x + sum(b[i] for b in below) for i, x in enumerate((item.chars, own[id(item)], item.links)))
+    all_varying = sums[id(wrapper)][1]
+
+    def boilerplate(item: Item) -> bool:
+        kind, (chars, varying, links) = suspicion(item.label), sums[id(item)]
+        if not kind or kind < SURE and item.label.split(".")[0] in ("article", "main"):
+            return False
+        if links > chars:
+            return True
+        if 2 * varying > all_varying:
+            return False
+        if kind == SURE:
+            return True
+        return kind == AMBIGUOUS if item.times == 1 else varying == 0  # one alone has nothing to compare with
+
+    out = {id(item) for _, item, _ in order if boilerplate(item)}
+    articles: dict[str, list[int]] = {}
+    mains: dict[str, list[int]] = {}
+    shown, above = 0, []  # above: (hidden, labels of articles) of the open items
+    for depth, item, _ in order:
+        del above[depth:]
+        hidden, labels = above[-1] if above else (False, frozenset())
+        hidden |= id(item) in out
+        words = item.label.split(".")
         named = articles if words[0] == "article" or "articlebody" in words else mains if words[0] == "main" or "main" in words[1:] else None
-        if named is not None and label not in above:
-            total = named.setdefault(label, [0, 0, 0, 0])
-            for i, x in enumerate((*sums(item), item[COUNT])):
-                total[i] += x
-            above = (*above, label)
-        if label:
-            # text of the item and of its children that varies between pages or repeats within one
-            weight[label] = weight.get(label, 0) + sum(x[CHARS] for x in (item, *item[CHILDREN]) if (x[FIXED] is None or x[REPEATED]) and x[LABEL] not in out)
-        for child in item[CHILDREN]:
-            visit(child, above)
-
-    visit(wrapper, ())
+        if not hidden:
+            shown += own[id(item)]
+            if named is not None and item.label not in labels:
+                total = named.setdefault(item.label, [0, 0, 0, 0])
+                for i, x in enumerate((*sums[id(item)], item.times)):
+                    total[i] += x
+                labels = labels | {item.label}
+        above.append((hidden, labels))
     linked = {label for label, (chars, _, links, _) in articles.items() if links > chars}
     if linked != set(articles):
-        out |= linked
+        out |= {id(item) for _, item, _ in order if item.label in linked}
         for label in linked:
             del articles[label]
-    mean = lambda label: articles[label][0] / articles[label][3]
-    posts = [mean(label) for label in articles if articles[label][3] <= wrapper[COUNT]]
-    teasers = {label for label, (_, _, links, count) in articles.items() if links and count > wrapper[COUNT] and any(2 * mean(label) <= post for post in posts)}
-    tiers = []
-    for named, proven in ((set(articles) - teasers, False), (set(mains), False), (teasers, True)):
-        if named:
-            varying = sum((articles.get(x) or mains[x])[1] for x in named)
-            tiers.append((not proven and 4 * varying >= all_varying, varying, sorted(named), proven))
-    rest = [x for x in weight if weight[x] and x not in articles and x not in mains and x not in out and x.split(".")[0] not in ("html", "p")]
-    tiers += [(False, weight[x], [x], None) for x in rest]
-    top = max((weight[x] for x in rest), default=0)
-    tiers = [tier for _, tier in sorted(enumerate(tiers), key=lambda t: (0, t[0]) if t[1][0] else (1, -t[1][1], [x.split(".")[0] == "body" for x in t[1][2]], t[1][2]))]
-    return json.dumps([[[lead or proven is not True and 2 * w >= top, labels] for lead, w, labels, proven in tiers], sorted(out)])
-
-
-Tiers = list[tuple[bool, frozenset[str]]]
-
-
-def main_text(page: str | None, tiers: Tiers, out: frozenset[str] | None = frozenset()) -> str:
-    """The blocks of the first of ``tiers`` that the page has, else of its body, without those of ``out``.
-
-    A tier that few of the host's pages have must hold a third of the page's text.
-    """
+    mean = lambda label: articles[label][0] / max(1, articles[label][3])
+    posts = [mean(label) for label in articles if articles[label][3] <= wrapper.pages]
+    teasers = {label for label, (_, _, links, times) in articles.items() if links and times > wrapper.pages and any(2 * mean(label) <= post for post in posts)}
+    leading = []
+    for totals, labels in ((articles, set(articles) - teasers), (mains, set(mains))):
+        if labels and 4 * sum(totals[x][1] for x in labels) >= shown:
+            leading.append(sorted(labels))
+    rows = [[depth, item.label, sums[id(item)][1] / item.pages, own[id(item)] / item.pages, repeated, id(item) in out, fixed[id(item)]] for depth, item, repeated in order]
+    return json.dumps([leading, rows])
+
+
+class Place:
+    """An item as a page is matched to it."""
+
+    __slots__ = ("label", "tag", "mean", "own", "repeated", "out", "fixed", "kids", "above")
+
+    def __init__(self, label: str = "", mean: float = 0.0, own: float = 0.0, repeated: bool = False, out: bool = False, fixed: list[int] = [], above: "Place | None" = None):  # noqa: B006
+        self.label, self.tag, self.mean, self.own, self.repeated, self.out, self.fixed = label, label.split(".")[0], mean, own, repeated, out, frozenset(fixed)
+        self.kids: dict[str, Place] = {}
+        self.above = above
+
+
+@lru_cache(maxsize=512)
+def places(plan: str | None) -> tuple[list[frozenset[str]], Place]:
+    leading, rows = json.loads(plan) if plan else ([], [[0, "", 0.0, 0.0, False, False, []]])
+    open_: list[Place] = []
+    for depth, label, *rest in rows:
+        del open_[depth:]
+        place = Place(label, *rest, above=open_[-1] if open_ else None)
+        if open_:
+            open_[-1].kids[label] = place
+        open_.append(place)
+    return [frozenset(x) for x in leading], open_[0]
+
+
+def article_place(root: Place, seen: dict[int, list[Place]]) -> Place:
+    """The item that holds the article, of those that the page has (``seen``: those in each item)."""
+    place, share = root, 1.0
+    while kids := seen.get(id(place)):
+        best = max(kids, key=lambda k: (k.mean, k.label))
+        beside = place.own > 0 or any(k.tag in FLOW and k.mean > 0 for k in kids)
+        if beside or best.repeated or not best.mean:
+            break
+        share *= best.mean / sum(k.mean for k in kids)
+        if share < MOST:
+            break
+        place = best
+    return place
+
+
+def main_text(page: str | None, leading: list[frozenset[str]], wrapper: Place, trusted: bool = True) -> str:
+    """The blocks of the page's articles by its host's wrapper; not ``trusted``: whatever the wrapper says of class words."""
     if not page:
         return ""
-    blocks: list[tuple[str, set[str]]] = []
-    run: list[str] = []
-    where: list[set[str]] = [set()]
-
-    def text(stack: list[Element], piece: str) -> None:
-        if not excluded(stack, out):
-            if not run:
-                where[0] = {e.label for e in stack}
-            run.append(piece)
-
-    def block(stack: list[Element]) -> None:
+    root = Element("")
+    root.item = wrapper
+    blocks: list[tuple[str, bool, Element]] = []
+    run: list[tuple[Element, str]] = []
+
+    def opened(element: Element, parent: Element) -> None:
+        place, out = parent.item, False
+        if element.name not in INLINE:
+            found = place.kids.get(element.label)
+            out = found.out if found is not None else element.suspect == SURE
+            place = found or place.kids.get(element.name) or place
+        elif element.suspect == SURE:
+            out = True
+        element.item = place
+        element.inherit(parent, out and trusted)
+        element.named = parent.named | {element.label} if element.article or "main" in element.label.split(".") else parent.named
+
+    def text(element: Element, piece: str) -> None:
+        if not element.no:
+            run.append((element, piece))
+
+    def block() -> None:
         if run:
-            own = spaced("".join(run))
-            run.clear()
+            own = spaced("".join(p for _, p in run))
             if own:
-                blocks.append((own, where[0]))
-
-    read(page, text, block)
-    block([])
-    if not blocks and out is not None:  # no class word empties a page
-        return main_text(page, tiers, None)
-    present, whole = set().union(*(w for _, w in blocks)), sum(len(own) for own, _ in blocks)
-    for enough, labels in tiers:
-        if not labels.isdisjoint(present):
-            own = [own for own, w in blocks if not labels.isdisjoint(w)]
-            if enough or 3 * sum(map(len, own)) >= whole:
-                return "\n\n".join(own)
-    return "\n\n".join(own for own, _ in blocks)
-
+                linked = len(spaced("".join(p for e, p in run if e.linked)))
+                blocks.append((own, 2 * linked > len(own), run[0][0]))
+            run.clear()
 
-@lru_cache(maxsize=1024)
-def plan_of(plan: str | None) -> tuple[Tiers, frozenset[str]]:
-    tiers, out = json.loads(plan) if plan else ([], [])
-    return [(enough, frozenset(labels)) for enough, labels in tiers], frozenset(out)
+    read(page, root, opened, text, block)
+    if not blocks and trusted:  # no class word empties a page
+        return main_text(page, leading, wrapper, False)
+    for labels in leading:
+        own = [text for text, _, element in blocks if not labels.isdisjoint(element.named)]
+        if own:
+            return "\n\n".join(own)
+    seen: dict[int, list[Place]] = {}
+    known = {id(wrapper)}
+    for _, _, element in blocks:
+        place = element.item
+        while id(place) not in known:
+            known.add(id(place))
+            seen.setdefault(id(place.above), []).append(place)
+            place = place.above
+    chosen = article_place(wrapper, seen)
+    inside = {id(chosen)}
+    todo = [chosen]
+    while todo:
+        kids = seen.get(id(todo.pop()), [])
+        inside.update(map(id, kids))
+        todo += kids
+    own = [b for b in blocks if id(b[2].item) in inside]
+    hosts = lambda b: b[1] or digest(b[0]) in b[2].item.fixed
+    first, last = 0, len(own)
+    while first < last and hosts(own[first]):
+        first += 1
+    while last > first and hosts(own[last - 1]):
+        last -= 1
+    return "\n\n".join(text for text, _, _ in own[first:last] or own or blocks)
+
+
+WRAPPERS = pa.schema([("host", pa.string()), ("part", pa.int32()), ("wrapper", pa.string())])
 
 
 def merged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    wrapper = None
-    for one in sorted(rows["wrapper"].to_pylist()):
-        one = json.loads(one)
-        wrapper = one if wrapper is None else merge(wrapper, one)
-    return pa.table({"host": [key[0].as_py()], "part": pa.array([0], pa.int32()), "wrapper": [json.dumps(wrapper)]})
+    whole = aligned([unflat(w.as_py()) for w in rows["wrapper"]])
+    return pa.table({"host": [key[0].as_py()], "part": [0], "wrapper": [flat(whole)]}, WRAPPERS)
 
 
 def host_wrappers(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
-    """(host, wrapper) by folding all pages of each host."""
+    """(host, wrapper) by aligning all pages of each host."""
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wrappers: dict[str, list] = {}
+        # wrappers of 1, 2, 4, ... pages of each host: two of about one size are aligned
+        held: dict[str, list[Item]] = {}
+
+        def passed_on() -> pa.RecordBatch:
+            made = {"host": list(held), "wrapper": [flat(aligned(own)) for own in held.values()]}
+            held.clear()
+            return pa.RecordBatch.from_pydict(made, pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+
         for batch in batches:
             for h, page in zip(batch.column(0), batch.column(1)):
-                h, own = h.as_py(), page_items(page.as_py() or "")
-                wrappers[h] = merge(wrappers[h], own) if h in wrappers else own
-        yield pa.RecordBatch.from_pydict({"host": list(wrappers), "wrapper": [json.dumps(w) for w in wrappers.values()]}, pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+                own = held.setdefault(h.as_py(), [])
+                own.append(page_wrapper(page.as_py() or ""))
+                while len(own) > 1 and own[-2].pages <= own[-1].pages:
+                    a = own.pop()
+                    own[-1] = absorb(own[-1], a)
+                    if own[-1].pages >= MANY:
+                        simplified(own[-1])
+            if sum(size(w) for own in held.values() for w in own) > HELD_ITEMS:
+                yield passed_on()
+        yield passed_on()
 
-    schema = "host string, part int, wrapper string"
     tasks = pages.select(host.alias("host"), F.col(html_col).alias("html")).mapInArrow(folded, "host string, wrapper string")
-    parts = tasks.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS))).groupBy("host", "part").applyInArrow(merged, schema)
-    return parts.groupBy("host").applyInArrow(merged, schema).select("host", "wrapper")
+    parts = tasks.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS))).groupBy("host", "part").applyInArrow(merged, "host string, part int, wrapper string")
+    return parts.groupBy("host").applyInArrow(merged, "host string, part int, wrapper string").select("host", "wrapper")
+
+
+def size(root: Item) -> int:
+    """Items and texts of a wrapper."""
+    n, todo = 0, [root]
+    while todo:
+        item = todo.pop()
+        n += 1 + len(item.texts)
+        todo += item.kids.values()
+    return n
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with the main text of each."""
 
     @F.arrow_udf("string")
-    def chosen(wrappers: pa.Array) -> pa.Array:
-        return pa.array([plan(json.loads(w.as_py())) for w in wrappers], pa.string())
+    def planned(wrappers: pa.Array) -> pa.Array:
+        return pa.array([plan(unflat(w.as_py())) for w in wrappers], pa.string())
 
     @F.arrow_udf("string")
     def extracted(html: pa.Array, plans: pa.Array) -> pa.Array:
-        return pa.array((main_text(h.as_py(), *plan_of(p.as_py())) for h, p in zip(html, plans)), pa.string())
+        return pa.array((main_text(h.as_py(), *places(p.as_py())) for h, p in zip(html, plans)), pa.string())
 
     host = host_and_path(F.col(url_col))[0]
-    hosts = settle(host_wrappers(pages, host, html_col).select(F.col("host").alias("_host"), chosen("wrapper").alias("_plan")))
-    if hosts.count() <= BROADCAST_HOSTS:
+    page_host, own_host, own_plan = (unused(pages, c) for c in ("_page_host", "_host", "_plan"))
+    hosts = settle(host_wrappers(pages, host, html_col).select(F.col("host").alias(own_host), planned("wrapper").alias(own_plan)))
+    if (hosts.agg(F.sum(F.length(own_plan))).first()[0] or 0) <= BROADCAST_BYTES:
         hosts = F.broadcast(hosts)
-    joined = pages.withColumn("_page_host", host).join(hosts, F.col("_page_host") == F.col("_host"), "left")
-    return joined.withColumn(text_col, extracted(html_col, "_plan")).drop("_page_host", "_host", "_plan")
+    joined = pages.withColumn(page_host, host).join(hosts, F.col(page_host) == F.col(own_host), "left")
+    return joined.withColumn(text_col, extracted(html_col, own_plan)).drop(page_host, own_host, own_plan)
 
 
 def op6_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:

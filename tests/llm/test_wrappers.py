@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
+from collections import Counter
+from html import unescape
+
 import pytest
 
-from lexiforge.llm.html_wrapper import extract_main_text
+from lexiforge.llm.html_wrapper import MANY, aligned, extract_main_text, flat, main_text, page_wrapper, places, plan, unflat
 
 ARTICLE = "<h1>Title {0}</h1><p>The long story of page {0} goes on and on, with word{0} and more of it.</p>"
 TEXT = "Title {0}\n\nThe long story of page {0} goes on and on, with word{0} and more of it."
@@ -65,3 +71,83 @@ def test_texts_that_differ_late(spark):
     same = "The same long opening of every page. " * 8
     page = f"<body><div class='top'>Our site</div><div class='story'>{same} {{0}}</div></body>"
     assert texts(spark, page) == expected(same.strip() + " {0}")
+
+
+def host_pages(host, pages, seed):
+    """Pages of plain ``div`` elements; which chrome they have depends on the host."""
+    draw = random.Random(seed)
+    say = lambda n: " ".join(draw.choice(WORDS) + str(draw.randrange(10_000)) for _ in range(n))
+    links = "".join(f"<div><a href=/{k}>{say(1)}</a></div>" for k in range(draw.randrange(2, 6)))
+    before, after = [f"<div>{say(3)}</div>" for _ in range(draw.randrange(1, 4))], [f"<div>{say(5)}</div>" for _ in range(draw.randrange(1, 3))]
+    out = []
+    for _ in range(pages):
+        story = [say(draw.randrange(5, 30)) for _ in range(draw.randrange(2, 9))]
+        story.insert(1, "Fixed words &amp; between")
+        body = "".join(f"<div>{x}</div>" for x in story)
+        out.append((f"https://{host}/{say(1)}", f"<body>{''.join(before)}<div>{links}</div>{f'<div>{body}</div>' if seed % 2 else body}{''.join(after)}</body>", [unescape(x) for x in story]))
+    return out
+
+
+WORDS = "river stone winter garden letter music".split()
+
+
+def blocks_by_hand(page):
+    """Texts between tags, with whether they are links."""
+    return [(unescape(text), bool(link)) for link, text in re.findall(r"(<a [^>]*>)?([^<>]+)(?=<)", page)]
+
+
+def test_plain_divs_against_brute_force(spark):
+    hosts = {f"h{k}.example": host_pages(f"h{k}.example", 12, k) for k in range(8)}
+    rows = [(url, page) for own in hosts.values() for url, page, _ in own]
+    found = {r.url: r.text for r in extract_main_text(spark.createDataFrame(rows, "url string, html string")).collect()}
+    alone = places(None)
+    differ = 0
+    for own in hosts.values():
+        on = Counter(text for _, page, _ in own for text in {t for t, _ in blocks_by_hand(page)})
+        for url, page, story in own:
+            left = [(t, link or 4 * on[t] >= 3 * len(own)) for t, link in blocks_by_hand(page)]
+            while left[0][1]:
+                del left[0]
+            while left[-1][1]:
+                del left[-1]
+            assert found[url] == "\n\n".join(t for t, _ in left) == "\n\n".join(story)
+            differ += found[url] != main_text(page, *alone)
+    assert differ == len(rows)
+
+
+def test_the_order_of_pages_does_not_matter(spark):
+    rows = [(url, page) for k in range(3) for url, page, _ in host_pages(f"h{k}.example", 20, k)]
+    random.Random(1).shuffle(rows)
+    wrappers = [flat(aligned([page_wrapper(page) for url, page in own])) for own in (sorted(rows), rows)]
+    assert wrappers[0] == wrappers[1] == flat(unflat(wrappers[0]))
+    texts = lambda parts: sorted(extract_main_text(spark.createDataFrame(rows, "url string, html string").repartition(parts)).select("url", "text").collect())
+    assert texts(1) == texts(7)
+
+
+def test_wrappers_are_bounded_by_pages_not_by_their_number():
+    page = "<body><div class='x{0}'><p class='y{0}'>One {0}</p></div><div class='story'><p>Story {0}</p></div></body>"
+    names = ["".join(random.Random(i).choices("abcdefgh", k=8)) for i in range(8 * MANY)]
+    whole = aligned([page_wrapper(page.replace("{0}", n)) for n in names])
+    body = whole.kids["body"]
+    assert set(body.kids) == {"div", "div.story"} and body.kids["div"].pages == body.kids["div.story"].pages == len(names)
+    assert not body.kids["div.story"].kids["p"].texts
+    assert main_text(page.replace("{0}", "new"), *places(plan(whole))) == "One new\n\nStory new"
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<body>" + "".join(f"<div>Level {k} of {{0}}" for k in range(10_000)) + "</div>" * 10_000
+    long = "<body><div class='top'>Site</div>" + "".join(f"<h2>Part {k} of {{0}}</h2><p>Text {k} of {{0}}</p>" for k in range(5_000))
+    began = time.monotonic()
+    assert texts(spark, deep, 3) == ["\n\n".join(f"Level {k} of {i}" for k in range(10_000)) for i in range(3)]
+    assert texts(spark, long, 3) == ["\n\n".join(f"Part {k} of {i}\n\nText {k} of {i}" for k in range(5_000)) for i in range(3)]
+    assert time.monotonic() - began < 120
+
+
+@pytest.mark.parametrize("page", ["<div", "<div class=", "<a href='x", "</p></div></b>" * 2_000, "<b>" * 2_000 + "</i>" * 2_000, "<!-- no end <p>x", "<p>a<p>b<table><tr><td>c<td>d", "<svg><path/></svg>ok", "<title>t", "\x00<p>\ud7ff &#0; &bad; &#x110000;"])
+def test_broken_markup(spark, page):
+    assert len(texts(spark, page + " {0}", 2)) == 2
+
+
+def test_columns_of_any_names(spark):
+    df = spark.createDataFrame([("https://a.example/", "<p>x</p>", 1, 2, 3)], "url string, html string, _page_host int, _host int, _plan int")
+    assert extract_main_text(df).collect()[0].asDict() == {"url": "https://a.example/", "html": "<p>x</p>", "_page_host": 1, "_host": 2, "_plan": 3, "text": "x"}
