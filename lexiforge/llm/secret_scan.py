@@ -9,9 +9,17 @@ and paths repeat their surroundings or the dictionary and add little; random str
 add about their whole length and are reported as spans of kind ``novel``, wherever
 in the text they stand again.
 
+The dictionary has the words that identifiers in sensitive contexts are put together
+from, by the number of texts that have them: all texts are counted, and the most
+frequent ``CORPUS_WORDS`` are kept. Only strings that read as words are counted, so
+a secret does not become known by being copied. A list of common ones stands behind
+them for small tables.
+
 Defined results: null texts are empty and have no spans. Texts of any length
-are scanned whole; positions are code points, ends exclusive. Equal starts are
-ordered assign, access, hex, novel. One pass, no shuffle; other columns pass.
+are scanned whole, in time that grows with their length; positions are code points,
+ends exclusive. Equal starts are ordered assign, access, hex, novel. Repeated rows
+have equal spans; an empty table gives an empty result. Two passes, and a shuffle of
+words; other columns pass, but one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -39,7 +47,11 @@ KINDS = ("assign", "access", "hex", "novel")
 # Words that make the lines around them sensitive.
 SENSITIVE = re.compile(r"passw(?:or)?d|passphrase|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|signing[\x20_-]?key|credential|bearer|authorization", re.IGNORECASE | re.ASCII)
 SENSITIVE_WORDS = ("passw", "passphrase", "secret", "token", "key", "credential", "bearer", "authorization")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}", re.ASCII)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{8,}(?:\.[A-Za-z0-9+/_-]{8,})*={0,2}", re.ASCII)
+#: Short candidates change between kinds of characters at least so often, longer ones between letters and digits, or they don't read as words.
+LONG, CHANGES = 16, 4
+CHANGE = re.compile(r"(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[0-9]|(?<=[0-9])[A-Za-z]", re.ASCII)
+DIGITS = re.compile(r"(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]", re.ASCII)
 #: Words as identifiers are put together from them, and runs without vowels.
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", re.ASCII)
 CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{6,}", re.ASCII)
@@ -54,7 +66,10 @@ SURROUNDINGS = 256
 #: Compressed bytes added, over the candidate's length.
 NOVEL = 0.7
 
-# What source code and prose around secrets is made of.
+#: Words of the corpus in the dictionary, and characters of one at most.
+CORPUS_WORDS, WORD_LENGTH = 2000, 40
+
+# What source code and prose around secrets is made of; it stands behind the corpus's own words.
 IDENTIFIERS = """
 import from return class function public private static final const let var self this null none true false
 if else elif for while try catch except finally raise throw new delete with as in not and or is lambda yield
@@ -76,8 +91,8 @@ your_api_key_here your-token-here changeme placeholder redacted undefined applic
 class Novelty:
     """How many bytes a candidate adds to its compressed surroundings."""
 
-    def __init__(self, words: bytes = IDENTIFIERS, level: int = 9):
-        self.compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+    def __init__(self, words: bytes = b"", level: int = 9):
+        self.compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words + IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
 
     def ratio(self, before: str, candidate: str, after: str = "") -> float:
         # lone surrogates may stand beside it
@@ -86,9 +101,9 @@ class Novelty:
         return added / len(own)
 
 
-@lru_cache(maxsize=1)
-def novelty() -> Novelty:
-    return Novelty()
+@lru_cache(maxsize=4)
+def novelty(words: bytes) -> Novelty:
+    return Novelty(words)
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
@@ -105,7 +120,7 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
 def contexts(text: str) -> list[tuple[int, int]]:
     """Parts of the text, in order and apart, that are sensitive: the lines around sensitive words, with wrapped lines after them, and PEM blocks."""
     parts = [m.span(1) for m in PEM.finditer(text)]
-    reached = -1
+    n, reached, wrapped = len(text), -1, (-1, -1)
     for word in SENSITIVE.finditer(text):
         if word.end() <= reached:  # on a line that has had its turn
             continue
@@ -114,13 +129,21 @@ def contexts(text: str) -> list[tuple[int, int]]:
             start = text.rfind("\n", 0, max(0, start))
             if start < 0:
                 break
-        line = stop = text.find("\n", word.end())
-        reached = len(text) if line < 0 else line
+        stop = text.find("\n", word.end())
+        reached = stop = n if stop < 0 else stop
         for _ in range(LINES):
-            stop = text.find("\n", stop + 1) if stop >= 0 else -1
-        while stop >= 0 and text.startswith(WRAPPED, stop + 1):
             stop = text.find("\n", stop + 1)
-        parts.append((start + 1, len(text) if stop < 0 else stop))
+            if stop < 0:
+                stop = n
+                break
+        if text.startswith(WRAPPED, stop + 1):
+            if not wrapped[0] <= stop <= wrapped[1]:  # else these lines have been passed over before
+                first = stop
+                while 0 <= stop < n and text.startswith(WRAPPED, stop + 1):
+                    stop = text.find("\n", stop + 1)
+                wrapped = first, n if stop < 0 else stop
+            stop = wrapped[1]
+        parts.append((start + 1, stop))
     out: list[tuple[int, int]] = []
     for a, b in sorted(parts):
         if out and a <= out[-1][1]:
@@ -131,13 +154,22 @@ def contexts(text: str) -> list[tuple[int, int]]:
 
 
 def worded(own: str) -> bool:
-    """Is a string without digits put together from what may be words, which compress no better than random letters do?"""
+    """Are a string's letters put together from what may be words, which compress no better than random letters do?"""
     letters = [c for c in own.lower() if c.isalpha()]
     pieces = PIECE.findall(own)
     return len(letters) >= 3 * len(pieces) and 5 * sum(c in "aeiouy" for c in letters) >= len(letters) and not CONSONANTS.search(own.lower())
 
 
-def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def may_be_secret(own: str) -> bool:
+    """Does a candidate change between letters and digits so often, or read so little like words, that its bytes are worth a look?"""
+    if not re.search("[A-Za-z]", own):
+        return False
+    if len(own) < LONG:
+        return len(CHANGE.findall(own)) >= CHANGES
+    return len(DIGITS.findall(own)) >= CHANGES or not worded(own)
+
+
+def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], words: bytes = b"") -> list[tuple[int, int, int]]:
     """Incompressible strings in a sensitive context that no base span touches, and all their copies."""
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
@@ -148,26 +180,25 @@ def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[t
     for start, stop in contexts(text):
         for m in CANDIDATE.finditer(text, start, stop):
             own = m.group()
-            if novel.get(own) or any(taken[m.start() : m.end()]):
-                continue
-            if not re.search("[A-Za-z]", own) or not re.search("[0-9]", own) and worded(own):
+            if novel.get(own) or any(taken[m.start() : m.end()]) or not may_be_secret(own):
                 continue
             # copies nearby are no surroundings: they would make any string known
             before, after = text[max(0, m.start() - SURROUNDINGS) : m.start()].replace(own, ""), text[m.end() : m.end() + SURROUNDINGS].replace(own, "")
-            novel[own] = novelty().ratio(before, own, after) >= NOVEL
-    copies = (m.span() for own, is_novel in novel.items() if is_novel for m in re.finditer(re.escape(own), text))
-    return sorted((a, 3, b) for a, b in copies if not any(taken[a:b]))
+            novel[own] = novelty(words).ratio(before, own, after) >= NOVEL
+    if not any(novel.values()):
+        return []
+    return [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if novel.get(m.group()) and not any(taken[m.start() : m.end()])]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(text: str | None) -> dict:
+def scan(text: str | None, words: bytes = b"") -> dict:
     text = text or ""
     low = text.lower()  # only tells which patterns can match at all
     base = base_spans(text, low)
-    spans = sorted(base + novel_spans(text, low, base))
+    spans = sorted(base + novel_spans(text, low, base, words))
     n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
     return {"n_assign": n[0], "n_access": n[1], "n_hex": n[2], "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "spans": joined(spans), "found": [{"kind": KINDS[k], "start": a, "end": b, "string": text[a:b]} for a, k, b in spans]}
 
@@ -175,18 +206,41 @@ def scan(text: str | None) -> dict:
 RESULT = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("found", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("string", pa.string())])))])
 
 
-def secrets(text: Column) -> Column:
+def context_words(text: str | None) -> list[str]:
+    """The different words in the sensitive contexts of a text; no random strings."""
+    text = text or ""
+    low = text.lower()
+    if not any(w in low for w in SENSITIVE_WORDS):
+        return []
+    found = (m.group() for start, stop in contexts(text) for m in PIECE.finditer(text, start, stop))
+    return sorted(w for w in set(found) if 3 <= len(w) <= WORD_LENGTH and worded(w))
+
+
+def dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
+    """The words of most texts' sensitive contexts, the most frequent last: there zstandard refers to them most cheaply."""
+
+    @F.arrow_udf("array<string>")
+    def listed(texts: pa.Array) -> pa.Array:
+        return pa.array([context_words(t.as_py()) for t in texts], pa.list_(pa.string()))
+
+    counts = docs.select(F.explode(listed(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect()]
+    return " ".join(reversed(words)).encode("utf-8", "surrogatepass")
+
+
+def secrets(text: Column, words: bytes = b"") -> Column:
     """A struct of the counts, the digest of the base spans, all spans as text and as an array with the strings found."""
 
     @F.arrow_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:bigint,end:bigint,string:string>>")
     def scanned(texts: pa.Array) -> pa.Array:
-        return pa.array([scan(t.as_py()) for t in texts], RESULT)
+        return pa.array([scan(t.as_py(), words) for t in texts], RESULT)
 
     return scanned(text)
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", result_col: str = "secrets") -> DataFrame:
-    return docs.withColumn(result_col, secrets(F.col(text_col)))
+def scan_secrets(docs: DataFrame, text_col: str = "text", result_col: str = "secrets", words: bytes | None = None) -> DataFrame:
+    """``docs`` with the secrets of each text; words: a dictionary in place of that of ``docs``."""
+    return docs.withColumn(result_col, secrets(F.col(text_col), dictionary(docs, text_col) if words is None else words))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
