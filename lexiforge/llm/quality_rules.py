@@ -2,14 +2,17 @@
 
 Each text's words, symbols, repeated lines and repeated five-word windows are
 counted by array functions; a document fails if it has too few words or repeats
-too many. Failures are aggregated by host (here: the source), each host's rate
-is shrunk to the corpus by a beta prior that is fitted to all hosts by the method
-of moments, and a host whose shrunk rate reaches a limit loses all its documents.
+too many (the base rules). These and the other ``RULES`` are aggregated by host
+(here: the source): for each rule, a host's rate of failures is shrunk to that of the
+corpus by a beta prior that is fitted to all hosts by the method of moments. Of the
+spread between hosts the binomial part, which chance alone makes, is taken out first,
+so small hosts are shrunk as far as their few documents tell. A host of which some
+rule's shrunk rate reaches ``MAX_HOST_RATE`` loses all its documents.
 
 Defined results: null and empty texts have no words and fail. Null hosts form
-one host of their own. With fewer than two hosts, or hosts that all have one
-rate, the prior has ``STRONG_PRIOR`` documents. An empty table gives an empty
-result. Repeated rows count as often as they stand. Hosts' counts are combined
+one host of their own. With fewer than two hosts, or hosts that spread no more than
+chance makes them, the prior has ``STRONG_PRIOR`` documents. An empty table gives an
+empty result. Repeated rows count as often as they stand. Hosts' counts are combined
 before the shuffle; the join with the verdicts sees a hot host whole, and
 adaptive execution splits it (or broadcasts the verdicts if they are small).
 """
@@ -28,10 +31,19 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: A host is dropped if so large a part of its documents fails, after shrinking.
-MAX_HOST_RATE = 0.6
-#: Documents that the prior counts for at most.
-STRONG_PRIOR = 1000.0
+#: A host is dropped if so large a part of its documents fails one of the rules, after shrinking.
+MAX_HOST_RATE = 0.5
+#: Documents that the prior counts for at least and at most.
+WEAK_PRIOR, STRONG_PRIOR = 1.0, 1000.0
+#: The rules by name; the first two are the base rules. Valid in Spark and DuckDB.
+RULES = {
+    "few_words": f"n_words < {MIN_WORDS}",
+    "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "10 * n_dup_lines > 3 * n_lines",
+    "word_length": "word_chars < 3 * n_words OR word_chars > 10 * n_words",
+}
+BASE = ("few_words", "repeats")
 
 
 def repeated_words(words: Column, n: Column) -> Column:
@@ -63,7 +75,7 @@ def repeated_words(words: Column, n: Column) -> Column:
 
 
 def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = unused(docs, "_words")
     split = docs.withColumn(own, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
@@ -74,6 +86,7 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_words": n.cast("long"),
             "word_chars": F.char_length(F.translate(text, SPACES, "")).cast("long"),
             "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "n_lines": F.size(lines).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             "n_repeat_words": repeated_words(words, n),
         }
@@ -82,25 +95,25 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return F.expr(" OR ".join(f"({RULES[name]})" for name in BASE))
 
 
 def host_verdicts(judged: DataFrame, host: Column) -> DataFrame:
-    """One row per host: documents, failures, the shrunk rate and ``host_kept``."""
-    hosts = judged.groupBy(host.alias("host")).agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed"))
-    rates = hosts.agg(
-        F.sum("failed").alias("all_failed"),
-        F.sum("n").alias("all_n"),
-        F.count("*").alias("hosts"),
-        F.sum(F.col("n") * (F.col("failed") / F.col("n")) * (F.col("failed") / F.col("n"))).alias("squares"),
-    )
-    mean = F.col("all_failed") / F.col("all_n")
-    spread = F.col("squares") / F.col("all_n") - mean * mean
-    # of a beta distribution with this mean and spread
-    weight = F.when(spread > 1e-12, F.least(F.lit(STRONG_PRIOR), F.greatest(F.lit(1.0), mean * (1 - mean) / F.when(spread > 1e-12, spread) - 1))).otherwise(F.lit(STRONG_PRIOR))
-    prior = rates.select(mean.alias("prior_mean"), weight.alias("prior_weight"))  # one row
-    shrunk = (F.col("failed") + F.col("prior_mean") * F.col("prior_weight")) / (F.col("n") + F.col("prior_weight"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", shrunk.alias("host_rate"), (shrunk < MAX_HOST_RATE).alias("host_kept"))
+    """One row per host: the host, the largest shrunk rate of failures and ``host_kept``."""
+    hosts = judged.groupBy(host.alias("host")).agg(F.count("*").alias("n"), *[F.count_if(F.expr(rule)).alias(name) for name, rule in RULES.items()])
+    n, squares = F.sum("n"), F.sum(F.col("n") * F.col("n"))
+    priors = []
+    for name in RULES:
+        mean = F.sum(name) / n
+        spread = F.sum(F.col(name) * F.col(name) / F.col("n")) - F.sum(name) * F.sum(name) / n
+        chance = (F.count("*") - 1) * mean * (1 - mean)
+        between = (spread - chance) / F.nullif(n - squares / n - (F.count("*") - 1), F.lit(0.0))
+        # of a beta distribution with this mean and spread
+        weight = F.when(between > 1e-12, F.least(F.lit(STRONG_PRIOR), F.greatest(F.lit(WEAK_PRIOR), mean * (1 - mean) / F.nullif(between, F.lit(0.0)) - 1))).otherwise(F.lit(STRONG_PRIOR))
+        priors += [mean.alias(f"{name}_mean"), weight.alias(f"{name}_weight")]
+    joined = hosts.crossJoin(F.broadcast(hosts.agg(*priors)))  # one row
+    rates = [(F.col(name) + F.col(f"{name}_mean") * F.col(f"{name}_weight")) / (F.col("n") + F.col(f"{name}_weight")) for name in RULES]
+    return joined.select("host", F.greatest(*rates).alias("host_rate")).withColumn("host_kept", F.col("host_rate") < MAX_HOST_RATE)
 
 
 def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -118,10 +131,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = settle(text_counts(docs).drop("text").withColumn("base_failed", base_failed()))
     hosts = host_verdicts(judged, F.col("source"))
     joined = judged.join(hosts, F.col("source").eqNullSafe(F.col("host")), "left")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"), F.round("host_rate", 6).alias("host_rate"))
 
 
-OP7_SQL = r"""
+OP7_SQL = rf"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -136,17 +149,22 @@ f AS (
   SELECT w.doc_id, w.source, CAST(len(words) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) AS BIGINT) AS n_lines,
          CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))
               - len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id),
-j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS failed FROM j GROUP BY source),
-m AS (SELECT sum(failed) / sum(n) AS mean, sum(n * (failed / n) * (failed / n)) / sum(n) AS square FROM h),
+j AS (SELECT *, {" OR ".join(f"({RULES[name]})" for name in BASE)} AS base_failed FROM f),
+h AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE {rule}) AS {name}" for name, rule in RULES.items())} FROM j GROUP BY source),
+l AS (SELECT source, n, rule, failed FROM h UNPIVOT (failed FOR rule IN ({", ".join(RULES)}))),
+m AS (
+  SELECT rule, sum(failed) / sum(n) AS mean, sum(failed * failed / n) - sum(failed) * sum(failed) / sum(n) AS spread,
+         (count(*) - 1) * (sum(failed) / sum(n)) * (1 - sum(failed) / sum(n)) AS chance,
+         sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS freedom FROM l GROUP BY rule),
 p AS (
-  SELECT mean, CASE WHEN square - mean * mean > 1e-12
-    THEN least(1000.0, greatest(1.0, mean * (1 - mean) / (square - mean * mean) - 1)) ELSE 1000.0 END AS weight FROM m),
-v AS (SELECT h.source, (failed + mean * weight) / (n + weight) < 0.6 AS host_kept FROM h, p)
-SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
+  SELECT rule, mean, CASE WHEN (spread - chance) / nullif(freedom, 0) > 1e-12
+    THEN least({STRONG_PRIOR}, greatest({WEAK_PRIOR}, mean * (1 - mean) / nullif((spread - chance) / freedom, 0) - 1)) ELSE {STRONG_PRIOR} END AS weight FROM m),
+v AS (SELECT source, max((failed + mean * weight) / (n + weight)) AS host_rate FROM l JOIN p ON l.rule = p.rule GROUP BY source)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate < {MAX_HOST_RATE} AS kept, round(host_rate, 6) AS host_rate
 FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source
 """
