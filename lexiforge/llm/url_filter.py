@@ -163,6 +163,15 @@ def bayes(hosts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, float]:
     return counts.crossJoin(F.broadcast(total)).select("word", odds.alias("odds")), math.log((seen["block"] + 1) / (seen["allow"] + 1))
 
 
+def with_host_odds(pairs: DataFrame, host_odds: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``pairs`` with the odds of their hosts; the pairs of a host that has a large part of them are spread over ``SALTS`` keys."""
+    size = hosts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("host")), F.lit(0)).alias("letters")).first()
+    if size["n"] <= BROADCAST_WORDS and size["letters"] <= BROADCAST_LETTERS:
+        return pairs.join(F.broadcast(host_odds), "host", "left")
+    copies = host_odds.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS))).join(copies, ["host", "salt"], "left").drop("salt")
+
+
 def judge_urls(pages: DataFrame, url_col: str = "url", host_col: str = "host", path_col: str = "path", rule_col: str = "rule", verdict_col: str = "verdict", rules=RULES, judged: DataFrame | None = None) -> DataFrame:
     """``pages`` with host, path, the rule that fits and the verdict; judged: further examples (url, verdict)."""
     host, path = host_and_path(F.col(url_col))
@@ -185,7 +194,7 @@ def judge_urls(pages: DataFrame, url_col: str = "url", host_col: str = "host", p
     path_odds = open_pairs.select("path").distinct().select("path", F.explode(letters(F.col("path"))).alias("word")).join(odds, "word").groupBy("path").agg(F.sum("odds").alias("path_odds"))
     score = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0))
     own = [unused(pages, c) for c in ("_host", "_path", "_rule", "_verdict", "_own_host", "_own_path")]
-    found = pairs.join(host_odds, "host", "left").join(path_odds, "path", "left")
+    found = with_host_odds(pairs, host_odds, hosts).join(path_odds, "path", "left")
     found = found.select("host", "path", "rule", F.coalesce("known", F.when(score > 0, "block").otherwise("allow"))).toDF(*own[:4])
     joined = pages.withColumns({own[4]: host, own[5]: path}).join(found, (F.col(own[4]) == F.col(own[0])) & (F.col(own[5]) == F.col(own[1])))
     return joined.withColumns(dict(zip((host_col, path_col, rule_col, verdict_col), map(F.col, own)))).drop(*own)
