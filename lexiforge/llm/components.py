@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.storage import ensure_checkpoint_dir, settle
+from lexiforge.llm.storage import ensure_checkpoint_dir, join_hot, settle
 
 
 class Rounds:
@@ -42,21 +42,27 @@ def components(edges: DataFrame) -> DataFrame:
     first in an order that is drawn anew; edges are carried over to the targets.
     The number of vertices falls by a factor each round, on paths too, so the
     rounds grow with the logarithm of the input. Groups are combined before the
-    shuffle; joins on a hub are split by adaptive execution.
+    shuffle; the edges of hubs are not shuffled by their hub.
     """
     tables, steps = Rounds(edges.sparkSession), []
-    edges = tables.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    while not edges.isEmpty():
-        order = lambda c, k=len(steps): F.xxhash64(F.col(c), F.lit(k))
-        near = edges.groupBy("a").agg(F.min(F.struct(order("b").alias("o"), F.col("b").alias("v"))).alias("near"))
-        own = F.struct(order("a").alias("o"), F.col("a").alias("v"))
-        step = tables.keep(near.select(F.col("a").alias("v"), F.least("near", own)["v"].alias("to")))
-        steps.append(step)
-        moved = edges.join(step.select(F.col("v").alias("a"), F.col("to").alias("a2")), "a").join(step.select(F.col("v").alias("b"), F.col("to").alias("b2")), "b")
-        edges = tables.keep(moved.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
-    labels = steps[0].select("v", F.col("to").alias("label")) if steps else edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    for step in steps[1:]:
-        labels = labels.join(step.select(F.col("v").alias("label"), "to"), "label", "left").select("v", F.coalesce("to", "label").alias("label"))
-    labels = settle(labels)
-    tables.drop()
-    return labels
+    try:
+        edges = tables.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+        while total := edges.count():
+            order = lambda c, k=len(steps): F.xxhash64(F.col(c), F.lit(k))
+            near = edges.groupBy("a").agg(F.min(F.struct(order("b").alias("o"), F.col("b").alias("v"))).alias("near"), F.count("*").alias("degree"))
+            own = F.struct(order("a").alias("o"), F.col("a").alias("v"))
+            step = tables.keep(near.select(F.col("a").alias("v"), F.least("near", own)["v"].alias("to"), "degree"))
+            steps.append(step.drop("degree"))
+            moved = edges
+            for end in ("a", "b"):  # edges stand both ways, so a vertex is as often either end
+                moved = join_hot(moved, step.select(F.col("v").alias(end), F.col("to").alias(f"{end}2"), "degree"), end, "degree", total)
+            edges = tables.keep(moved.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
+        labels = steps[0].select("v", F.col("to").alias("label")) if steps else edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
+        for step in steps[1:]:
+            # few labels have many vertices; which ones is counted first
+            sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+            labels = join_hot(labels, step.select(F.col("v").alias("label"), "to").join(sizes, "label"), "label", "size", labels.count(), "left")
+            labels = tables.keep(labels.select("v", F.coalesce("to", "label").alias("label")))
+        return settle(labels)
+    finally:
+        tables.drop()

@@ -4,24 +4,27 @@ Texts are sets of five-word shingles; two link at a Jaccard similarity of 0.75
 or more. The result is the component of links of every document, and it is
 exact: no link between different sets is lost.
 
-1. Every text becomes the size of its set and a 64-bit key of it. Equal sets are
-   one class from here on, so exact copies cost one class however many there are.
+1. Every text becomes the size of its set and a key of it. Equal sets are one
+   class from here on, so exact copies cost one class however many there are.
 2. The classes' shingle hashes are dealt out into buckets of hash space, packed
    in binary columns. Within a bucket, shingles of a single class are dropped:
    they can't be in any overlap. What is left goes back to the classes, packed by
    groups of them; a class of which less than three quarters are left can't link
-   with anything.
+   with anything. Shingles that a sample of texts shows to be common are dealt out
+   by class and count as shared, the most frequent ones of all; that spares the
+   bucket they would meet in and changes no result.
 3. Two linked sets have a common shingle among the rarest quarter of either. The
    classes are joined to blocks along these shingles (to the first class of each,
    not pairwise); links exist within blocks only.
 4. Within a block a signature tree is traversed against itself. Pairs of nodes are
    passed over where sizes or bitmaps exclude a link or where all sets are already
    in one group. Blocks beyond ``TILE`` sets are cut into tiles: each tile alone,
-   then one leader of each tile, then, for sets that are not in the block's
-   largest group by now, these against all tiles.
+   then one leader of each tile. What is not together then meets once more along
+   each rare shingle that several groups have, for only there can a link be.
 
 Identity is by hash: 48 bits for a shingle within overlaps (one wrong overlap
-in about 10^9 pairs of 300 shingles), 64 bits for a set.
+in about 10^9 pairs of 300 shingles), 128 bits for a set: 64 that stand for it,
+and 64 more that are compared; sets that agree in the first only are told apart.
 
 Defined results: null texts count as empty; a text without words has no set,
 is its own component and has ``n_shingles`` 0. A component's id is the least id
@@ -35,27 +38,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.llm.components import components
 from lexiforge.llm.hashing import mixed, shingle_sets
 from lexiforge.llm.signature_tree import Groups, SignatureTree, links
-from lexiforge.llm.storage import settle, table
+from lexiforge.llm.storage import join_hot, settle, table, unused
 
 WIDTH = 5
 NEED = (75, 100)
 #: Shingles that a bucket of hash space is sized for.
 BUCKET_SHINGLES = 3_000_000
+#: Texts sampled for common shingles; those in one of ``COMMON`` of them are, at most MOST_COMMON.
+SAMPLED_TEXTS, COMMON, MOST_COMMON = 20_000, 500, 65_536
+#: Sets whose keys agree by chance, at most; about one is expected among 10^10 sets.
+MOST_AGREEING = 10_000
+#: Shingles of fewer sampled texts are not common.
+HOT_TEXTS = 40
+#: The frequency that common shingles count for.
+EVERYWHERE = np.uint32(0xFFFFFFFF)
 #: Sets of one block that one task compares at once.
 TILE = 512
 #: Bytes of sets that one task of small blocks is sized for.
 PACK_BYTES = 8_000_000
 
 
-def set_key(ids: np.ndarray) -> int:
+def set_key(ids: np.ndarray, seed: int = 101) -> int:
     """A set's key: a 64-bit sum that doesn't depend on order; signed, as Spark's long."""
-    return int((mixed(ids, 101).sum(dtype=np.uint64) + np.uint64(len(ids))).astype(np.int64))
+    return int((mixed(ids, seed).sum(dtype=np.uint64) + np.uint64(len(ids))).astype(np.int64))
+
+
+def told_apart(ids: np.ndarray, agreeing: frozenset[int]) -> int:
+    """The key, or the second one where the first stands for several sets."""
+    key = set_key(ids)
+    return set_key(ids, 202) if key in agreeing else key
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -71,18 +88,36 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, key) of every row."""
+    """(id, n, key, second) of every row."""
 
-    @F.arrow_udf("n long, key long")
+    @F.arrow_udf("n long, key long, second long")
     def sizes(texts: pa.Array) -> pa.Array:
-        n, keys = [], []
+        n, keys, seconds = [], [], []
         for sets in shingle_sets(texts, WIDTH):
             n += [len(s) for s in sets]
             keys += [set_key(s) for s in sets]
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(keys, pa.int64())], ["n", "key"])
+            seconds += [set_key(s, 202) for s in sets]
+        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (n, keys, seconds)], ["n", "key", "second"])
 
     rows = docs.select(F.col(id_col).alias("id"), sizes(F.col(text_col)).alias("s"))
-    return rows.select("id", "s.n", "s.key")
+    return rows.select("id", "s.n", "s.key", "s.second")
+
+
+def common_shingles(docs: DataFrame, text_col: str, rows: int) -> np.ndarray:
+    """Shingles of more than one in ``COMMON`` texts of a sample, sorted; a bounded number."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sets in shingle_sets(batch.column(0), WIDTH):
+                different = {set_key(s): s for s in sets}.values()
+                ids, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *different]) >> np.uint64(16), return_counts=True)
+                often = n > len(different) // COMMON
+                yield pa.RecordBatch.from_arrays([pa.array(ids[often].astype(np.int64)), pa.array(n[often])], ["shingle", "n"])
+
+    sample = docs if rows <= SAMPLED_TEXTS else docs.sample(SAMPLED_TEXTS / rows, 1)
+    counts = sample.select(text_col).mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    often = counts.where(F.col("n") > max(HOT_TEXTS, min(rows, SAMPLED_TEXTS) // COMMON)).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON)
+    return np.sort(np.array([r.shingle for r in often.collect()], np.uint64))
 
 
 BLOB = "keys binary, sizes binary, runs binary, ids binary"
@@ -106,13 +141,21 @@ def unblob(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.concatenate(read("keys", np.int64)), runs), np.repeat(np.concatenate(read("sizes", np.uint32)), runs), np.concatenate([unpack(x.as_py()) for x in rows["ids"]])
 
 
-def dealt(docs: DataFrame, text_col: str, n_buckets: int) -> DataFrame:
-    """(bucket, blob): the shingles of each bucket of hash space, from many texts at a time."""
+def is_in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(sorted_, values)
+    at[at == len(sorted_)] = 0
+    return sorted_[at] == values
+
+
+def dealt(docs: DataFrame, text_col: str, n_buckets: int, common: np.ndarray, agreeing: frozenset[int]) -> DataFrame:
+    """(bucket, blob): the shingles of each bucket of hash space, from many texts at a time; ``common`` ones by class."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sets in shingle_sets(batch.column(0), WIDTH):
-                classes = {set_key(s): s for s in sets if len(s)}
+                classes = {told_apart(s, agreeing): s for s in sets if len(s)}
                 if not classes:
                     continue
                 keys = np.fromiter(classes, np.int64, len(classes))
@@ -120,6 +163,8 @@ def dealt(docs: DataFrame, text_col: str, n_buckets: int) -> DataFrame:
                 ids = np.concatenate(list(classes.values())) >> np.uint64(16)
                 owner = np.repeat(np.arange(len(keys)), sizes)
                 bucket = (ids * np.uint64(n_buckets)) >> np.uint64(48)
+                often = is_in(ids, common)
+                bucket[often] = mixed(keys[owner[often]].astype(np.uint64), 3) % np.uint64(n_buckets)
                 order = np.argsort(bucket.astype(np.uint32), kind="stable")
                 ids, owner, bucket = ids[order], owner[order], bucket[order]
                 begins = runs_of(bucket)
@@ -129,7 +174,7 @@ def dealt(docs: DataFrame, text_col: str, n_buckets: int) -> DataFrame:
     return docs.select(text_col).mapInArrow(deal, f"bucket int, {BLOB}")
 
 
-def shared_shingles(blobs: DataFrame, n_groups: int) -> DataFrame:
+def shared_shingles(blobs: DataFrame, n_buckets: int, n_groups: int, common: np.ndarray) -> DataFrame:
     """(group, blob, df): the shingles that two classes or more have, and how many have them, dealt by groups of classes.
 
     A bucket gives one row to each group of classes, not to each class.
@@ -140,7 +185,7 @@ def shared_shingles(blobs: DataFrame, n_groups: int) -> DataFrame:
         order = np.argsort(ids, kind="stable")
         keys, sizes, ids = keys[order], sizes[order], ids[order]
         same = ids[1:] == ids[:-1]
-        twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        twice = np.concatenate(([False], same)) | np.concatenate((same, [False])) | is_in(ids, common)
         keys, sizes, ids = keys[twice], sizes[twice], ids[twice]
         order = np.lexsort((keys, ids))
         keys, sizes, ids = keys[order], sizes[order], ids[order]
@@ -148,8 +193,9 @@ def shared_shingles(blobs: DataFrame, n_groups: int) -> DataFrame:
         new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])  # a class may come from several tasks
         keys, sizes, ids = keys[new], sizes[new], ids[new]
         have = np.diff(runs_of(ids), append=len(ids)) if len(ids) else np.zeros(0, np.int64)
-        df = np.repeat(have, have)
-        keys, sizes, ids, df = keys[df > 1], sizes[df > 1], ids[df > 1], df[df > 1].astype(np.uint32)
+        df = np.repeat(have, have).astype(np.uint32)
+        df[is_in(ids, common)] = EVERYWHERE
+        keys, sizes, ids, df = keys[df > 1], sizes[df > 1], ids[df > 1], df[df > 1]
         group = (keys.astype(np.uint64) % np.uint64(n_groups)).astype(np.int64)
         order = np.lexsort((keys, group))
         keys, sizes, ids, df, group = keys[order], sizes[order], ids[order], df[order], group[order]
@@ -157,10 +203,11 @@ def shared_shingles(blobs: DataFrame, n_groups: int) -> DataFrame:
         out = [{"group": int(group[a])} | blob(keys[a:b], sizes[a:b], ids[a:b]) | {"df": df[a:b].tobytes()} for a, b in zip(begins, [*begins[1:], len(ids)])]
         return pa.Table.from_pylist(out, pa.schema([("group", pa.int32()), *((c, pa.binary()) for c in ("keys", "sizes", "runs", "ids", "df"))]))
 
-    return blobs.groupBy("bucket").applyInArrow(keep, f"group int, {BLOB}, df binary")
+    # as many partitions as buckets: a task has few of them, at any size
+    return blobs.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(keep, f"group int, {BLOB}, df binary")
 
 
-def candidates(shared: DataFrame) -> DataFrame:
+def candidates(shared: DataFrame, n_groups: int) -> DataFrame:
     """(key, n, ids, prefix): classes that may link; their shared shingles in order; the rarest of them that a partner must meet."""
 
     def gather(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -183,16 +230,17 @@ def candidates(shared: DataFrame) -> DataFrame:
             out["prefix"].append(ids[a:b][rarest].astype(np.int64))
         return pa.table(out, pa.schema([("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
 
-    return shared.groupBy("group").applyInArrow(gather, "key long, n long, ids binary, prefix array<long>")
+    return shared.repartition(n_groups, "group").groupBy("group").applyInArrow(gather, "key long, n long, ids binary, prefix array<long>")
 
 
 def in_blocks(sets: DataFrame) -> DataFrame:
-    """(block, key, n, ids) of the classes that meet another one along a rare shingle."""
+    """(block, key, n, ids, prefix) of the classes that meet another one along a rare shingle."""
     postings = sets.select("key", F.explode("prefix").alias("shingle"))
-    hubs = postings.groupBy("shingle").agg(F.min("key").alias("hub"), F.max("key").alias("other")).where("hub <> other")
-    edges = postings.join(hubs, "shingle").select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    hubs = settle(postings.groupBy("shingle").agg(F.min("key").alias("hub"), F.max("key").alias("other"), F.count("*").alias("size")).where("hub <> other"))
+    total = hubs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    edges = join_hot(postings, hubs.select("shingle", "hub", "size"), "shingle", "size", total).select(F.col("hub").alias("a"), F.col("key").alias("b"))
     blocks = components(edges)
-    return blocks.join(sets, blocks.v == sets.key).select(F.col("label").alias("block"), "key", "n", "ids")
+    return blocks.join(sets, blocks.v == sets.key).select(F.col("label").alias("block"), "key", "n", "ids", "prefix")
 
 
 LINK = "a long, b long"
@@ -208,34 +256,33 @@ def read_sets(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]
 
 
 def links_within(rows: DataFrame) -> DataFrame:
-    """Links (a, b) that join the sets of each ``part`` of ``rows`` (task, part, key, n, ids) to its components."""
+    """Links (a, b) that join the sets of each ``part`` of ``rows`` (task, part, side, key, n, ids, label) to its components.
+
+    Sets of one ``label`` are together already. Where a part has two sides, links are
+    looked for between these only.
+    """
 
     def inside(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         keys, sets, sizes = read_sets(rows)
-        parts = rows["part"].to_numpy()
-        groups = Groups(np.arange(len(keys)))
+        parts, sides = rows["part"].to_numpy(), rows["side"].to_numpy()
+        groups = Groups(rows["label"].to_numpy())
         order = np.argsort(parts, kind="stable")
         cuts = np.flatnonzero(np.diff(parts[order])) + 1
         found = []
         for own in np.split(order, cuts):
-            tree = SignatureTree([sets[i] for i in own], sizes[own], own)
-            found += links(tree, tree, groups, NEED)
+            tree = lambda which: SignatureTree([sets[i] for i in which], sizes[which], which)
+            left = own[sides[own] == sides[own].min()]
+            one = tree(left)
+            found += links(one, one if len(left) == len(own) else tree(own[sides[own] != sides[own].min()]), groups, NEED)
         return as_links(found, keys)
 
-    return rows.groupBy("task").applyInArrow(inside, LINK)
+    return rows.select("task", "part", "side", "key", "n", "ids", "label").groupBy("task").applyInArrow(inside, LINK)
 
 
-def links_across(rows: DataFrame) -> DataFrame:
-    """Links between the sets on side 1 and those on side 0 of each (block, tile, chunk); sets of one ``label`` are together already."""
-
-    def across(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        keys, sets, sizes = read_sets(rows)
-        side = rows["side"].to_numpy()
-        groups = Groups(rows["label"].to_numpy())
-        left, right = (SignatureTree([sets[i] for i in own], sizes[own], own) for own in (np.flatnonzero(side == 0), np.flatnonzero(side == 1)))
-        return as_links(links(left, right, groups, NEED), keys)
-
-    return rows.groupBy("block", "tile", "chunk").applyInArrow(across, LINK)
+def packed(rows: DataFrame, part: Column) -> DataFrame:
+    """``rows`` with small parts put together to tasks of about ``PACK_BYTES``."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
+    return rows.withColumns({"part": part, "task": F.pmod(part, F.lit(max(1, -(-total // PACK_BYTES))))})
 
 
 def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -245,56 +292,64 @@ def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def large_block_links(rows: DataFrame) -> DataFrame:
-    """Links that join the components of blocks of more than TILE sets; rows: (block, tile, key, n, ids)."""
-    as_part = lambda df: df.withColumns({"part": F.lit(0).cast("long"), "task": F.xxhash64("block", "tile")})
-    alone = settle(links_within(as_part(rows)))
+    """Links that join the components of blocks of more than TILE sets; rows: (block, tile, key, n, ids, prefix)."""
+    of_tile = lambda df: df.withColumns({"part": F.xxhash64("block", "tile"), "task": F.xxhash64("block", "tile"), "side": F.lit(0), "label": F.col("key")})
+    alone = settle(links_within(of_tile(rows)))
     first = settle(labelled(rows, alone))
     # a leader for each tile's largest group; TILE tiles' leaders meet in one task
     size = first.groupBy("block", "tile", "label").agg(F.count("*").alias("size"), F.min("key").alias("key"))
     leader = size.groupBy("block", "tile").agg(F.max_by("key", "size").alias("key"))
     leaders = leader.join(rows.drop("block", "tile"), "key").withColumn("tile", F.floor(F.col("tile") / TILE))
-    edges = settle(alone.union(links_within(as_part(leaders))))
+    edges = settle(alone.union(links_within(of_tile(leaders))))
     second = settle(labelled(rows, edges))
-    main = second.groupBy("block", "label").agg(F.count("*").alias("size")).groupBy("block").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    tiles = second.groupBy("block").agg((F.max("tile") + 1).alias("tiles"))
-    rest = second.join(main, "block").where("label <> main").drop("main", "tile")
-    # these against all: a copy of each goes to every tile, in chunks of about TILE sets
-    chunks = rest.groupBy("block").agg(F.ceil(F.count("*") / TILE).alias("chunks"))
-    around = rest.join(chunks, "block").join(tiles, "block").withColumns({"chunk": F.pmod(F.xxhash64("key", F.lit(5)), F.col("chunks")), "tile": F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))})
-    there = second.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    cols = ["block", "tile", "chunk", "key", "n", "ids", "label"]
-    both = there.select(*cols, F.lit(0).alias("side")).union(around.select(*cols, F.lit(1).alias("side")))
-    return edges.union(links_across(both))
+    # a link between two groups is between sets that have a rare shingle in common
+    postings = second.select("key", "label", F.explode("prefix").alias("shingle"))
+    mixed_ones = postings.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
+    mixed_ones = settle(mixed_ones.select("shingle", F.ceil(F.col("size") / TILE).alias("tiles"), "size"))
+    total = mixed_ones.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    meeting = join_hot(postings, mixed_ones, "shingle", "size", total).select("key", "label", "shingle", "tiles")
+    # a shingle of many sets is cut into tiles, and each two of these meet
+    own = meeting.withColumn("side", F.pmod(F.xxhash64("key", F.lit(5)), F.col("tiles")))
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    part = F.xxhash64("shingle", F.least("side", "other"), F.greatest("side", "other"))
+    sets = pairs.join(second.select("key", "n", "ids"), "key").withColumn("side", F.col("side").cast("int"))
+    return edges.union(links_within(packed(settle(sets.withColumn("met", part)), F.col("met"))))
 
 
 def link_edges(blocks: DataFrame) -> DataFrame:
     """Links that join the classes of each block to its components."""
     blocks = settle(blocks)
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("size"))
-    total = blocks.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
+    sizes = settle(blocks.groupBy("block").agg(F.count("*").alias("size")))
     rows = blocks.join(sizes, "block")
-    tasks = max(1, -(-total // PACK_BYTES))
-    small = rows.where(F.col("size") <= TILE).withColumns({"part": F.col("block"), "task": F.pmod(F.xxhash64("block"), F.lit(tasks))})
+    small = rows.where(F.col("size") <= TILE).withColumns({"side": F.lit(0), "label": F.col("key")})
     large = rows.where(F.col("size") > TILE).withColumn("tile", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / TILE)))
-    edges = links_within(small)
+    edges = links_within(packed(small, F.col("block")))
     if not sizes.where(F.col("size") > TILE).isEmpty():
-        edges = edges.union(large_block_links(settle(large.select("block", "tile", "key", "n", "ids"))))
+        edges = edges.union(large_block_links(settle(large.select("block", "tile", "key", "n", "ids", "prefix"))))
     return edges
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of ``docs``."""
     rows = settle(measured(docs, id_col, text_col))
-    classes = settle(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("first"), F.max("n").alias("n")))
+    n_rows = rows.count()
+    seconds = rows.groupBy("key").agg(F.min("second").alias("low"), F.max("second").alias("high"))
+    agreeing = [r.key for r in seconds.where("low <> high").select("key").limit(MOST_AGREEING + 1).collect()]
+    if len(agreeing) > MOST_AGREEING:
+        raise ValueError("too many sets have the same key")
+    rows = rows.withColumn("key", F.when(F.col("key").isin(agreeing), F.col("second")).otherwise(F.col("key")) if agreeing else F.col("key")).drop("second")
+    classes = settle(rows.groupBy("key").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies")))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_SHINGLES))
-    sets = settle(candidates(shared_shingles(dealt(docs, text_col, buckets), 2 * buckets)))
+    common, agreeing = common_shingles(docs, text_col, n_rows), frozenset(agreeing)
+    shared = shared_shingles(dealt(docs, text_col, buckets, common, agreeing), buckets, 2 * buckets, common)
+    sets = settle(candidates(shared, 2 * buckets))
     found = components(link_edges(in_blocks(sets)))
     joined = classes.join(found, classes.key == found.v)
-    least = joined.groupBy("label").agg(F.min("first").alias("component"))
-    named = joined.join(least, "label").select("key", "component")
-    class_of = classes.join(named, "key", "left").select("key", F.coalesce("component", "first").alias("component"))
-    return rows.join(class_of, "key", "left").select(
+    least = joined.groupBy("label").agg(F.min("first").alias("component"), F.count("*").alias("size"))
+    named = join_hot(joined.select("key", "label"), least, "label", "size", classes.count()).select("key", "component")
+    class_of = settle(classes.join(named, "key", "left").select("key", F.coalesce("component", "first").alias("component"), "copies"))
+    return join_hot(rows, class_of, "key", "copies", n_rows).select(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")
     )
 
@@ -302,8 +357,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those whose component has a document of lower id; texts without words stay."""
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    kept_id = unused(docs, "_kept")
+    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(kept_id)).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept[kept_id]), "left_semi")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

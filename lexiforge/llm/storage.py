@@ -23,3 +23,23 @@ def unused(df: DataFrame, name: str) -> str:
 def lower_ascii(text):
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Keys that more rows have than this, and than a HOT_KEYS-th of all rows, are hot.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``key``; ``rows`` is the column of ``right`` that says how many rows of ``left`` have its key.
+
+    ``right`` has each key once. Its hot keys, at most HOT_KEYS of ``total`` rows, are
+    broadcast, so a key that a large part of ``left`` has does not meet in one task.
+    """
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    is_hot = F.coalesce(F.col(rows) > least, F.lit(False))
+    hot = right.where(is_hot)
+    if hot.isEmpty():
+        return left.join(right.drop(rows), key, how)
+    keys = hot.select(key)
+    few = left.join(F.broadcast(keys), key, "left_anti").join(right.where(~is_hot).drop(rows), key, how)
+    return few.unionByName(left.join(F.broadcast(hot.drop(rows)), key))
