@@ -6,14 +6,17 @@ digests of their normalised bytes; each side's digests are grouped on their own
 snapshot's digests one 3-wise binary fuse filter is built. The batch's distinct
 digests are screened by the filter of their bucket; only positives are joined
 with the exact digests, and the two representatives' normalised texts are
-compared byte for byte before the groups become one.
+compared byte for byte before the groups become one. A snapshot's digests and
+filters can be written once (``write_snapshot``) and screen every later batch
+(``known_texts``) without being built again.
 
 Defined results: null texts count as empty and are equal to empty ones. Of
 equal texts the row with the largest id stays; null ids lose against all others;
-among rows that repeat an id and text, one (in scan order) stays. Empty tables
-give empty results. Copies are combined before every shuffle, so a group that
-holds a third of all rows is one record from each task; only the last join, of
-narrow rows, sees it whole, and adaptive execution splits that.
+among rows that repeat an id and text, one (in scan order) stays. Ids may be of any
+type that has an order. Empty tables give empty results. Copies are combined before
+every shuffle, so a group that holds a third of all rows is one record from each
+task. Rows are joined with their groups by digest; groups with many rows are broadcast
+for that, of which there are at most a bounded number.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.llm.hashing import mixed
-from lexiforge.llm.storage import lower_ascii, settle, table, unused
+from lexiforge.llm.storage import broadcast_few, join_hot, lower_ascii, settle, table, unused
 
 #: Distinct digests that one filter and one screening task are sized for.
 DIGESTS_A_BUCKET = 200_000
@@ -104,7 +107,9 @@ class FuseFilter:
 
 def digest_keys(digests: pa.ChunkedArray) -> np.ndarray:
     """The first eight bytes of each digest."""
-    return np.array([int.from_bytes(d.as_py()[:8], "big") for d in digests], np.uint64)
+    chunks = digests.chunks if isinstance(digests, pa.ChunkedArray) else [digests]
+    parts = [np.frombuffer(c.cast(pa.binary(32)).buffers()[1], ">u8", 4 * len(c), 32 * c.offset)[::4] for c in chunks if len(c)]
+    return np.concatenate([np.zeros(0, np.uint64), *parts]).astype(np.uint64)
 
 
 def build_filters(snapshot: DataFrame) -> DataFrame:
@@ -131,32 +136,41 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
     return pairs.applyInArrow(positives, "bucket int, digest binary")
 
 
+def normalised(text_col: str) -> Column:
+    return lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def bucketed(groups: DataFrame, buckets: int) -> DataFrame:
+    return groups.withColumn("bucket", (F.conv(F.hex(F.substring("digest", 9, 4)), 16, 10).cast("long") % buckets).cast("int"))
+
+
 def exact_groups(docs: DataFrame, in_snapshot: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: the id, the digest, the id that stays, the group's size and whether this row stays."""
-    text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
+    text = normalised(text_col)
     narrow = settle(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.coalesce(in_snapshot, F.lit(False)).alias("old"), F.monotonically_increasing_id().alias("row")))
     # struct order puts null ids first, so a null id is the largest only if all are null
     groups = narrow.groupBy("digest", "old").agg(F.count("*").alias("size"), F.max(F.struct("id", F.negate("row").alias("back"))).alias("top"))
     groups = settle(groups)
-    buckets = max(1, -(-groups.count() // DIGESTS_A_BUCKET))
-    groups = groups.withColumn("bucket", (F.conv(F.hex(F.substring("digest", 9, 4)), 16, 10).cast("long") % buckets).cast("int"))
+    groups = bucketed(groups, max(1, -(-groups.count() // DIGESTS_A_BUCKET)))
     snapshot, batch = groups.where("old"), groups.where("not old")
     maybe = screen(batch, build_filters(snapshot))
     both = maybe.join(snapshot.select("bucket", "digest", F.col("size").alias("size_old"), F.col("top").alias("top_old")), ["bucket", "digest"]).join(batch.select("bucket", "digest", F.col("size").alias("size_new"), F.col("top").alias("top_new")), ["bucket", "digest"])
     both = settle(both)
-    wanted = both.select("digest", F.explode(F.array("top_old.id", "top_new.id")).alias("id")).where("id is not null")
+    wanted = broadcast_few(settle(both.select("digest", F.explode(F.array("top_old.id", "top_new.id")).alias("id")).where("id is not null")))
     bytes_ = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(wanted, "id")
     # an id may stand on several rows: the texts of this digest are those to compare
     equal = bytes_.where(F.unhex(F.sha2("text", 256)) == F.col("digest")).groupBy("digest").agg((F.min("text") == F.max("text")).alias("equal"))
     both = both.join(equal, "digest", "left").where(F.coalesce("equal", F.lit(True))).drop("bucket", "equal")
     joined = groups.drop("bucket").join(both, "digest", "left")
-    merged = joined.select(
-        "digest",
-        "old",
+    # rows of the snapshot and of the batch are told apart in the key: texts of one digest might differ
+    key = lambda: F.concat("digest", F.when(F.col("old"), F.lit("o")).otherwise(F.lit("n")).cast("binary"))
+    merged = settle(joined.select(
+        key().alias("key"),
         F.coalesce(F.col("size_old") + F.col("size_new"), F.col("size")).alias("group_size"),
         F.coalesce(F.greatest("top_old", "top_new"), F.col("top")).alias("keep"),
-    )
-    return narrow.join(merged, ["digest", "old"]).select(
+        F.col("size").alias("rows"),
+    ))
+    return join_hot(narrow.withColumn("key", key()), merged, "key", "rows", narrow.count()).select(
         "id",
         "digest",
         F.col("keep.id").alias("keep_id"),
@@ -166,22 +180,50 @@ def exact_groups(docs: DataFrame, in_snapshot: Column, id_col: str = "doc_id", t
 
 
 def older_half(docs: DataFrame, id_col: str = "doc_id") -> Column:
-    """True for the older half of the id range, which stands for the snapshot."""
+    """True for the older half of the id range, which stands for the snapshot; of other than whole numbers, for half of the ids by their hash."""
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return F.coalesce(F.xxhash64(id_col) < 0, F.lit(False))
     low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
     return F.lit(True) if low is None else F.col(id_col) <= (low + high) // 2
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that repeat another row's text."""
+    """``docs`` without the rows that repeat another row's text. Whole rows are shuffled only where many go."""
     groups = exact_groups(docs, older_half(docs, id_col), id_col, text_col)
     # the id is part of the key, so that the rows of a large group spread over all tasks
     as_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     id_, digest = unused(docs, "_id"), unused(docs, "_digest")
-    kept = groups.where("kept").select(as_key("id").alias(id_), F.col("digest").alias(digest))
-    text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumns({digest: F.unhex(F.sha2(text, 256)), id_: as_key(id_col)})
-    rows = keyed.join(kept, [digest, id_], "left_semi")
-    return rows.dropDuplicates([digest, id_]).drop(digest, id_)
+    keys = groups.groupBy(as_key("id").alias(id_), F.col("digest").alias(digest)).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    keys = settle(keys.where("not kept or n > 1"))
+    gone, repeated = (settle(keys.where(c).select(id_, digest)) for c in ("not kept", "kept"))
+    keyed = docs.withColumns({digest: F.unhex(F.sha2(normalised(text_col), 256)), id_: as_key(id_col)})
+    rows = keyed.join(broadcast_few(gone), [digest, id_], "left_anti")
+    if not repeated.isEmpty():  # rows of one id and text: one of them stays
+        of_some = lambda how: rows.join(broadcast_few(repeated), [digest, id_], how)
+        rows = of_some("left_anti").union(of_some("left_semi").dropDuplicates([digest, id_]))
+    return rows.drop(digest, id_)
+
+
+def write_snapshot(docs: DataFrame, folder: str, text_col: str = "text") -> None:
+    """The snapshot's distinct digests, with a text each, and their filters, as tables in ``folder``."""
+    text = normalised(text_col)
+    digests = settle(docs.groupBy(F.unhex(F.sha2(text, 256)).alias("digest")).agg(F.first(text).alias("text")))
+    digests = bucketed(digests, max(1, -(-digests.count() // DIGESTS_A_BUCKET)))
+    digests.write.mode("error").parquet(f"{folder}/digests")
+    build_filters(digests).write.mode("error").parquet(f"{folder}/filters")
+
+
+def known_texts(batch: DataFrame, folder: str, text_col: str = "text", known_col: str = "known") -> DataFrame:
+    """``batch`` with whether its text is one of the written snapshot's: screened by the filters, then compared byte for byte."""
+    spark = batch.sparkSession
+    filters, stored = (spark.read.parquet(f"{folder}/{name}") for name in ("filters", "digests"))
+    buckets = stored.agg(F.coalesce(F.max("bucket") + 1, F.lit(1))).first()[0]
+    digest = F.unhex(F.sha2(normalised(text_col), 256))
+    maybe = screen(bucketed(batch.select(digest.alias("digest")).distinct(), buckets), filters)
+    own, text = unused(batch, "_digest"), unused(batch, "_known_text")
+    found = maybe.join(stored, ["bucket", "digest"]).select(F.col("digest").alias(own), F.col("text").alias(text))
+    keyed = batch.withColumn(own, digest).join(found, own, "left")
+    return keyed.withColumn(known_col, F.coalesce(F.col(text) == normalised(text_col), F.lit(False))).drop(own, text)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

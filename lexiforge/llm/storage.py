@@ -25,6 +25,15 @@ def lower_ascii(text):
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Rows of a few short columns that are broadcast at most.
+FEW_ROWS = 200_000
+
+
+def broadcast_few(df: DataFrame) -> DataFrame:
+    """``df``, whose rows are narrow and which is settled, marked for broadcast if it has at most FEW_ROWS; else as it is."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
 #: Keys that more rows have than this, and than a HOT_KEYS-th of all rows, are hot.
 HOT_ROWS, HOT_KEYS = 1000, 100_000
 

@@ -117,3 +117,30 @@ def test_pipeline_on_hard_rows(spark, both, tmp_path):
             out.write.parquet(path)
             docs = spark.read.parquet(path)
         assert (docs.count() > 0) == (name == "rows")
+
+
+def test_exact_dedup_of_string_ids(spark):
+    rows = [("b", "one text"), ("a", "One text"), ("c", "ONE text"), ("d", "another"), ("d", "another"), (None, "another"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.text) for r in exact_dedup.drop_copies(docs).collect()) == [("", "alone"), ("c", "ONE text"), ("d", "another")]
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_exact_dedup_with_and_without_broadcasts(spark, monkeypatch, few):
+    monkeypatch.setattr("lexiforge.llm.storage.FEW_ROWS", few)
+    rows = [(i % 70, f"Text {i % 40}") for i in range(300)]
+    last = {}
+    for i, t in rows:
+        last[t.lower()] = max(i, last.get(t.lower(), i))
+    kept = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == sorted((i, t.capitalize()) for t, i in last.items())
+
+
+def test_a_written_snapshot_screens_later_batches(spark, tmp_path):
+    snapshot = spark.createDataFrame([(f"text number {i}",) for i in range(500)] + [(None,)], "text string")
+    exact_dedup.write_snapshot(snapshot, str(tmp_path / "snapshot"))
+    batch = spark.createDataFrame([(f"TEXT number {i}", i) for i in range(490, 520)] + [("", 1), (None, 2), ("new", 3)], "text string, _digest int")
+    found = exact_dedup.known_texts(batch, str(tmp_path / "snapshot"))
+    assert found.columns == ["text", "_digest", "known"]
+    assert {r.text for r in found.where("known").collect()} == {f"TEXT number {i}" for i in range(490, 500)} | {"", None}
+    assert exact_dedup.known_texts(batch.limit(0), str(tmp_path / "snapshot")).count() == 0
