@@ -1,8 +1,8 @@
 """A quality classifier on supervised subword embeddings (operator 5).
 
 Each word and each run of 2 to 4 characters is hashed to one of ``BUCKETS``
-learned vectors, as is the fact that a word equals the one before; a text is the mean of its vectors, and a softmax over that mean
-gives the probability of label 1. The vectors and the softmax are trained
+learned vectors, as is the fact that a word equals the one before; a text is the
+mean of its vectors, and a softmax over that mean gives the probability of label 1. The vectors and the softmax are trained
 together by stochastic gradient descent (AdaGrad steps) in numpy, in one Spark
 task over at most ``TRAINING_ROWS`` labelled documents, which are chosen by a
 hash of their id. Since the output is linear in the mean, scoring needs one
@@ -12,9 +12,13 @@ Rows whose ``crc32(id) mod 5`` is 0 are held out: their labels are never read.
 Labels, language, source and id are no inputs of a score.
 
 Defined results: null and empty texts have no features and get the score of the
-bias alone. Null ids are not held out, and have no label. Without labelled rows
-of both kinds every score is the share of label 1 (1 if there are none). Texts
-are scored whole. Scoring is one pass without a shuffle; other columns pass.
+bias alone. Null ids are not held out, and have no label. Of several labels of one
+id the larger counts, and of several texts of a labelled id the first in order is
+learnt from; repeated rows are scored alike. A score of just the threshold is label 1.
+Without labelled rows of both kinds every score is the share of label 1 (1 if there
+are none); an empty table gives an empty result. Texts are scored whole. Scoring is
+one pass without a shuffle; other columns pass, but ones named like the results are
+replaced.
 """
 
 from __future__ import annotations
@@ -139,7 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model from a bounded sample of the labelled rows that are not held out."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).where(~held_out(F.col(id_col)))
     sample = settle(usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(TRAINING_ROWS))
-    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_text", "_label")
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+    # a labelled id may stand on any number of rows: one of them, combined before the shuffle
+    rows = rows.groupBy("_id").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"), F.max("_label").alias("_label"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

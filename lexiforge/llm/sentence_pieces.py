@@ -16,8 +16,9 @@ cuts are independent; chunks are remembered within a task.
 
 Defined results: null and empty texts have no pieces and decode to an empty
 text. A marker character in a text itself is written in bytes, so decoding gives
-back every text exactly. Texts of any length are handled whole. One pass, no
-shuffle; other columns pass.
+back every text exactly. Texts of any length are handled whole. Repeated rows get
+equal pieces; an empty table gives an empty result. One pass, no shuffle; other
+columns pass, but ones named like the results are replaced.
 """
 
 from __future__ import annotations

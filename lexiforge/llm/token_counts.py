@@ -10,8 +10,9 @@ the word that follows), and chunks are remembered within a task.
 Defined results: a null or empty text has 0 bytes and 0 tokens. A special
 token's string inside a text counts as one token, as the library does by
 default. Texts of any length are handled whole. Ties between equal ranks go to
-the leftmost pair. Other columns pass through; the output columns are named by
-parameters so that they need not clash.
+the leftmost pair. Repeated rows count alike; an empty table gives an empty result.
+Other columns pass through; the output columns are named by parameters so that they
+need not clash, and replace columns of their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ import pytest
 import corpus_pipeline
 from lexiforge.llm import quality_classifier, secret_scan, token_counts
 from lexiforge.llm.exact_dedup import FuseFilter
-from lexiforge.llm.hashing import shingle_sets
+from lexiforge.llm.hashing import BASE, shingle_sets
 from lexiforge.llm.jaccard_join import near_duplicates
 from lexiforge.llm.registry import QUERIES
 from lexiforge.llm.sentence_pieces import DoubleArrayTrie, default_model, piece_model
@@ -69,6 +69,42 @@ def test_op5_learns_from_the_other_folds_only(spark, sf_dir):
     assert all(abs(r.score - found[r.doc_id].score) < 1e-9 for r in again)
 
 
+def plain_score(text, flat):
+    """The mean of the parts' numbers, one part at a time."""
+    q, finish = 1 << 64, quality_classifier.mixed
+    number = lambda key, seed: int(finish(np.array([key], np.uint64), seed)[0])
+    words = re.findall(rb"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode())
+    hashes = [number(sum((b + 1) * pow(BASE, k, q) for k, b in enumerate(w)) % q, 7) for w in words]
+    kinds = [[number(h, 31) % quality_classifier.BUCKETS for h in hashes]]
+    kinds.append([quality_classifier.REPEATED + (a == b) for a, b in zip(hashes, hashes[1:])])
+    for n in quality_classifier.SIZES:
+        grams = []
+        for i in range(len(text) - n + 1):
+            key = 0
+            for c in text[i : i + n]:
+                key = (key * 0x100000001B3 + ord(c)) % q
+            grams.append((key * 0x9E3779B97F4A7C15 % q >> 48) ^ n)
+        kinds.append(grams)
+    means = [float(np.mean([flat[b] for b in own])) for own in kinds if own]
+    return 1 / (1 + np.exp(-(float(np.mean(means) if means else 0.0) + float(flat[-1]))))
+
+
+def test_op5_scores_against_a_plain_scorer(spark):
+    flat = np.random.default_rng(2).normal(0, 2, quality_classifier.BUCKETS + 1).astype(np.float32)
+    texts = ["", "a", "One two two THREE", "ünï çödé 語 😀  x\n\ty", "same same same same", " \t ", "longer text " * 60, None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", quality_classifier.score(df.text, flat).alias("s")).collect():
+        assert abs(r.s - plain_score(r.text or "", flat)) < 1e-6, r.text
+
+
+def test_op5_learns_a_repeated_id_once(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(4, 0), (4, None)], "doc_id long, quality int")
+    rows = [(i, ("good words " if i % 2 else "zzz qqq ") * 5) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = quality_classifier.fit(docs, labels)
+    assert (once == quality_classifier.fit(docs.union(docs.where("doc_id < 50")), labels)).all() and (once == quality_classifier.fit(docs.repartition(5), labels)).all()
+
+
 def test_op6_handmade_pages(spark, tmp_path):
     page = (
         "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><nav><a href=/>Home</a></nav><header class='site'><p>Site</p></header>"
@@ -109,6 +145,11 @@ def test_op8_best_cuts_and_round_trips(spark, sf_dir, texts):
         ids = np.frombuffer(model.encode(text), np.int32).tolist()
         assert model.decode(ids) == text
         assert abs(score(ids) - score(best_cut(text, model)[1])) < 1e-9
+    draw = np.random.default_rng(4)
+    for _ in range(150):
+        text = "".join(draw.choice(list("abcdeinorst  \n.,éß▁語😀"), int(draw.integers(1, 24))))
+        ids = np.frombuffer(model.encode(text), np.int32).tolist()
+        assert model.decode(ids) == text and abs(score(ids) - score(best_cut(text, model)[1])) < 1e-9, text
     for r in QUERIES["op8_sentence_pieces"](spark, sf_dir).collect():
         assert r.round_trip and r.n_pieces == len(r.piece_ids)
         assert model.decode(list(r.piece_ids)) == texts[r.doc_id]
