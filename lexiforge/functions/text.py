@@ -76,13 +76,6 @@ def word_runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"), F.lit(0))
 
 
-def lines(text: Column) -> Column:
-    """Trimmed lines without the blank ones at both ends."""
-    trimmed = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", ""))
-    filled = F.transform(F.filter(F.transform(trimmed, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"] != ""), lambda s: s["i"])
-    return F.when(F.size(filled) > 0, F.slice(trimmed, F.get(filled, F.lit(0)) + 1, F.array_max(filled) - F.get(filled, F.lit(0)) + 1)).otherwise(F.array().cast("array<string>"))
-
-
 def identity_hash(*fields: Column) -> Column:
     """SHA-256 of the fields joined by U+001F; null if one is null."""
     return F.sha2(F.concat(*[x for f in fields for x in (f, F.lit("\x1f"))][:-1]), 256)

@@ -13,7 +13,7 @@ SEGMENT = re.compile(r"[^\W_]+|[\W_]+")
 
 
 class Projection(HTMLParser):
-    """Title, links (first of each target; another text for it is a conflict) and paragraphs."""
+    """Title, links with their texts, and paragraphs."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)

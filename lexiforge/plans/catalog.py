@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions import predicates as P
@@ -118,11 +118,9 @@ def label_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, coalesce(lag(turn) OVER w, -1) AS previous, coalesce(lead(turn) OVER w, -1) AS next, lag(role) OVER w AS previous_role
+SELECT conv_id, turn, lag(turn) OVER w AS previous, lead(turn) OVER w AS next, lag(role) OVER w AS previous_role
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def adjacent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours in order, with a unique key as the tie-break."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn", 1, -1).over(w).alias("previous"), F.lead("turn", 1, -1).over(w).alias("next"), F.lag("role").over(w).alias("previous_role"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(w).alias("previous"), F.lead("turn").over(w).alias("next"), F.lag("role").over(w).alias("previous_role"))

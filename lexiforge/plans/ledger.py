@@ -62,13 +62,13 @@ def trailing_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH last AS (SELECT * FROM events ORDER BY event_id DESC LIMIT 2000)
-SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS code, count(*) AS failures FROM last WHERE event_type = 'error' GROUP BY code ORDER BY failures DESC, code LIMIT 10""")
+WITH last AS (SELECT * FROM events ORDER BY event_id DESC LIMIT 10000)
+SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS code, count(*) AS failures FROM last WHERE event_type = 'error' GROUP BY code ORDER BY failures DESC, code LIMIT 50""")
 def recent_failures_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent codes of the latest events."""
-    last = events(spark, sf_dir).orderBy(F.desc("event_id")).limit(2000)
+    """The most frequent codes of the last 10 000 events."""
+    last = events(spark, sf_dir).orderBy(F.desc("event_id")).limit(10_000)
     codes = last.where("event_type = 'error'").groupBy(F.get_json_object("props", "$.k").cast("long").alias("code")).agg(F.count("*").alias("failures"))
-    return codes.orderBy(F.desc("failures"), "code").limit(10)
+    return codes.orderBy(F.desc("failures"), "code").limit(50)
 
 
 @query("""
@@ -92,10 +92,10 @@ def counted_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS keys, to_json(list({'k': o_orderkey, 's': o_orderstatus} ORDER BY o_orderkey))::VARCHAR AS json FROM orders WHERE o_custkey < 200 GROUP BY o_custkey""".replace("list(o_orderkey ORDER BY o_orderkey) AS keys, ", ""))
+SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS keys, to_json(list({'k': o_orderkey, 's': o_orderstatus} ORDER BY o_orderkey))::VARCHAR AS json FROM orders GROUP BY o_custkey""".replace("list(o_orderkey ORDER BY o_orderkey) AS keys, ", ""))
 def ordered_json_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children as an ordered JSON array (A13, X9); an author's works are few."""
-    works = table(spark, sf_dir, "orders").where("o_custkey < 200").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s")))).alias("a"))
+    works = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s")))).alias("a"))
     return works.select("o_custkey", F.coalesce(F.to_json("a"), F.lit("[]")).alias("json"))
 
 
@@ -202,10 +202,10 @@ def saturating_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey, max(o_totalprice) FILTER (WHERE true) AS top, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'P') = 0 THEN max(o_orderkey) ELSE -1 END AS epoch FROM orders GROUP BY o_custkey""")
+SELECT o_custkey, max(o_totalprice) FILTER (WHERE true) AS top, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'P') = 0 THEN max(o_orderkey) END AS epoch FROM orders GROUP BY o_custkey""")
 def epoch_if_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A maximum only where no target is missing."""
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"), F.when(F.count_if(F.col("o_orderstatus") == "P") == 0, F.max("o_orderkey")).otherwise(-1).alias("epoch"))
+    """A maximum where no target is missing, else null."""
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"), F.when(F.count_if(F.col("o_orderstatus") == "P") == 0, F.max("o_orderkey")).alias("epoch"))
 
 
 @query("""
@@ -387,15 +387,15 @@ def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH d AS (SELECT user_id, ts, value, lag(ts) OVER w AS t0, lag(value) OVER w AS v0, lag(event_type) OVER w AS e0, event_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 p AS (SELECT user_id, value - v0 AS done, epoch_us(ts) - epoch_us(t0) AS took FROM d WHERE value >= v0 AND ts > t0 AND e0 = event_type)
-SELECT user_id, count(*) AS pairs, CASE WHEN sum(took) >= 600000000 AND sum(done) >= 2 THEN round(sum(done) / (sum(took) / 1000000.0) * 3600, 4) ELSE -1 END AS rate FROM p GROUP BY user_id""")
+SELECT user_id, count(*) AS pairs, CASE WHEN sum(took) >= 600000000 AND sum(done) >= 2 THEN round(sum(done) / (sum(took) / 1000000.0) * 3600, 4) END AS rate FROM p GROUP BY user_id""")
 def rate_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rate by hour from successive samples of one configuration."""
+    """Rate by hour from successive samples of one configuration; null from too few."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     d = events(spark, sf_dir).select("user_id", "event_type", "value", us.alias("t"), F.lag(us).over(w).alias("t0"), F.lag("value").over(w).alias("v0"), F.lag("event_type").over(w).alias("e0"))
     pairs = d.where("value >= v0 and t > t0 and e0 = event_type").select("user_id", (F.col("value") - F.col("v0")).alias("done"), (F.col("t") - F.col("t0")).alias("took"))
     enough = (F.sum("took") >= 600_000_000) & (F.sum("done") >= 2)
-    return pairs.groupBy("user_id").agg(F.count("*").alias("pairs"), F.when(enough, F.round(F.sum("done") / (F.sum("took") / 1e6) * 3600, 4)).otherwise(-1.0).alias("rate"))
+    return pairs.groupBy("user_id").agg(F.count("*").alias("pairs"), F.when(enough, F.round(F.sum("done") / (F.sum("took") / 1e6) * 3600, 4)).alias("rate"))
 
 
 @query("""
@@ -412,13 +412,13 @@ def reset_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH b AS (SELECT user_id, event_id, value, epoch_us(ts) // 30000000 AS bucket, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 30000000 ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 60 HOUR AND ts <= TIMESTAMP '{NOW}'),
+WITH b AS (SELECT user_id, event_id, value, epoch_us(ts) // 30000000 AS bucket, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 30000000 ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 6 HOUR AND ts <= TIMESTAMP '{NOW}'),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY bucket DESC) AS k FROM b WHERE r = 1)
-SELECT user_id, CAST(bucket AS BIGINT) AS bucket, value FROM k WHERE k <= 3""")
+SELECT user_id, CAST(bucket AS BIGINT) AS bucket, value FROM k WHERE k <= 256""")
 def bucket_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last sample of each half minute, the latest few of them."""
-    recent = events(spark, sf_dir).where((F.col("ts") > now() - F.expr("INTERVAL 60 HOUR")) & (F.col("ts") <= now()))
+    """The last sample of each half minute, the latest 256 of six hours."""
+    recent = events(spark, sf_dir).where((F.col("ts") > now() - F.expr("INTERVAL 6 HOUR")) & (F.col("ts") <= now()))
     bucket = F.expr("unix_micros(cast(ts as timestamp)) div 30000000")
     last = recent.groupBy("user_id", bucket.alias("bucket")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
     k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("bucket")))
-    return last.withColumn("k", k).where("k <= 3").drop("k")
+    return last.withColumn("k", k).where("k <= 256").drop("k")

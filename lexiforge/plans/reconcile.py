@@ -201,7 +201,7 @@ def retire_incompatible(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH c AS (SELECT doc_id, sha256(text) AS content, lang, source FROM documents), r AS (SELECT *, sha256(content || chr(31) || doc_id) AS record FROM c)
 SELECT doc_id, record, sha256(record || chr(31) || source || chr(31) || lang) AS revision, substr(content, 1, 2) AS fan FROM r""")
 def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content, record and revision hashes, and the artifact's folder."""
+    """Content, record and revision hashes, and the artifact's folder."""
     c = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content"), "lang", "source")
     r = c.withColumn("record", X.identity_hash(F.col("content"), F.col("doc_id").cast("string")))
     return r.select("doc_id", "record", X.identity_hash(F.col("record"), F.col("source"), F.col("lang")).alias("revision"), F.substring("content", 1, 2).alias("fan"))
@@ -231,7 +231,7 @@ def capacity_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT page_id, contains(url, '.example.') AS in_scope, NOT contains(url, '#') AS plain, sha256(url) > '8' AS upper_half FROM pages""")
 def response_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assertion columns over responses."""
+    """Assertion columns over URLs."""
     return table(spark, sf_dir, "pages").select("page_id", F.col("url").contains(".example.").alias("in_scope"), (~F.col("url").contains("#")).alias("plain"), (F.sha2("url", 256) > "8").alias("upper_half"))
 
 

@@ -65,21 +65,21 @@ def batch_lookup_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH t AS (SELECT count(*) AS total, max(o_totalprice) AS top FROM orders), p AS (SELECT o_orderkey FROM orders WHERE o_totalprice > 1e9 ORDER BY o_orderkey LIMIT 5)
-SELECT total, top, coalesce(o_orderkey, -1) AS o_orderkey FROM t LEFT JOIN p ON true""")
+SELECT total, top, o_orderkey FROM t LEFT JOIN p ON true""")
 def totals_with_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals that stay when the page is empty."""
     orders = table(spark, sf_dir, "orders")
     totals = orders.agg(F.count("*").alias("total"), F.max("o_totalprice").alias("top"))
     page = orders.where("o_totalprice > 1e9").orderBy("o_orderkey").limit(5).select("o_orderkey")
-    return totals.join(F.broadcast(page), F.lit(True), "left").select("total", "top", F.coalesce("o_orderkey", F.lit(-1)).alias("o_orderkey"))
+    return totals.join(F.broadcast(page), F.lit(True), "left").select("total", "top", "o_orderkey")
 
 
 @query("""
 SELECT coalesce(c_custkey, o_custkey) AS id, CASE WHEN c_custkey IS NULL THEN 'new' ELSE 'missing' END AS side
-FROM (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0) FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice < 100000) ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_custkey IS NULL""")
+FROM (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice < 100000) ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_custkey IS NULL""")
 def setdiff_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What either set has alone, by one full join."""
-    known = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select("c_custkey")
+    """What either has alone of customers in credit and customers with a small order, by one full join."""
+    known = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select("c_custkey")
     found = table(spark, sf_dir, "orders").where("o_totalprice < 100000").select("o_custkey").distinct()
     both = known.join(found, F.col("c_custkey") == F.col("o_custkey"), "full").where("c_custkey is null or o_custkey is null")
     return both.select(F.coalesce("c_custkey", "o_custkey").alias("id"), F.when(F.col("c_custkey").isNull(), "new").otherwise("missing").alias("side"))
@@ -143,11 +143,11 @@ def newest_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH u AS (SELECT l_orderkey, l_linenumber, CASE WHEN count(*) = 1 THEN max(l_partkey) END AS p FROM lineitem GROUP BY ALL)
-SELECT o_orderkey, coalesce(p, -1) AS outcome FROM orders LEFT JOIN u ON l_orderkey = o_orderkey AND l_linenumber = 1""")
+SELECT o_orderkey, p AS outcome FROM orders LEFT JOIN u ON l_orderkey = o_orderkey AND l_linenumber = 1""")
 def unique_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An outcome whose id stands twice counts as missing."""
+    """An outcome whose id stands twice counts as missing, as null."""
     outcomes = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_partkey").alias("p")).where("n = 1")
-    return table(spark, sf_dir, "orders").join(outcomes, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("p", F.lit(-1)).alias("outcome"))
+    return table(spark, sf_dir, "orders").join(outcomes, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.col("p").alias("outcome"))
 
 
 @query("""
@@ -163,16 +163,18 @@ def ambiguity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT doc_id, sha256(text) AS h, sha256(lower(trim(text))) AS f FROM documents), b AS (SELECT min(doc_id) AS lead, f FROM a GROUP BY f)
-SELECT CASE WHEN a.doc_id % 3 = 0 THEN 'canonical' WHEN b.lead <> a.doc_id THEN 'fingerprint' WHEN l.doc_id IS NOT NULL THEN 'pending' ELSE 'terminal' END AS outcome, count(*) AS items
-FROM a JOIN b ON a.f = b.f LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = a.doc_id GROUP BY outcome""")
+WITH a AS (SELECT doc_id, split_part(text, ' ', 1) AS word, sha256(lower(trim(text))) AS f FROM documents), b AS (SELECT min(doc_id) AS lead, f FROM a GROUP BY f)
+SELECT CASE WHEN p.item_id IS NOT NULL THEN 'canonical' WHEN b.lead <> a.doc_id THEN 'fingerprint' WHEN l.doc_id IS NOT NULL THEN 'pending' ELSE 'terminal' END AS outcome, count(*) AS items
+FROM a JOIN b ON a.f = b.f LEFT JOIN (SELECT min(item_id) AS item_id, split_part(text, ' ', 1) AS word FROM benchmark GROUP BY word) p ON p.word = a.word LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = a.doc_id GROUP BY outcome""")
 def cascading_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical, then fingerprint, then pending, else terminal; counts of each outcome."""
-    a = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.lower(F.trim("text")), 256).alias("f"))
+    """Canonical (here: by the first word of a known item), then fingerprint, then pending, else terminal; counts of each outcome."""
+    word = F.split_part("text", F.lit(" "), F.lit(1)).alias("word")
+    a = table(spark, sf_dir, "documents").select("doc_id", word, F.sha2(F.lower(F.trim("text")), 256).alias("f"))
+    known = table(spark, sf_dir, "benchmark").groupBy(word).agg(F.min("item_id").alias("item_id"))
     b = a.groupBy("f").agg(F.min("doc_id").alias("lead"))
     seen = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled")).distinct()
-    joined = a.join(b, "f").join(seen, F.col("doc_id") == F.col("labelled"), "left")
-    outcome = F.when(F.col("doc_id") % 3 == 0, "canonical").when(F.col("lead") != F.col("doc_id"), "fingerprint").when(F.col("labelled").isNotNull(), "pending").otherwise("terminal")
+    joined = a.join(b, "f").join(known, "word", "left").join(seen, F.col("doc_id") == F.col("labelled"), "left")
+    outcome = F.when(F.col("item_id").isNotNull(), "canonical").when(F.col("lead") != F.col("doc_id"), "fingerprint").when(F.col("labelled").isNotNull(), "pending").otherwise("terminal")
     return joined.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("items"))
 
 

@@ -35,6 +35,6 @@ WITH s AS (
   FROM events GROUP BY user_id)
 SELECT user_id, s // 10 AS concurrency, s % 10 AS streak FROM s""")
 def stream_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's concurrency as keyed state (ST4, ST8, ST14)."""
+    """Each user's concurrency as keyed state (ST14)."""
     kept = S.concurrency(opened(spark, sf_dir), "user_id")
     return S.latest(S.run_available(kept, "update", S.shared_folder(spark)), "user_id")

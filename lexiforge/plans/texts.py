@@ -30,14 +30,14 @@ def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 WITH f AS (SELECT doc_id, list_filter([CASE WHEN n_chars > 5000 THEN 'too_long' END, CASE WHEN regexp_matches(text, '(?i)(i cannot|sorry)') THEN 'refusal' END, CASE WHEN contains(text, '|') THEN 'wrapper' END,
   CASE WHEN contains(text, chr(10) || chr(10)) THEN 'blank_line' END], lambda x: x IS NOT NULL) AS f FROM documents)
-SELECT f.doc_id, array_to_string(f, ',') AS findings, coalesce(quality, -1) AS quality FROM f LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = f.doc_id""")
+SELECT f.doc_id, array_to_string(f, ',') AS findings, quality FROM f LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = f.doc_id""")
 def validator_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the line validators."""
     text = F.col("text")
     codes = F.array_compact(F.array(F.when(F.col("n_chars") > 5000, "too_long"), F.when(text.rlike("(?i)(i cannot|sorry)"), "refusal"), F.when(text.contains("|"), "wrapper"), F.when(text.contains("\n\n"), "blank_line")))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(codes, ",").alias("findings"))
-    return docs.join(labels, "doc_id", "left").select("doc_id", "findings", F.coalesce("quality", F.lit(-1)).alias("quality"))
+    return docs.join(labels, "doc_id", "left").select("doc_id", "findings", "quality")
 
 
 @query("SELECT doc_id, contains(lower(strip_accents(nfc_normalize(text))), 'element') AS found FROM documents")
@@ -57,7 +57,7 @@ def fingerprint_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, json_valid(props) AS valid, CASE WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') THEN 'number' WHEN json_type(props, '$.k') IS NULL THEN 'missing' ELSE 'other' END AS k_type,
   len(json_keys(props)) = 1 AS exact_keys, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) BETWEEN 0 AND 99 AS in_range FROM events""")
 def json_typed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads are parsed once; types are tested, not coerced."""
+    """Payloads are parsed once; types are tested, not coerced."""
     v = F.try_parse_json("props")
     kind = F.schema_of_variant(F.try_variant_get(v, "$.k", "variant"))
     return table(spark, sf_dir, "events").select(
@@ -69,12 +69,12 @@ def json_typed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT 1 AS case_id, 1234 AS parsed UNION ALL SELECT 2, 123 UNION ALL SELECT 3, 42 UNION ALL SELECT 4, 0 UNION ALL SELECT 5, -1 UNION ALL SELECT 6, -1")
+@query("SELECT 1 AS case_id, 1234 AS parsed UNION ALL SELECT 2, 123 UNION ALL SELECT 3, 42 UNION ALL SELECT 4, 0 UNION ALL SELECT 5, NULL UNION ALL SELECT 6, NULL")
 def localized_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts in three scripts' digits; two numbers or none give none."""
     cases = ["١٬٢٣٤ بيت", "۱۲۳", "42 قصيدة", "لا توجد ٠ قصائد", "12 من 20", "none"]
     rows = spark.createDataFrame(list(enumerate(cases, 1)), "case_id int, text string")
-    return rows.select("case_id", F.coalesce(X.localized_count(F.col("text")), F.lit(-1)).cast("int").alias("parsed"))
+    return rows.select("case_id", X.localized_count(F.col("text")).cast("int").alias("parsed"))
 
 
 @query("""
@@ -112,8 +112,10 @@ def lossless_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&quot;', '\"')) AS title FROM pages".replace('\\"', '"'))
 def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of pages."""
-    found = table(spark, sf_dir, "pages").select("page_id", html.projection(F.col("html")).alias("p"))
-    return found.select("page_id", F.col("p.title").alias("title"))
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1)
+    for name, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        title = F.replace(title, F.lit(name), F.lit(character))
+    return table(spark, sf_dir, "pages").select("page_id", F.trim(title).alias("title"))
 
 
 @query(r"""
@@ -127,13 +129,13 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT page_id, CAST(len(regexp_extract_all(html, '<p>')) AS INT) AS paragraphs FROM pages")
 def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs of pages."""
-    return table(spark, sf_dir, "pages").select("page_id", F.size(html.projection(F.col("html"))["paragraphs"]).alias("paragraphs"))
+    """Paragraphs of pages."""
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(r"(?i)<p(?=[\s>])")).alias("paragraphs"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'question' ELSE 'answer' END AS track, length(text) AS size FROM conversations WHERE role <> 'system'")
 def translation_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks by precedence."""
+    """Questions and answers by role."""
     tracks = F.array_compact(F.array(F.when(F.col("role") == "user", "question"), F.when(F.col("role") == "assistant", "answer")))
     return table(spark, sf_dir, "conversations").where("role <> 'system'").select("conv_id", "turn", F.get(tracks, F.lit(0)).alias("track"), F.length("text").cast("long").alias("size"))
 
@@ -159,14 +161,14 @@ def quota_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, sha256('{\"acct\":' || CAST(floor(c_acctbal) AS BIGINT) || ',\"name\":\"' || c_name || '\",\"none\":null}') AS canonical FROM customer")
 def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of JSON with sorted keys and nulls."""
+    """The digest of JSON with sorted keys and nulls."""
     row = F.struct(F.floor("c_acctbal").alias("acct"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("none"))
     return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256).alias("canonical"))
 
 
 @query(r"SELECT event_id, regexp_extract_all(props, '[0-9]+')[1] AS ref, length(props) AS size FROM events")
 def json_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References anywhere in a payload."""
+    """The first number in a payload."""
     refs = F.regexp_extract_all("props", F.lit("[0-9]+"), F.lit(0))
     return table(spark, sf_dir, "events").select("event_id", F.get(refs, F.lit(0)).alias("ref"), F.length("props").cast("long").alias("size"))
 
@@ -175,3 +177,12 @@ def json_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inferred_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure by form; scalar extremes."""
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").contains(" | "), "classical").otherwise("free").alias("structure"), F.greatest("n_chars", F.lit(100)).alias("at_least"), F.least("n_chars", F.lit(100)).alias("at_most"))
+
+
+@query(r"""
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS name FROM pages)
+SELECT href, count(*) - 1 AS repeats, count(DISTINCT name) > 1 AS conflict FROM a GROUP BY href""")
+def html_link_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all pages of a feed, one for each target; repeats are counted, other names for it are a conflict."""
+    links = table(spark, sf_dir, "pages").select(F.explode(html.projection(F.col("html"))["links"]).alias("l")).select("l.href", "l.name")
+    return links.groupBy("href").agg((F.count("*") - 1).alias("repeats"), (F.min("name") != F.max("name")).alias("conflict"))

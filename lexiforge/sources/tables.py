@@ -13,15 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """``df`` with exactly the columns of ``schema``: missing ones are null, other types are an error, others go."""
-    have = {f.name: f.dataType for f in df.schema.fields}
-    for field in schema.fields:
-        if field.name in have and have[field.name] != field.dataType:
-            raise TypeError(f"column {field.name} is {have[field.name].simpleString()}, not {field.dataType.simpleString()}")
-    return df.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
-
-
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType, longest_line: int = 1 << 20) -> DataFrame:
     """One JSON object a line; blank lines are skipped, a malformed or overlong line fails the read, with its file and beginning."""
     lines = spark.read.text(path).select("value", "_metadata.file_name").where(F.trim("value") != "")

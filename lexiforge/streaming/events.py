@@ -54,8 +54,12 @@ def latest(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def running_counts(events: DataFrame, key: str) -> DataFrame:
-    """Counters of distinct events by key; use with mode ``update``."""
-    return events.dropDuplicates(["event_id"]).groupBy(key).agg(F.count("*").alias("items"))
+    """Counters by key; use with mode ``update``.
+
+    The log has each event once, and a batch that is run again takes its own place, so
+    the state is a number a key; ids of events are not kept.
+    """
+    return events.groupBy(key).agg(F.count("*").alias("items"))
 
 
 def first_milestones(events: DataFrame, *keys: str) -> DataFrame:
