@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.llm import exact_dedup, jaccard_join, mixing, quality_classifier, sentence_pieces
-from lexiforge.llm.storage import settle, table
+from lexiforge.llm.storage import settle, table, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    scored = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), score_col="_score", predicted_col="_predicted")
-    return scored.where(F.col("_predicted") == 1).select(docs.columns)
+    score, predicted = unused(docs, "_score"), unused(docs, "_predicted")
+    scored = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), score_col=score, predicted_col=predicted)
+    return scored.where(F.col(predicted) == 1).drop(score, predicted)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample with the target marginals."""
+    """Four fifths of the tokens, with the target marginals."""
     return mixing.sample_mixture(docs)
 
 
