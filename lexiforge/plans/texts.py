@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import text as X
 from lexiforge.operators import html
+from lexiforge.operators.profile import Profile
 from lexiforge.plans.registry import query
 from lexiforge.sources.tables import table
 
@@ -186,3 +187,16 @@ def html_link_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all pages of a feed, one for each target; repeats are counted, other names for it are a conflict."""
     links = table(spark, sf_dir, "pages").select(F.explode(html.projection(F.col("html"))["links"]).alias("l")).select("l.href", "l.name")
     return links.groupBy("href").agg((F.count("*") - 1).alias("repeats"), (F.min("name") != F.max("name")).alias("conflict"))
+
+
+PROFILE = Profile("https://source.example.org", "/{slug}")
+
+
+@query(r"""
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS href FROM pages), p AS (SELECT page_id, regexp_extract(href, '^/([^/?#]+)$', 1) AS slug FROM a)
+SELECT slug, 'https://source.example.org/' || slug AS url, count(DISTINCT page_id) AS pages FROM p WHERE slug <> '' GROUP BY slug""")
+def profiled_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that fit a source's path template, rendered as URLs of its origin."""
+    links = table(spark, sf_dir, "pages").select("page_id", F.explode(html.projection(F.col("html"))["links"]).alias("l"))
+    slugs = links.select("page_id", PROFILE.parse(F.col("l.href")).alias("slug")).where("slug is not null")
+    return slugs.groupBy("slug").agg(F.count_distinct("page_id").alias("pages")).withColumn("url", PROFILE.render(F.col("slug")))

@@ -14,6 +14,7 @@ from lexiforge.functions import payloads
 from lexiforge.functions import predicates as P
 from lexiforge.functions import text as X
 from lexiforge.operators.folds import ordered_fold
+from lexiforge.operators.profile import Profile
 from lexiforge.plans import leases
 from lexiforge.sources import tables as S
 
@@ -153,3 +154,14 @@ def test_leases_are_fenced():
     late = leases.lease_step(("running", 3, 10), {"event_type": "purchase", "t": 10, "k": 1, "event_id": 1})
     stale = leases.lease_step(("running", 3, 10), {"event_type": "error", "t": 5, "k": 4, "event_id": 1})
     assert late == (("pending", 3, 10), {"event_id": 1, "outcome": "lost_lease", "epoch": 3}) and stale[1]["outcome"] == "lost_lease" and stale[0][0] == "running"
+
+
+def test_profiles(spark):
+    own = Profile("https://a.example", "/poem/{slug}.html")
+    paths = {"/poem/x.html": "x", "/poem/.html": None, "/poem/x/y.html": None, "/poem/x.htm": None, "/Poem/x.html": None, "/poem/x?.html": None, "/poem/a.b.html": "a.b", None: None}
+    assert answers(spark, [*paths], own.parse) == [*paths.values()]
+    assert answers(spark, ["x", None], own.render) == ["https://a.example/poem/x.html", None]
+    assert answers(spark, ["<TITLE lang=x> a\nb </title><title>c</title>", "none"], own.name) == ["a\nb", ""]
+    for bad in (("http://a", "/{x}"), ("https://a", "{x}"), ("https://a", "/x"), ("https://a", "/{x}/{y}"), ("https://a", "/{x}?q"), ("https://a/b", "/{x}"), ("https://a", "/{x}}")):
+        with pytest.raises(ValueError):
+            Profile(*bad)
