@@ -39,11 +39,11 @@ MARKER = "▁"
 #: How far the score of an unknown character is below the least one.
 UNKNOWN_PENALTY = 10.0
 #: Chunks remembered by one worker before the memory is emptied; bounds memory only.
-REMEMBERED_CHUNKS = 400_000
+REMEMBERED_CHUNKS = 200_000
 #: Longer chunks are cut one by one and not remembered.
 REMEMBERED_BYTES = 64
 #: Characters of texts whose new chunks are cut together.
-TOGETHER = 1_500_000
+TOGETHER = 500_000
 
 
 #: The check of a slot that no state has.
