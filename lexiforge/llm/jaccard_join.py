@@ -19,8 +19,9 @@ exact: no link between different sets is lost.
 4. Within a block a signature tree is traversed against itself. Pairs of nodes are
    passed over where sizes or bitmaps exclude a link or where all sets are already
    in one group. Blocks beyond ``TILE`` sets are cut into tiles: each tile alone,
-   then one leader of each tile. What is not together then meets once more along
-   each rare shingle that several groups have, for only there can a link be.
+   then one leader of each tile. What is not together then meets once more: along
+   each rare shingle that several groups have, for only there can a link be, or, if
+   that takes fewer copies of sets, all outside the block's largest group meet all.
 
 Identity is by hash: 48 bits for a shingle within overlaps (one wrong overlap
 in about 10^9 pairs of 300 shingles), 128 bits for a set: 64 that stand for it,
@@ -44,14 +45,14 @@ from pyspark.sql import functions as F
 from lexiforge.llm.components import components
 from lexiforge.llm.hashing import mixed, shingle_sets
 from lexiforge.llm.signature_tree import Groups, SignatureTree, links
-from lexiforge.llm.storage import join_hot, settle, table, unused
+from lexiforge.llm.storage import broadcast_few, gathered, join_hot, settle, table, unused
 
 WIDTH = 5
 NEED = (75, 100)
 #: Shingles that a bucket of hash space is sized for.
 BUCKET_SHINGLES = 3_000_000
-#: Texts sampled for common shingles; those in one of ``COMMON`` of them are, at most MOST_COMMON.
-SAMPLED_TEXTS, COMMON, MOST_COMMON = 20_000, 500, 65_536
+#: Texts sampled for common shingles, and tasks that count them; those in one of ``COMMON`` of them are, at most MOST_COMMON.
+SAMPLED_TEXTS, SAMPLE_TASKS, COMMON, MOST_COMMON = 20_000, 8, 500, 65_536
 #: Sets whose keys agree by chance, at most; about one is expected among 10^10 sets.
 MOST_AGREEING = 10_000
 #: Shingles of fewer sampled texts are not common.
@@ -60,6 +61,8 @@ HOT_TEXTS = 40
 EVERYWHERE = np.uint32(0xFFFFFFFF)
 #: Sets of one block that one task compares at once.
 TILE = 512
+#: Candidates that a task is sized for.
+SETS_A_TASK = 10_000
 #: Bytes of sets that one task of small blocks is sized for.
 PACK_BYTES = 8_000_000
 
@@ -107,15 +110,13 @@ def common_shingles(docs: DataFrame, text_col: str, rows: int) -> np.ndarray:
     """Shingles of more than one in ``COMMON`` texts of a sample, sorted; a bounded number."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sets in shingle_sets(batch.column(0), WIDTH):
-                different = {set_key(s): s for s in sets}.values()
-                ids, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *different]) >> np.uint64(16), return_counts=True)
-                often = n > len(different) // COMMON
-                yield pa.RecordBatch.from_arrays([pa.array(ids[often].astype(np.int64)), pa.array(n[often])], ["shingle", "n"])
+        sets = {set_key(s): s for batch in batches for block in shingle_sets(batch.column(0), WIDTH) for s in block}
+        ids, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets.values()]) >> np.uint64(16), return_counts=True)
+        often = n > max(HOT_TEXTS // SAMPLE_TASKS, len(sets) // COMMON)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[often].astype(np.int64)), pa.array(n[often])], ["shingle", "n"])
 
     sample = docs if rows <= SAMPLED_TEXTS else docs.sample(SAMPLED_TEXTS / rows, 1)
-    counts = sample.select(text_col).mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = sample.select(text_col).repartition(SAMPLE_TASKS).mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     often = counts.where(F.col("n") > max(HOT_TEXTS, min(rows, SAMPLED_TEXTS) // COMMON)).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON)
     return np.sort(np.array([r.shingle for r in often.collect()], np.uint64))
 
@@ -279,9 +280,9 @@ def links_within(rows: DataFrame) -> DataFrame:
     return rows.select("task", "part", "side", "key", "n", "ids", "label").groupBy("task").applyInArrow(inside, LINK)
 
 
-def packed(rows: DataFrame, part: Column) -> DataFrame:
-    """``rows`` with small parts put together to tasks of about ``PACK_BYTES``."""
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
+def packed(rows: DataFrame, part: Column, sets: DataFrame) -> DataFrame:
+    """``rows`` with small parts put together to tasks of about ``PACK_BYTES``, as far as the size of ``sets`` tells."""
+    total = sets.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
     return rows.withColumns({"part": part, "task": F.pmod(part, F.lit(max(1, -(-total // PACK_BYTES))))})
 
 
@@ -302,18 +303,43 @@ def large_block_links(rows: DataFrame) -> DataFrame:
     leaders = leader.join(rows.drop("block", "tile"), "key").withColumn("tile", F.floor(F.col("tile") / TILE))
     edges = settle(alone.union(links_within(of_tile(leaders))))
     second = settle(labelled(rows, edges))
+    main = second.groupBy("block", "label").agg(F.count("*").alias("size")).groupBy("block").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("together"))
     # a link between two groups is between sets that have a rare shingle in common
-    postings = second.select("key", "label", F.explode("prefix").alias("shingle"))
-    mixed_ones = postings.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
-    mixed_ones = settle(mixed_ones.select("shingle", F.ceil(F.col("size") / TILE).alias("tiles"), "size"))
-    total = mixed_ones.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    meeting = join_hot(postings, mixed_ones, "shingle", "size", total).select("key", "label", "shingle", "tiles")
-    # a shingle of many sets is cut into tiles, and each two of these meet
-    own = meeting.withColumn("side", F.pmod(F.xxhash64("key", F.lit(5)), F.col("tiles")))
+    postings = second.select("block", "key", "label", F.explode("prefix").alias("shingle"))
+    lists = postings.groupBy("block", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), *[F.sum(F.xxhash64("key", F.lit(k)).cast("decimal(20,0)")).alias(f"sum{k}") for k in (1, 2)]).where("low <> high")
+    # of shingles that the same sets have, one is enough
+    lists = settle(lists.groupBy("block", "size", "sum1", "sum2").agg(F.min("shingle").alias("shingle")).withColumn("tiles", F.ceil(F.col("size") / TILE)))
+    # copies of sets that meet along shingles, and that meet if all outside the largest group meet all: whatever is less, by block
+    costs = lists.groupBy("block").agg(F.sum(F.col("size") * F.col("tiles")).alias("along")).join(main, "block")
+    costs = costs.withColumns({"chunks": F.ceil((F.col("all") - F.col("together")) / TILE), "tiles": F.ceil(F.col("all") / TILE)})
+    costs = settle(costs.withColumn("around", (F.col("all") - F.col("together")) * F.col("tiles") + F.col("all") * F.col("chunks")))
+    narrow = second.select("block", "key", "label")
+    meeting = along_shingles(postings, lists.join(broadcast_few(costs.where("along <= around").select("block")), "block", "left_semi"))
+    meeting = meeting.union(around_the_rest(narrow, costs.where("along > around").select("block", "main", "chunks", "tiles")))
+    sets = settle(meeting).join(second.select("key", "label", "n", "ids"), "key")
+    return edges.union(links_within(packed(sets, F.col("met"), second)))
+
+
+MEET = ("key", "side", "met")
+
+
+def along_shingles(postings: DataFrame, lists: DataFrame) -> DataFrame:
+    """(key, side, met): the sets of each shingle of ``lists``; where they are many, in tiles of which each two meet."""
+    lists = settle(lists.select(F.xxhash64("block", "shingle").alias("list"), "size", "tiles"))
+    total = lists.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    own = join_hot(postings.select("key", F.xxhash64("block", "shingle").alias("list")), lists, "list", "size", total)
+    own = own.withColumn("side", F.pmod(F.xxhash64("key", F.lit(5)), F.col("tiles")))
     pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    part = F.xxhash64("shingle", F.least("side", "other"), F.greatest("side", "other"))
-    sets = pairs.join(second.select("key", "n", "ids"), "key").withColumn("side", F.col("side").cast("int"))
-    return edges.union(links_within(packed(settle(sets.withColumn("met", part)), F.col("met"))))
+    return pairs.withColumn("met", F.xxhash64("list", F.least("side", "other"), F.greatest("side", "other"))).withColumn("side", F.col("side").cast("int")).select(*MEET)
+
+
+def around_the_rest(sets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(key, side, met): the sets outside a block's largest group in chunks, each of which meets each tile of all its sets."""
+    own = sets.join(broadcast_few(blocks), "block").withColumns({"chunk": F.pmod(F.xxhash64("key", F.lit(5)), F.col("chunks")), "tile": F.pmod(F.xxhash64("key", F.lit(6)), F.col("tiles"))})
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rest = own.where("label <> main").withColumns({"tile": upto("tiles"), "side": F.lit(1)})
+    every = own.withColumns({"chunk": upto("chunks"), "side": F.lit(0)})
+    return rest.unionByName(every).withColumn("met", F.xxhash64("block", "tile", "chunk")).select(*MEET)
 
 
 def link_edges(blocks: DataFrame) -> DataFrame:
@@ -323,9 +349,9 @@ def link_edges(blocks: DataFrame) -> DataFrame:
     rows = blocks.join(sizes, "block")
     small = rows.where(F.col("size") <= TILE).withColumns({"side": F.lit(0), "label": F.col("key")})
     large = rows.where(F.col("size") > TILE).withColumn("tile", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / TILE)))
-    edges = links_within(packed(small, F.col("block")))
+    edges = links_within(packed(small, F.col("block"), blocks))
     if not sizes.where(F.col("size") > TILE).isEmpty():
-        edges = edges.union(large_block_links(settle(large.select("block", "tile", "key", "n", "ids", "prefix"))))
+        edges = edges.union(large_block_links(gathered(settle(large.select("block", "tile", "key", "n", "ids", "prefix")), SETS_A_TASK // 2)))
     return edges
 
 
@@ -333,21 +359,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id) for each row of ``docs``."""
     rows = settle(measured(docs, id_col, text_col))
     n_rows = rows.count()
-    seconds = rows.groupBy("key").agg(F.min("second").alias("low"), F.max("second").alias("high"))
-    agreeing = [r.key for r in seconds.where("low <> high").select("key").limit(MOST_AGREEING + 1).collect()]
+    own = [F.min("id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"), F.min("second").alias("low"), F.max("second").alias("high")]
+    classes = settle(rows.groupBy("key").agg(*own))
+    agreeing = [r.key for r in classes.where("low <> high").select("key").limit(MOST_AGREEING + 1).collect()]
     if len(agreeing) > MOST_AGREEING:
         raise ValueError("too many sets have the same key")
-    rows = rows.withColumn("key", F.when(F.col("key").isin(agreeing), F.col("second")).otherwise(F.col("key")) if agreeing else F.col("key")).drop("second")
-    classes = settle(rows.groupBy("key").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies")))
+    if agreeing:
+        rows = rows.withColumn("key", F.when(F.col("key").isin(agreeing), F.col("second")).otherwise(F.col("key")))
+        classes = settle(rows.groupBy("key").agg(*own))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_SHINGLES))
     common, agreeing = common_shingles(docs, text_col, n_rows), frozenset(agreeing)
     shared = shared_shingles(dealt(docs, text_col, buckets, common, agreeing), buckets, 2 * buckets, common)
-    sets = settle(candidates(shared, 2 * buckets))
+    sets = gathered(settle(candidates(shared, 2 * buckets)), SETS_A_TASK)
     found = components(link_edges(in_blocks(sets)))
     joined = classes.join(found, classes.key == found.v)
-    least = joined.groupBy("label").agg(F.min("first").alias("component"), F.count("*").alias("size"))
-    named = join_hot(joined.select("key", "label"), least, "label", "size", classes.count()).select("key", "component")
+    least = settle(joined.groupBy("label").agg(F.min("first").alias("component"), F.count("*").alias("size")))
+    named = join_hot(joined.select("key", "label"), least, "label", "size", n_rows).select("key", "component")
     class_of = settle(classes.join(named, "key", "left").select("key", F.coalesce("component", "first").alias("component"), "copies"))
     return join_hot(rows, class_of, "key", "copies", n_rows).select(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")

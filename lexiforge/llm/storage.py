@@ -26,7 +26,12 @@ def lower_ascii(text):
 
 
 #: Rows of a few short columns that are broadcast at most.
-FEW_ROWS = 200_000
+FEW_ROWS = 50_000
+
+
+def gathered(df: DataFrame, rows_a_task: int) -> DataFrame:
+    """``df``, which is settled, in as many partitions as its rows need."""
+    return df.coalesce(max(1, -(-df.count() // rows_a_task)))
 
 
 def broadcast_few(df: DataFrame) -> DataFrame:
@@ -41,14 +46,16 @@ HOT_ROWS, HOT_KEYS = 1000, 100_000
 def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right`` on ``key``; ``rows`` is the column of ``right`` that says how many rows of ``left`` have its key.
 
-    ``right`` has each key once. Its hot keys, at most HOT_KEYS of ``total`` rows, are
-    broadcast, so a key that a large part of ``left`` has does not meet in one task.
+    ``right`` has each key once, narrow rows, and is settled. It is broadcast if it has at
+    most FEW_ROWS; else its hot keys are, at most HOT_KEYS of ``total`` rows, so a key that
+    a large part of ``left`` has does not meet in one task.
     """
+    if right.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        return left.join(F.broadcast(right.drop(rows)), key, how)
     least = max(HOT_ROWS, -(-total // HOT_KEYS))
     is_hot = F.coalesce(F.col(rows) > least, F.lit(False))
     hot = right.where(is_hot)
     if hot.isEmpty():
         return left.join(right.drop(rows), key, how)
-    keys = hot.select(key)
-    few = left.join(F.broadcast(keys), key, "left_anti").join(right.where(~is_hot).drop(rows), key, how)
+    few = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(~is_hot).drop(rows), key, how)
     return few.unionByName(left.join(F.broadcast(hot.drop(rows)), key))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.llm import components as C
@@ -64,8 +65,10 @@ def test_sets_whose_keys_agree_are_told_apart(spark):
     assert jaccard_join.told_apart(sets[1], frozenset(keys[:1])) == keys[1]
 
 
-def test_joins_on_hot_keys(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_joins_on_hot_keys(spark, monkeypatch, few):
     monkeypatch.setattr(storage, "HOT_ROWS", 5)
+    monkeypatch.setattr(storage, "FEW_ROWS", few)
     left = spark.createDataFrame([(i, i % 4 if i < 20 else 9) for i in range(60)] + [(99, None)], "i int, k int")
     right = left.where("k < 9").groupBy("k").agg(F.count("*").alias("n")).union(spark.createDataFrame([(9, 40)], "k int, n long")).withColumn("v", F.col("k") * 10)
     for how in ("inner", "left"):
@@ -73,8 +76,11 @@ def test_joins_on_hot_keys(spark, monkeypatch):
         assert sorted(found, key=lambda r: r.i) == sorted(left.join(right, "k", how).select("i", "k", "v").collect(), key=lambda r: r.i)
 
 
-def test_components_with_hubs(spark, monkeypatch):
+@pytest.mark.parametrize("left", [0, 50, 200_000])
+def test_components_with_hubs(spark, monkeypatch, left):
     monkeypatch.setattr(storage, "HOT_ROWS", 3)
+    monkeypatch.setattr(storage, "FEW_ROWS", 0)
+    monkeypatch.setattr(C, "EDGES_A_TASK", left)
     draw = random.Random(1)
     edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(70)] + [(draw.randrange(300, 400), draw.randrange(300, 400)) for _ in range(60)]
     label = {v: v for e in edges for v in e if e[0] != e[1]}
