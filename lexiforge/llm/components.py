@@ -34,12 +34,16 @@ class Rounds:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        """Removes the folder; tables read from it must not be needed any more."""
+    def drop(self, path: str | None = None) -> None:
+        """Removes the folder (or one table's); tables read from it must not be needed any more."""
         context = self.spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path = context._jvm.org.apache.hadoop.fs.Path(path or self.folder)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_before(self) -> None:
+        """Removes the table before the last one."""
+        self.drop(f"{self.folder}/{self.n - 2}")
+
 
 def joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(v, to): each vertex of all edges of the task, and one vertex of its component."""

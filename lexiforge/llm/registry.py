@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiforge.llm import exact_dedup, html_wrapper, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter
+from lexiforge.llm import drake_clusters, exact_dedup, html_wrapper, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentence_pieces": sentence_pieces.op8_sentence_pieces,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_drake_clusters": drake_clusters.op11_drake_clusters,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
+    "op11_drake_clusters": drake_clusters.OP11_SQL,
 }
