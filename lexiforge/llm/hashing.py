@@ -55,24 +55,44 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarra
         start = stop
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, A-Z lower-cased, and the number of words of each text.
+def byte_table(data: bytes) -> np.ndarray:
+    """A table of 256, true for the given bytes."""
+    found = np.zeros(256, bool)
+    found[list(data)] = True
+    return found
 
-    Words are runs of other bytes than space and 9 to 13; a text's end ends a word.
-    """
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+
+#: What ends a word unless other bytes are given: space and 9 to 13.
+WHITE = byte_table(b"\x20\x09\x0a\x0b\x0c\x0d")
+
+
+def cut_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with A-Z lower-cased, and where each word begins and ends; a text's end ends a word."""
     low = data + np.where((data >= 65) & (data <= 90), 32, 0).astype(np.uint8)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside = ~separators[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     begins = np.flatnonzero(inside & (cut[:-1] | ~np.concatenate(([False], inside[:-1]))))
     ends = np.flatnonzero(inside & (cut[1:] | ~np.concatenate((inside[1:], [False])))) + 1
-    up, down = POWERS.upto(len(data))
+    return low, begins, ends
+
+
+def hashes_of(low: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each word."""
+    up, down = POWERS.upto(len(low))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up)))
-    words = mixed((total[ends] - total[begins]) * down[begins], 7)
-    counts = np.diff(np.searchsorted(begins, offsets))
-    return words, counts
+    return mixed((total[ends] - total[begins]) * down[begins], 7)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, A-Z lower-cased, and the number of words of each text.
+
+    Words are runs of other bytes than space and 9 to 13; a text's end ends a word.
+    """
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    low, begins, ends = cut_words(data, offsets)
+    return hashes_of(low, begins, ends), np.diff(np.searchsorted(begins, offsets))
 
 
 def chained(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiforge.llm import drake_clusters, exact_dedup, html_wrapper, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter
+from lexiforge.llm import decontamination, drake_clusters, exact_dedup, html_wrapper, importance_resampling, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_drake_clusters": drake_clusters.op11_drake_clusters,
+    "op12_importance_resampling": importance_resampling.op12_importance_resampling,
+    "op13_decontamination": decontamination.op13_decontamination,
 }
 
 ORACLES = {
@@ -24,4 +26,6 @@ ORACLES = {
     "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op11_drake_clusters": drake_clusters.OP11_SQL,
+    "op12_importance_resampling": importance_resampling.OP12_SQL,
+    "op13_decontamination": decontamination.OP13_SQL,
 }
