@@ -1,16 +1,13 @@
-"""Semi-structured payloads: translations, insights, generated titles, canonical JSON, references anywhere in a payload."""
+"""Semi-structured payloads: translations, insights, generated titles."""
 
 from __future__ import annotations
 
-import json
-import math
+import re
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexiforge.functions.predicates import UNSAFE, all_of
-from lexiforge.sources.checkpoints import settle
 
 # Fixed phrases of failed generations; a line that has one is no translation.
 FAILED = ["roses are red", "unable to translate", "cannot translate", "can't translate", "as an ai", "translation guidelines", "translate the following", "provide a summary instead"]
@@ -33,6 +30,15 @@ REJECTED_TITLES = [
     "nice try*translate*", "without permission*translate*",
     "translated to *", "titles translated", "my poem translation:",
 ]
+# Fixed patterns of failed generations and of titles that are none, as the catalogue holds texts against them; letter case doesn't count.
+FAILED_PATTERN = r"(?:roses are red|unable to translate|cannot translate|can't translate|i(?:'| a)m sorry.{0,80}translat|as an ai|translation guidelines|translate the following|provide (?:a )?summary instead)"
+TITLE_PATTERN = (
+    r"(?:i (?:do not|don't).{0,80}translat|i (?:have )?translated|i have (?:chosen|given|made).{0,80}translat|i(?:'m| am) an ai|assistant created by|here(?:'s| is).{0,100}(?:attempt|english|translat)"
+    r"|english translation|arabic poem title|title translated|from english to arabic|you are an arabic|attempt at translat|^i (?:will not|have nothing|have not|presume not|did not|am not able).{0,180}(?:translat|output|provide|copyright|permission|context)"
+    r"|^you(?:'re| are) right.{0,180}translat|^translated to\b|^titles? translated(?: to english)?$|^my poem translation:?$|without proper context|copyrighted material|let's have (?:a |an )?(?:engaging|respectful|thoughtful) (?:conversation|discussion)"
+    r"|please provide (?:an |the )?(?:arabic|english|translation)|as requested.{0,120}(?:output|translat)|do not speak arabic|don't speak arabic|not attempt to translat|refrain from translat|kept the translated poem private"
+    r"|translation capabilities|translation services|rough translation of the title|entrust you.{0,80}translate|nice try.{0,80}translate|without permission.{0,80}(?:translate|copyright)|my friend.{0,120}(?:cannot provide|thoughtful discussion))"
+)
 #: Longest line, text and title.
 LINE, TEXT, TITLE = 5000, 20_000, 200
 
@@ -50,20 +56,21 @@ def items(v: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")).startswith("ARRAY"), F.try_variant_get(v, path, "array<variant>"))
 
 
+#: A phrase of a failed generation, or an apology with a translation anywhere else.
+FAILED_LINE = "|".join([*map(re.escape, FAILED), r"i'm sorry(?s:.*)translat", r"translat(?s:.*)i'm sorry"])
+
+
 def failed_line(text: Column) -> Column:
-    low = F.lower(text)
-    has = low.contains("i'm sorry") & low.contains("translat")
-    for phrase in FAILED:
-        has = has | low.contains(phrase)
-    return has
+    return F.lower(text).rlike(FAILED_LINE)
 
 
 def valid_translation(payload: Column, source_lines: Column) -> Column:
     """``content`` is an array of 1 to 2000 texts, no more than the source has lines, none too long, unsafe or a refusal, one at least not blank."""
-    lines = items(F.try_parse_json(payload), "$.content")
-    good = lambda x: is_text(x) & F.coalesce((F.length(as_text(x)) <= LINE) & ~as_text(x).rlike(UNSAFE) & ~failed_line(as_text(x)), F.lit(False))
-    checks = all_of(F.size(lines).between(1, 2000), F.size(lines) <= source_lines, F.forall(lines, good), F.exists(lines, lambda x: F.coalesce(F.trim(as_text(x)) != "", F.lit(False))))
-    return F.coalesce(checks, F.lit(False))
+    # each line is read once; what is no text becomes null
+    lines = F.transform(items(F.try_parse_json(payload), "$.content"), lambda x: F.when(is_text(x), as_text(x)))
+    good = lambda t: F.coalesce((F.length(t) <= LINE) & ~t.rlike(UNSAFE) & ~failed_line(t), F.lit(False))
+    judged = F.transform(F.array(lines), lambda t: all_of(F.size(t).between(1, 2000), F.size(t) <= source_lines, F.forall(t, good), F.exists(t, lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))))
+    return F.coalesce(judged[0], F.lit(False))
 
 
 def valid_insights(payload: Column) -> Column:
@@ -83,80 +90,36 @@ def valid_insights(payload: Column) -> Column:
 
 
 def glob(pattern: str) -> str:
-    """A pattern with * as an anchored regular expression."""
-    return r"(?s)\A" + ".*".join(r"\Q" + part + r"\E" if part else "" for part in pattern.split("*")) + r"\z"
+    """A GLOB pattern as an anchored regular expression: * any characters, ? one, [a-f], [^a-f] one of a class.
+
+    As in SQL, a class has no escapes; a ] stands for itself as its first character, and a [ without an end matches nothing.
+    """
+    out, at = [], 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "[":
+            first = at + 1 + (pattern[at + 1 : at + 2] == "^")
+            end = pattern.find("]", first + 1)
+            if end < 0:
+                return r"(?!)"
+            inside = re.sub(r"([\\\[\]^&])", r"\\\1", pattern[first:end])
+            out.append(f"[{'^' if first > at + 1 else ''}{inside}]")
+            at = end
+        else:
+            out.append({"*": ".*", "?": "."}.get(c) or re.escape(c))
+        at += 1
+    return rf"(?s)\A{''.join(out)}\z"
 
 
 def usable_title(title: Column) -> Column:
     """Not blank, one line, at most TITLE characters without outer spaces, no unsafe characters, no failed generation."""
-    low = F.lower(title)
-    rejected = F.lit(False)
-    for pattern in REJECTED_TITLES:
-        rejected = rejected | low.rlike(glob(pattern))
+    rejected = F.lower(title).rlike("|".join(map(glob, REJECTED_TITLES)))
     checks = all_of(F.trim(title) != "", F.length(F.trim(title)) <= TITLE, ~title.rlike(r"[\r\n]"), ~title.rlike(UNSAFE), ~failed_line(title), ~rejected)
     return F.coalesce(checks, F.lit(False))
 
 
-def canonical(value, variant: str) -> str:
-    """JSON with sorted keys and no spaces.
-
-    Variants: ``source`` and ``work`` sort keys by their characters, ``bound`` and
-    ``revision`` as a reader would (letters before case); ``work`` and ``revision``
-    write -0 as 0, ``source`` and ``bound`` do too, as JSON numbers have no -0 there.
-    Numbers that are whole are written without a fraction. Not finite ones are an error.
-    """
-    if isinstance(value, float):
-        if not math.isfinite(value):
-            raise ValueError("a number is not finite")
-        return json.dumps(int(value) if value.is_integer() and abs(value) < 1e21 else value)
-    if isinstance(value, list):
-        return "[" + ",".join(canonical(x, variant) for x in value) + "]"
-    if isinstance(value, dict):
-        order = str if variant in ("source", "work") else lambda k: (k.casefold(), k.swapcase())
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k], variant)}" for k in sorted(value, key=order)) + "}"
-    return json.dumps(value, ensure_ascii=False)
-
-
-VARIANTS = ("source", "work", "bound", "revision")
-
-
-def canonical_json(payload: Column, variant: str) -> Column:
-    """The canonical form of a JSON text; null if it is none, or too deep to read."""
-    if variant not in VARIANTS:
-        raise ValueError(variant)
-
-    @F.arrow_udf("string")
-    def written(payloads: pa.Array) -> pa.Array:
-        out = []
-        for p in payloads.to_pylist():
-            try:
-                out.append(None if p is None else canonical(json.loads(p), variant))
-            except (ValueError, RecursionError):
-                out.append(None)
-        return pa.array(out, pa.string())
-
-    return written(payload)
-
-
-#: A text of hexadecimal digits in groups of 8, 4, 4, 4 and 12, of version 1 to 8.
-REFERENCE = r"\A[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"
-
-
-def references(rows: DataFrame, key: str, payload: str, deepest: int = 64) -> DataFrame:
-    """(key, reference) of all texts, at any depth of the payload, that are references.
-
-    Each pass takes the members of all objects and arrays of one depth apart; it ends
-    where none is left. Payloads beyond ``deepest`` are an error, not cut.
-    """
-    spark = rows.sparkSession
-    level = rows.select(key, F.try_parse_json(payload).alias("v")).where("v is not null")
-    found = None
-    for _ in range(deepest + 1):
-        kind = F.schema_of_variant("v")
-        texts = level.where(kind == "STRING").select(key, F.lower(F.try_variant_get("v", "$", "string")).alias("reference")).where(F.col("reference").rlike(REFERENCE))
-        found = texts if found is None else found.union(texts)
-        nested = level.where(kind.startswith("ARRAY") | kind.startswith("OBJECT"))
-        if nested.isEmpty():
-            return found.distinct()
-        level = settle(nested.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("value").alias("member"))).select(key, F.col("member").alias("v")))
-    raise ValueError(f"payloads are nested deeper than {deepest}")
+def usable_in_catalogue(title: Column) -> Column:
+    """As ``usable_title``, but by the catalogue's two patterns, with their bounded gaps; outer spaces don't count."""
+    own = F.trim(title)
+    checks = all_of(F.length(own).between(1, TITLE), ~own.rlike(r"[\r\n]"), ~own.rlike(UNSAFE), ~own.rlike(f"(?iu){FAILED_PATTERN}"), ~own.rlike(f"(?iu){TITLE_PATTERN}"))
+    return F.coalesce(checks, F.lit(False))

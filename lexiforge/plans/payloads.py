@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiforge.functions import canonical as C
 from lexiforge.functions import payloads as P
 from lexiforge.functions import text as X
 from lexiforge.plans.registry import query
@@ -83,6 +84,8 @@ TITLES = [
     (-1, "Here is my translation", "The river"), (-2, " ", "The river"), (-3, None, None), (-4, "Translated to English", None), (-5, "Not translated to English", None), (-6, "I will not provide this", "I WILL NOT TRANSLATE"),
     (-7, "Copyrighted material withheld", "You're right, I should translate"), (-8, "  The moon  ", "other"), (-9, "two\nlines", "one line"), (-10, "My poem translation:", "My poem translation: more"), (-11, "x" * 201, "x" * 200),
     (-12, "a‮b", "clear"), (-13, "Let's have a calm discussion", "nice try, but translate"), (-14, "oh nice try, but translate", None), (-15, "I'm sorry, no translation", "I'm sorry, love"),
+    (-16, "I'm sorry" + "." * 81 + "translated", "I am sorry that I translate"), (-17, "Here's " + "x" * 100 + " attempt", "HERE IS my English"), (-18, "I have chosen to translate", "as requested: output"), (-19, "titles translated to English", "titles translated to Englishmen"),
+    (-20, "You are right, translate", "provide summary instead"), (-21, "Rough translation of the title", "my friend, I cannot provide"),
 ]
 
 
@@ -111,23 +114,21 @@ WITH p AS (SELECT k, CAST({NESTED} AS JSON) AS j FROM (SELECT o_orderkey AS k FR
 SELECT DISTINCT k AS o_orderkey, lower(t.value ->> '$') AS reference FROM p, json_tree(p.j) t
 WHERE t.type = 'VARCHAR' AND regexp_matches(lower(t.value ->> '$'), '^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[1-8][0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}$')""")
 def payload_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References anywhere in nested payloads, texts only, by members of one depth after the other."""
+    """References anywhere in nested payloads, texts only; each payload that may have one is read once."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).select(F.col("k").alias("o_orderkey"), F.expr(NESTED).alias("payload"))
-    return P.references(rows, "o_orderkey", "payload")
+    return C.references(rows, "o_orderkey", "payload")
 
 
-@query("""
-WITH o AS (SELECT o_orderkey, '"' || o_orderstatus || '"' AS s, CAST(floor(o_totalprice) AS BIGINT) AS t, o_custkey AS c FROM orders)
-SELECT o_orderkey, sha256('{"B":true,"a":{"Z":' || t || ',"y":[' || c || ',null,{"p":1,"q":0}]},"b":' || s || '}') AS by_character,
-  sha256('{"a":{"y":[' || c || ',null,{"p":1,"q":0}],"Z":' || t || '},"b":' || s || ',"B":true}') AS by_letter FROM o""")
+@query(r"""
+WITH o AS (SELECT o_orderkey, '"' || o_orderstatus || '"' AS s, CAST(floor(o_totalprice) AS BIGINT) AS t, '[' || o_custkey || ',null,{"p":1e+21,"q":1.5}]' AS c FROM orders),
+f AS (SELECT o_orderkey, '{"1":9007199254740992,"B":true,"_x":0,"b":' || s || ',"e":' || t || ',"f":"é\ud800","é":' || c || '}' AS unit, '{"_x":0,"1":9007199254740992,"b":' || s || ',"B":true,"e":' || t || ',"é":' || c || ',"f":"é\ud800"}' AS letter FROM o)
+SELECT o_orderkey, sha256(unit) AS source, sha256(unit) AS work, sha256(letter) AS bound, sha256(letter) AS revision FROM f""")
 def canonical_json_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digests of a nested payload's canonical forms: keys by character (two variants) and by letter (two variants)."""
-    inner = F.concat(F.lit('{"q": -0.0, "p": 1.0}'))
-    payload = F.concat(F.lit('{ "b": "'), "o_orderstatus", F.lit('", "a": {"y": ['), F.col("o_custkey").cast("string"), F.lit(", null, "), inner, F.lit('], "Z": '), F.floor("o_totalprice").cast("string"), F.lit('.0}, "B": true}'))
+    """The digests of a nested payload's canonical forms: keys by UTF-16 unit in two places, by collation in two, numbers as doubles."""
+    pieces = ['{ "b": "', "o_orderstatus", r'", "_x": -0.0, "1": 9007199254740993, "é": [', "o_custkey", r', null, {"q": 1.50, "p": 1E21} ], "f": "é\ud800", "B": true, "e": ', "floor(o_totalprice)", ".0}"]
+    payload = F.concat(*[F.expr(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
     rows = table(spark, sf_dir, "orders").select("o_orderkey", payload.alias("p"))
-    forms = rows.select("o_orderkey", *[P.canonical_json(F.col("p"), v).alias(v) for v in P.VARIANTS])
-    same = lambda a, b: F.when(F.col(a) == F.col(b), F.sha2(a, 256))
-    return forms.select("o_orderkey", same("source", "work").alias("by_character"), same("bound", "revision").alias("by_letter"))
+    return rows.select("o_orderkey", *[F.sha2(C.canonical_json(F.col("p"), v), 256).alias(v) for v in C.VARIANTS])
 
 
 # Names and spellings: (case, text, its search form).
@@ -137,14 +138,40 @@ ARABIC = [
 ]
 
 
-@query(f"""
-WITH t AS (SELECT *, translate(text, '{X.FOLDED_FROM}{X.DROPPED_MARKS}', '{X.FOLDED_TO}') AS sort_key FROM ({values(ARABIC)}) AS v(case_id, text, search_key))
-SELECT CAST(case_id AS INT) AS case_id, sort_key, search_key, row_number() OVER (ORDER BY encode(sort_key), case_id) AS place FROM t""")
+@query(rf"""
+WITH v AS (SELECT * FROM ({values(ARABIC)}) AS v(case_id, text, search_key)),
+t AS (SELECT doc_id, case_id, text || ' ' || split_part(d.text, ' ', 1) AS text, search_key || ' ' || trim(regexp_replace(strip_accents(lower(nfc_normalize(split_part(d.text, ' ', 1)))), '\s+', ' ', 'g')) AS search_key FROM (SELECT doc_id, text FROM documents) d(doc_id, text), v),
+f AS (SELECT doc_id, case_id, translate(text, '{X.FOLDED_FROM}{X.DROPPED_MARKS}', '{X.FOLDED_TO}') AS sort_key, trim(search_key) AS search_key FROM t)
+SELECT doc_id, CAST(case_id AS INT) AS case_id, sort_key, search_key, row_number() OVER (PARTITION BY doc_id ORDER BY encode(sort_key), case_id) AS place FROM f""".replace("SELECT doc_id, case_id, text ||", "SELECT doc_id, case_id, v.text ||"))
 def arabic_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sort and search forms of names in Arabic and Latin letters, and their order."""
-    rows = spark.createDataFrame([r[:2] for r in ARABIC], "case_id int, text string")
-    folded = rows.select("case_id", X.sort_fold(F.col("text")).alias("sort_key"), X.search_fold(F.col("text")).alias("search_key"))
-    return folded.withColumn("place", F.row_number().over(Window.orderBy("sort_key", "case_id")).cast("long"))  # a few literal rows
+    """Sort and search forms of names in Arabic letters before each document's first word, and their order within it."""
+    names = spark.createDataFrame([r[:2] for r in ARABIC], "case_id int, name string")
+    word = F.split_part("text", F.lit(" "), F.lit(1))
+    rows = table(spark, sf_dir, "documents").crossJoin(F.broadcast(names)).select("doc_id", "case_id", F.concat("name", F.lit(" "), word).alias("text"))  # 15 names
+    folded = rows.select("doc_id", "case_id", X.sort_fold(F.col("text")).alias("sort_key"), X.search_fold(F.col("text")).alias("search_key"))
+    return folded.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("sort_key", "case_id")).cast("long"))
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id AS id, trim(split_part(text, chr(10), 1)) AS title FROM documents UNION ALL SELECT id, trim(a) FROM ({values(TITLES)}) AS v(id, a, b) UNION ALL SELECT id - 100, trim(b) FROM ({values(TITLES)}) AS v(id, a, b))
+SELECT id, coalesce(length(title) BETWEEN 1 AND 200 AND NOT regexp_matches(title, '[\r\n]') AND NOT regexp_matches(title, '{UNSAFE_SQL}') AND NOT regexp_matches(title, '(?i){P.FAILED_PATTERN.replace("'", "''")}') AND NOT regexp_matches(title, '(?i){P.TITLE_PATTERN.replace("'", "''")}'), false) AS usable FROM t""")
+def catalogue_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether first lines, and titles as generators make them, may be shown, by the catalogue's patterns."""
+    made = spark.createDataFrame([(r[0], r[1]) for r in TITLES] + [(r[0] - 100, r[2]) for r in TITLES], "id long, title string")
+    every = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title")).union(made)
+    return every.select("id", P.usable_in_catalogue(F.col("title")).alias("usable"))
+
+
+GLOBS = {"even": "Customer#*[02468]", "one_digit": "Customer#00000000?", "not_round": "*[^0]", "range": "C[!-z]stomer#*[3-5][3-5]", "bracket": "*[]#]0*"}
+
+
+@query(r"""
+SELECT c_custkey, c_name GLOB 'Customer#*[02468]' AS even, c_name GLOB 'Customer#00000000?' AS one_digit, NOT c_name GLOB '*0' AS not_round, c_name GLOB 'C[!-z]stomer#*[3-5][3-5]' AS range, regexp_matches(c_name, '[]#]0') AS bracket,
+  NOT regexp_matches(lower(md5(c_name)), '[^0-9a-f]') AS hexadecimal FROM customer""".replace("'C[!-z]stomer#*[3-5][3-5]'", "'C?stomer#*[3-5][3-5]'"))
+def glob_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names against GLOB patterns with classes of characters."""
+    hexadecimal = ~F.md5(F.col("c_name").cast("binary")).rlike(P.glob("*[^0-9a-f]*"))
+    return table(spark, sf_dir, "customer").select("c_custkey", *[F.col("c_name").rlike(P.glob(g)).alias(name) for name, g in GLOBS.items()], hexadecimal.alias("hexadecimal"))
 
 
 LINES = [(-1, "", "first\n  قال الشاعر  \nآخر"), (-2, " عنوان ", "قال"), (-3, "", "no such line"), (-4, None, None), (-5, "", "\n \n؟ ١"), (-6, "", "ق" * 600)]

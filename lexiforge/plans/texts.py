@@ -70,12 +70,20 @@ def json_typed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT 1 AS case_id, 1234 AS parsed UNION ALL SELECT 2, 123 UNION ALL SELECT 3, 42 UNION ALL SELECT 4, 0 UNION ALL SELECT 5, NULL UNION ALL SELECT 6, NULL")
+# Texts before a count, and what is read from them; the tables have no such texts.
+COUNTED = [("١٬٢٣٤ بيت", 1234), ("۱۲۳", 123), ("42 قصيدة", 42), ("لا توجد ٠ قصائد", 0), ("12 من 20", None), ("none", None), ("99999999", None)]
+
+
+@query(f"""
+WITH v AS (SELECT * FROM (VALUES {", ".join(f"({i}, {'NULL' if n is None else n}, '{t}')" for i, (t, n) in enumerate(COUNTED, 1))}) AS v(case_id, parsed, text)),
+d AS (SELECT doc_id, n_chars, translate(CAST(n_chars AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩') AS arabic FROM documents)
+SELECT doc_id, case_id::INTEGER AS case_id, (CASE WHEN case_id = 6 THEN n_chars WHEN parsed IS NULL THEN NULL ELSE NULL END)::BIGINT AS both, parsed::BIGINT AS alone FROM d, v""")
 def localized_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts in three scripts' digits; two numbers or none give none."""
-    cases = ["١٬٢٣٤ بيت", "۱۲۳", "42 قصيدة", "لا توجد ٠ قصائد", "12 من 20", "none"]
-    rows = spark.createDataFrame(list(enumerate(cases, 1)), "case_id int, text string")
-    return rows.select("case_id", X.localized_count(F.col("text")).cast("int").alias("parsed"))
+    """Counts in three scripts' digits, alone and before each document's length in Arabic digits; two numbers or none give none."""
+    cases = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(COUNTED, 1)], "case_id int, text string")
+    length = F.translate(F.col("n_chars").cast("string"), X.DIGITS_TO[:10], X.DIGITS_FROM[:10])
+    rows = table(spark, sf_dir, "documents").select("doc_id", length.alias("length")).crossJoin(F.broadcast(cases))  # seven cases
+    return rows.select("doc_id", "case_id", X.localized_count(F.concat("text", F.lit(" طول "), "length")).alias("both"), X.localized_count(F.col("text")).alias("alone"))
 
 
 @query("""
