@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from lexiforge.plans.registry import query
 from lexiforge.sources import tables as S
+from lexiforge.sources.feeds import merged, read_feeds, write_feed
+from lexiforge.sources.logs import append_log, committed, read_log
+from lexiforge.sources.pairs import export_tables, read_table
 from lexiforge.sources.tables import table
 from lexiforge.streaming.events import shared_folder
 
@@ -72,3 +75,69 @@ def bounded_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     # brackets and the commas between samples count
     total = F.sum(F.col("bytes") + 1).over(Window.partitionBy("user_id").orderBy(F.desc("event_id"))) + 1
     return sized.withColumn("total", total).where("total <= 1024").groupBy("user_id").agg(F.count("*").alias("kept"), F.min("event_id").alias("oldest"), F.max("total").alias("bytes"))
+
+
+PAIR = {"customers": "c_custkey long, c_name string, c_nationkey int", "orders": "o_orderkey long, o_custkey long, o_orderstatus string"}
+
+
+@query("""
+WITH h AS (
+  SELECT 'customers' AS name, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}') AS h FROM customer
+  UNION ALL SELECT 'orders', sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') FROM orders),
+b AS (SELECT name, substr(h, 1, 2) AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1, 2),
+d AS (SELECT name, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h, '' ORDER BY b)) AS sha256 FROM b GROUP BY name)
+SELECT pass, name, rows, sha256, pass = 2 AS replayed, CASE name WHEN 'customers' THEN (SELECT sum(c_custkey) FROM customer) ELSE (SELECT sum(o_orderkey) FROM orders) END::BIGINT AS keys FROM d, (VALUES (1), (2)) p(pass)""")
+def snapshot_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables exported as one, found again when they are exported from rows in another order, and read through the manifest."""
+    rows = {"customers": table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), "orders": table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")}
+    keys, folder = {"customers": "c_custkey", "orders": "o_orderkey"}, f"{shared_folder(spark)}/pair"
+    first = export_tables({n: (r, keys[n]) for n, r in rows.items()}, folder)
+    second = export_tables({n: (r.repartition(5, r.columns[1]), keys[n]) for n, r in rows.items()}, folder)
+    both = first.select(F.lit(1).alias("pass"), "*").union(second.select(F.lit(2), "*"))
+    sums = None
+    for name in rows:
+        own = read_table(spark, folder, name, PAIR[name]).agg(F.sum(keys[name]).alias("keys")).select(F.lit(name).alias("name"), "keys")
+        sums = own if sums is None else sums.union(own)
+    return both.join(sums, "name")
+
+
+#: Items of a page of a feed.
+PAGE = 20
+
+
+@query(f"""
+WITH p AS (SELECT page_id, regexp_extract(url, '://[^/?#]*\\.(example\\.[a-z]+)', 1) AS feed, regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1) AS href, CASE WHEN page_id % 3 = 0 THEN CAST(page_id % 5 AS VARCHAR) ELSE 'page of ' || regexp_extract(url, '://([^/?#]*)', 1) END AS title FROM pages),
+n AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY page_id) - 1 AS r FROM p WHERE feed <> ''),
+k AS (SELECT *, r // {PAGE} AS page FROM n WHERE NOT (feed = 'example.net' AND r // {PAGE} >= 2)),
+t AS (SELECT *, row_number() OVER (PARTITION BY feed, href ORDER BY regexp_matches(title, '^[0-9]+$'), r) AS place FROM k)
+SELECT feed, href, max(title) FILTER (WHERE place = 1) AS title, count(*) - 1 AS repeats, coalesce(min(title) FILTER (WHERE NOT regexp_matches(title, '^[0-9]+$')) <> max(title) FILTER (WHERE NOT regexp_matches(title, '^[0-9]+$')), false) AS conflict, max(page)::INTEGER AS last_page
+FROM t GROUP BY feed, href""")
+def paged_feed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds read page by page along their cursors and merged by target; one stops at a cursor that is known, one turns back on itself."""
+    host = F.regexp_extract("url", r"://([^/?#]*)", 1)
+    items = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"://[^/?#]*\.(example\.[a-z]+)", 1).alias("feed"), F.regexp_extract("url", r"://[^/?#]*(/[^?#]*)", 1).alias("href"), F.when(F.col("page_id") % 3 == 0, (F.col("page_id") % 5).cast("string")).otherwise(F.concat(F.lit("page of "), host)).alias("title")).where("feed <> ''")
+    numbered = items.withColumn("r", F.row_number().over(Window.partitionBy("feed").orderBy("page_id")) - 1).withColumn("page", F.floor(F.col("r") / PAGE))
+    last = F.max("page").over(Window.partitionBy("feed"))
+    cursor = lambda page: F.when(page == 0, "first").otherwise(F.concat(F.lit("c"), page))
+    after = F.when(F.col("page") < last, cursor(F.col("page") + 1)).when(F.col("feed") == "example.com", "first")
+    path = f"{shared_folder(spark)}/feeds"
+    write_feed(numbered.select("feed", cursor(F.col("page")).alias("cursor"), after.alias("next"), (F.col("r") % PAGE).alias("position"), "href", "title"), path)
+    names = sorted(r.feed for r in numbered.select("feed").distinct().collect())  # the sources' names
+    read = read_feeds(spark, path, names, known={"example.net": "c2"})
+    return merged(read).join(read.groupBy("feed", "href").agg(F.max("page").alias("last_page")), ["feed", "href"])
+
+
+@query("""
+SELECT pass, count(*) AS lines, sum(event_id)::BIGINT AS ids, count(DISTINCT user_id) AS users, true AS bounded, true AS rolled FROM events, (VALUES (1), (2)) p(pass) WHERE pass = 1 OR event_type <> 'view' GROUP BY pass""")
+def rotated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of events as files of bounded size, each batch committed once though it is written twice."""
+    rows, bound, out = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"), 20_000, None
+    for number, part in ((1, rows), (2, rows.where("event_type <> 'view'"))):
+        path = f"{shared_folder(spark)}/log"
+        for batch, own in (("a", part.where("event_id % 2 = 0")), ("b", part.where("event_id % 2 = 1")), ("a", part.where("event_id % 2 = 0"))):
+            append_log(own, path, batch, bound)
+        files = committed(spark, path).agg((F.max("bytes") <= bound).alias("bounded"), (F.count("*") >= F.floor(F.sum("bytes") / bound)).alias("rolled"))
+        read = read_log(spark, path, rows.schema).agg(F.count("*").alias("lines"), F.sum("event_id").alias("ids"), F.count_distinct("user_id").alias("users"))
+        one = read.crossJoin(files).select(F.lit(number).alias("pass"), "*")  # one row each
+        out = one if out is None else out.union(one)
+    return out
