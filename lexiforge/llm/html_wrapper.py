@@ -7,9 +7,12 @@ wrapper: elements of one label under one parent are one item. Where streams
 differ, an item that some pages lack is optional, one that stands twice in a row
 or whose followers lead back to it is a repeated group, and a text that three
 quarters of the item's pages don't share is a slot. Items add up counts and unite the pairs
-of neighbours, so the wrapper does not depend on the order of the pages. Labels
-and texts that fewer than 1 in ``RARE`` of the item's pages have become plain tags
-and slots, which bounds a wrapper by the size of pages, not by their number.
+of neighbours: sums of whole numbers and unions, so the wrapper depends neither on the order
+of the pages nor on how they lie in partitions. Equal pages of a host count as one. Labels that
+fewer than 1 in ``RARE`` of the host's pages have anywhere are told apart from their bare tags
+no more; they are counted by host, exactly, before the first wrapper is made. The texts of items are
+counted by host, item and text as rows of their own, and only those that three quarters
+share come back to the wrapper. Both bound a wrapper by the size of pages, not by their number.
 Pages are aligned within each task, then by salted parts of a host, then by host.
 
 Each page is then matched to its host's wrapper, item by item, and the wrapper
@@ -28,8 +31,8 @@ tells what is its main text:
 
 Defined results: null and empty pages have an empty text; URLs without a host
 share one wrapper. Text ends with the input where markup is cut off. Where nothing
-varies, all of a page's text counts as varying. Repeated rows give equal texts, an
-empty table an empty result. Other columns pass, whatever their names, but one
+varies, all of a page's text counts as varying, as on a host of one page, however often that
+stands. Repeated rows give equal texts, an empty table an empty result. Other columns pass, whatever their names, but one
 named like the result is replaced. Whole pages are read, however long or deep.
 """
 
@@ -48,7 +51,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.storage import settle, table, unused
+from lexiforge.llm.components import Rounds
+from lexiforge.llm.storage import broadcast_few, settle, table, unused
 from lexiforge.llm.url_filter import host_and_path
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
@@ -75,15 +79,13 @@ PLAIN, COMPOUND, AMBIGUOUS, SURE = range(4)
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: The part of the varying text that the article's item has at least.
 MOST = 0.8
-#: Labels and texts must be on one in so many of their item's pages to be told apart.
+#: Labels must be on one in so many of their host's pages to be told apart from their bare tags.
 RARE = 16
-#: Pages from which a wrapper is simplified.
-MANY = 64
 #: Salted parts that a host's wrappers are merged in first.
 PARTS = 32
-#: Items that a task holds before it passes its wrappers on.
+#: Items, texts or labels that a task holds before it passes them on.
 HELD_ITEMS = 200_000
-#: Bytes of all wrappers up to which they are broadcast; beyond, they are joined by shuffle.
+#: Bytes of what is said of all hosts up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 
 
@@ -221,8 +223,11 @@ class Item:
         self.follows: set[tuple[str, str]] = set()
 
 
-def page_wrapper(page: str) -> Item:
-    """The wrapper of a single page: elements of one label under one parent are one item from the start."""
+def page_wrapper(page: str, common: frozenset[str] | None = None) -> Item:
+    """The wrapper of a single page: elements of one label under one parent are one item from the start.
+
+    Labels that aren't ``common`` are their bare tags; without a set of them all are.
+    """
     root = Element("")
     root.item = Item("")
     run: list[tuple[bool, str]] = []
@@ -234,6 +239,8 @@ def page_wrapper(page: str) -> Item:
         if element.name in INLINE or element.no and not element.name == "form":
             return
         kids, label = parent.item.kids, element.label
+        if common is not None and label not in common:
+            label = element.name
         item = kids.get(label)
         if item is None:
             item = kids[label] = Item(label)
@@ -284,28 +291,6 @@ def absorb(into: Item, other: Item) -> Item:
     return into
 
 
-def simplified(root: Item) -> Item:
-    """Rare texts become slots, rare labels their tags."""
-    todo = [root]
-    while todo:
-        item = todo.pop()
-        item.texts = {h: own for h, own in item.texts.items() if RARE * own[0] >= item.pages}
-        rare = [kid for label, kid in item.kids.items() if "." in label and RARE * kid.pages < item.pages]
-        for kid in rare:
-            del item.kids[kid.label]
-            tag = kid.label.split(".")[0]
-            kid.label = tag
-            same = item.kids.setdefault(tag, kid)
-            if same is not kid:
-                absorb(same, kid)
-                same.pages = min(same.pages, item.pages)  # a page may have had both
-        if rare:
-            short = lambda label: label if label in item.kids else label.split(".")[0]  # noqa: E731, B023
-            item.follows = {(a, b) for a, b in ((short(a), short(b)) for a, b in item.follows) if a != b}
-        todo += item.kids.values()
-    return root
-
-
 def aligned(wrappers: list[Item]) -> Item:
     """One wrapper of all, smaller ones first."""
     heap = [(w.pages, i, w) for i, w in enumerate(wrappers)]
@@ -315,10 +300,31 @@ def aligned(wrappers: list[Item]) -> Item:
         (_, _, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
         both = absorb(b, a)
         n += 1
-        heapq.heappush(heap, (both.pages, n, simplified(both) if both.pages >= MANY else both))
+        heapq.heappush(heap, (both.pages, n, both))
     return heap[0][2]
 
 
+@lru_cache(maxsize=1 << 18)
+def step(path: int, label: str) -> int:
+    """The digest of the path to an item, from that to its parent."""
+    return int.from_bytes(hashlib.blake2b(f"{path} {label}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def along(root: Item) -> Iterator[tuple[int, Item]]:
+    """Each item with the digest of its path."""
+    todo = [(0, root)]
+    while todo:
+        path, item = todo.pop()
+        yield path, item
+        todo += [(step(path, label), kid) for label, kid in item.kids.items()]
+
+
+def page_labels(page: str) -> set[str]:
+    """The labels on a page that are more than a tag."""
+    found = {(m[2] or m[5] or "", m[3] or m[6] or "") for m in TAG.finditer(page)}
+    return {label for name, attributes in found if attributes for label in [Element(name.lower(), attributes).label] if "." in label}
+
+
 def flat(root: Item) -> str:
     """As JSON that is nested no deeper however deep the pages are: items before what is in them, each with its depth."""
     rows, todo = [], [(0, root)]
@@ -377,7 +383,7 @@ def plan(wrapper: Item) -> str:
         sums[id(item)] = tuple(x + sum(b[i] for b in below) for i, x in enumerate((item.chars, own[id(item)], item.links)))
     all_varying = sums[id(wrapper)][1]
 
-    def boilerplate(item: Item) -> bool:
+    def boilerplate(item: Item, inside: bool) -> bool:
         kind, (chars, varying, links) = suspicion(item.label), sums[id(item)]
         if not kind or kind < SURE and item.label.split(".")[0] in ("article", "main"):
             return False
@@ -387,9 +393,15 @@ def plan(wrapper: Item) -> str:
             return False
         if kind == SURE:
             return True
-        return kind == AMBIGUOUS if item.times == 1 else varying == 0  # one alone has nothing to compare with
+        return kind == AMBIGUOUS and not inside if item.times == 1 else varying == 0  # one alone has nothing to compare with
 
-    out = {id(item) for _, item, _ in order if boilerplate(item)}
+    out, holding = set(), []  # holding: whether the open items are an article or in one
+    for depth, item, _ in order:
+        del holding[depth:]
+        inside = bool(holding) and holding[-1]
+        if boilerplate(item, inside):
+            out.add(id(item))
+        holding.append(inside or item.label.split(".")[0] in ("article", "main"))
     articles: dict[str, list[int]] = {}
     mains: dict[str, list[int]] = {}
     shown, above = 0, []  # above: (hidden, labels of articles) of the open items
@@ -528,6 +540,8 @@ def main_text(page: str | None, leading: list[frozenset[str]], wrapper: Place, t
 
 
 WRAPPERS = pa.schema([("host", pa.string()), ("part", pa.int32()), ("wrapper", pa.string())])
+#: What a task tells of its pages: wrappers, and (path of an item, text, pages, characters) for texts.
+PARTIAL = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("path", pa.int64()), ("text", pa.int64()), ("pages", pa.int64()), ("chars", pa.int64())])
 
 
 def merged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -535,64 +549,161 @@ def merged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     return pa.table({"host": [key[0].as_py()], "part": [0], "wrapper": [flat(whole)]}, WRAPPERS)
 
 
-def host_wrappers(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
-    """(host, wrapper) by aligning all pages of each host."""
+class Told:
+    """What is said of each host, a text or a list of texts, looked up by pages: broadcast if it is small, else joined."""
+
+    def __init__(self, hosts: DataFrame, size: Column):
+        """``hosts``: (host, told), settled."""
+        self.hosts, self.all = hosts, None
+        if (hosts.agg(F.sum(size + F.length("host"))).first()[0] or 0) <= BROADCAST_BYTES:
+            self.all = hosts.sparkSession.sparkContext.broadcast({r.host: r.told for r in hosts.collect()})
+
+    def beside(self, pages: DataFrame, host: str, told: str) -> DataFrame:
+        """``pages`` with a column ``told``: the host's name as the key of what is broadcast, else what is told of it."""
+        if self.all is not None:
+            return pages.withColumn(told, F.col(host))
+        own = unused(pages, f"_{host}")
+        return pages.join(self.hosts.select(F.col("host").alias(own), F.col("told").alias(told)), F.col(host) == F.col(own), "left").drop(own)
+
+    def reader(self) -> Callable[[object], object]:
+        """For tasks: from the column of ``beside`` to what is told."""
+        sent = self.all
+        return (lambda x: x) if sent is None else lambda x: sent.value.get(x)
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, html), each page of a host once. Only pages that have copies are shuffled, one of each task."""
+    keyed = pages.where("html IS NOT NULL").withColumn("key", F.md5(F.col("html").cast("binary")))
+    repeated = broadcast_few(settle(keyed.groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")))
+    copies = keyed.join(repeated, ["host", "key"], "left_semi").groupBy("host", "key").agg(F.first("html").alias("html"))
+    return keyed.join(repeated, ["host", "key"], "left_anti").select("host", "html").unionByName(copies.select("host", "html"))
+
+
+def common_labels(pages: DataFrame) -> DataFrame:
+    """(host, told): the labels that one in RARE of the host's pages has, at least; exact counts."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[str, str]] = Counter()
+
+        def passed_on() -> pa.RecordBatch:
+            hosts, labels = zip(*held) if held else ((), ())
+            made = pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "label": pa.array(labels, pa.string()), "n": pa.array(held.values(), pa.int64())})
+            held.clear()
+            return made
+
+        for batch in batches:
+            for h, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.update((h, label.encode("utf-8", "replace").decode()) for label in ("", *page_labels(page.as_py())))
+                if len(held) > HELD_ITEMS:
+                    yield passed_on()
+        yield passed_on()
+
+    counts = pages.select("host", "html").mapInArrow(counted, "host string, label string, n long").groupBy("host", "label").agg(F.sum("n").alias("n"))
+    counts = settle(counts)
+    totals = counts.where("label = ''").select("host", F.col("n").alias("pages"))
+    common = counts.where("label <> ''").join(totals, "host").where(F.col("n") * RARE >= F.col("pages"))
+    # so many labels as RARE pages have, at most
+    return settle(common.groupBy("host").agg(F.sort_array(F.collect_list("label")).alias("told")))
+
+
+def host_plans(pages: DataFrame) -> DataFrame:
+    """(host, told): the plan of each host's wrapper, by aligning all its pages (host, html)."""
+    once = distinct_pages(pages)
+    labels = Told(common_labels(once), F.length(F.array_join("told", "")))
+    common_of = labels.reader()
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # wrappers of 1, 2, 4, ... pages of each host: two of about one size are aligned
         held: dict[str, list[Item]] = {}
-
-        def passed_on() -> pa.RecordBatch:
-            made = {"host": list(held), "wrapper": [flat(aligned(own)) for own in held.values()]}
+        texts: dict[tuple[str, int, int], list[int]] = {}
+        sets: dict[str, frozenset[str]] = {}
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            none = [None] * len(held)
+            yield pa.RecordBatch.from_pydict({"host": list(held), "wrapper": [flat(aligned(own)) for own in held.values()], "path": none, "text": none, "pages": none, "chars": none}, PARTIAL)
+            if texts:
+                columns = list(zip(*((h, None, path, text, n, c) for (h, path, text), (n, c) in texts.items())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PARTIAL)], schema=PARTIAL)
             held.clear()
-            return pa.RecordBatch.from_pydict(made, pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+            texts.clear()
 
         for batch in batches:
-            for h, page in zip(batch.column(0), batch.column(1)):
-                own = held.setdefault(h.as_py(), [])
-                own.append(page_wrapper(page.as_py() or ""))
+            for h, page, told in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if h not in sets:
+                    if len(sets) > 256:
+                        sets.clear()
+                    sets[h] = frozenset(common_of(told) or ())
+                whole = page_wrapper(page, sets[h])
+                for path, item in along(whole):
+                    for text, (_, chars) in item.texts.items():
+                        count = texts.setdefault((h, path, text), [0, 0])
+                        count[0], count[1] = count[0] + 1, count[1] + chars
+                    item.texts = {}
+                own = held.setdefault(h, [])
+                own.append(whole)
                 while len(own) > 1 and own[-2].pages <= own[-1].pages:
                     a = own.pop()
                     own[-1] = absorb(own[-1], a)
-                    if own[-1].pages >= MANY:
-                        simplified(own[-1])
-            if sum(size(w) for own in held.values() for w in own) > HELD_ITEMS:
-                yield passed_on()
-        yield passed_on()
+            if len(texts) > HELD_ITEMS or sum(size(w) for own in held.values() for w in own) > HELD_ITEMS:
+                yield from passed_on()
+        yield from passed_on()
 
-    tasks = pages.select(host.alias("host"), F.col(html_col).alias("html")).mapInArrow(folded, "host string, wrapper string")
-    parts = tasks.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS))).groupBy("host", "part").applyInArrow(merged, "host string, part int, wrapper string")
-    return parts.groupBy("host").applyInArrow(merged, "host string, part int, wrapper string").select("host", "wrapper")
+    @F.arrow_udf("array<struct<path:long,item_pages:long>>")
+    def items(wrappers: pa.Array) -> pa.Array:
+        return pa.array(([{"path": path, "item_pages": item.pages} for path, item in along(unflat(w.as_py()))] for w in wrappers), pa.list_(pa.struct([("path", pa.int64()), ("item_pages", pa.int64())])))
+
+    @F.arrow_udf("string")
+    def planned(wrappers: pa.Array, fixed: pa.Array) -> pa.Array:
+        out = []
+        for w, own in zip(wrappers, fixed.to_pylist()):
+            whole, by_path = unflat(w.as_py()), {}
+            for f in own or ():
+                by_path.setdefault(f["path"], {})[f["text"]] = [f["n"], f["chars"]]
+            for path, item in along(whole):
+                item.texts = by_path.get(path, {})
+            out.append(plan(whole))
+        return pa.array(out, pa.string())
+
+    partial = labels.beside(once, "host", "told").select("host", "html", "told").mapInArrow(folded, "host string, wrapper string, path long, text long, pages long, chars long")
+    tables = Rounds(pages.sparkSession)
+    try:
+        partial = tables.keep(partial)
+        parts = partial.where("wrapper IS NOT NULL").select("host", "wrapper", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)).cast("int").alias("part"))
+        salted = parts.groupBy("host", "part").applyInArrow(merged, "host string, part int, wrapper string")
+        wrappers = settle(salted.groupBy("host").applyInArrow(merged, "host string, part int, wrapper string").select("host", "wrapper"))
+        texts = partial.where("text IS NOT NULL").groupBy("host", "path", "text").agg(F.sum("pages").alias("n"), F.sum("chars").alias("chars")).where("n > 1")
+        own = wrappers.select("host", F.inline(items("wrapper")))
+        fixed = texts.join(own, ["host", "path"]).where("4 * n >= 3 * item_pages")
+        # as many as pages have, and a third more at most
+        listed = fixed.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "text", "n", "chars"))).alias("fixed"))
+        return settle(wrappers.join(listed, "host", "left").select("host", planned("wrapper", "fixed").alias("told")))
+    finally:
+        tables.drop()
 
 
 def size(root: Item) -> int:
-    """Items and texts of a wrapper."""
+    """Items of a wrapper."""
     n, todo = 0, [root]
     while todo:
-        item = todo.pop()
-        n += 1 + len(item.texts)
-        todo += item.kids.values()
+        n += 1
+        todo += todo.pop().kids.values()
     return n
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with the main text of each."""
+    host = host_and_path(F.col(url_col))[0]
+    plans = Told(host_plans(pages.select(host.alias("host"), F.col(html_col).alias("html"))), F.length("told"))
+    plan_of = plans.reader()
 
     @F.arrow_udf("string")
-    def planned(wrappers: pa.Array) -> pa.Array:
-        return pa.array([plan(unflat(w.as_py())) for w in wrappers], pa.string())
-
-    @F.arrow_udf("string")
-    def extracted(html: pa.Array, plans: pa.Array) -> pa.Array:
-        return pa.array((main_text(h.as_py(), *places(p.as_py())) for h, p in zip(html, plans)), pa.string())
+    def extracted(html: pa.Array, told: pa.Array) -> pa.Array:
+        return pa.array((main_text(h.as_py(), *places(plan_of(p.as_py()))) for h, p in zip(html, told)), pa.string())
 
-    host = host_and_path(F.col(url_col))[0]
-    page_host, own_host, own_plan = (unused(pages, c) for c in ("_page_host", "_host", "_plan"))
-    hosts = settle(host_wrappers(pages, host, html_col).select(F.col("host").alias(own_host), planned("wrapper").alias(own_plan)))
-    if (hosts.agg(F.sum(F.length(own_plan))).first()[0] or 0) <= BROADCAST_BYTES:
-        hosts = F.broadcast(hosts)
-    joined = pages.withColumn(page_host, host).join(hosts, F.col(page_host) == F.col(own_host), "left")
-    return joined.withColumn(text_col, extracted(html_col, own_plan)).drop(page_host, own_host, own_plan)
+    page_host = unused(pages, "_page_host")
+    numbered = pages.withColumn(page_host, host)
+    told = unused(numbered, "_told")
+    return plans.beside(numbered, page_host, told).withColumn(text_col, extracted(html_col, told)).drop(page_host, told)
 
 
 def op6_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import time
@@ -10,7 +11,8 @@ from html import unescape
 
 import pytest
 
-from lexiforge.llm.html_wrapper import MANY, aligned, extract_main_text, flat, main_text, page_wrapper, places, plan, unflat
+from lexiforge.llm import html_wrapper
+from lexiforge.llm.html_wrapper import aligned, extract_main_text, flat, main_text, page_wrapper, places, plan, unflat
 
 ARTICLE = "<h1>Title {0}</h1><p>The long story of page {0} goes on and on, with word{0} and more of it.</p>"
 TEXT = "Title {0}\n\nThe long story of page {0} goes on and on, with word{0} and more of it."
@@ -124,14 +126,50 @@ def test_the_order_of_pages_does_not_matter(spark):
     assert texts(1) == texts(7)
 
 
-def test_wrappers_are_bounded_by_pages_not_by_their_number():
+def test_rare_labels_are_their_tags(spark):
     page = "<body><div class='x{0}'><p class='y{0}'>One {0}</p></div><div class='story'><p>Story {0}</p></div></body>"
-    names = ["".join(random.Random(i).choices("abcdefgh", k=8)) for i in range(8 * MANY)]
-    whole = aligned([page_wrapper(page.replace("{0}", n)) for n in names])
-    body = whole.kids["body"]
-    assert set(body.kids) == {"div", "div.story"} and body.kids["div"].pages == body.kids["div.story"].pages == len(names)
-    assert not body.kids["div.story"].kids["p"].texts
-    assert main_text(page.replace("{0}", "new"), *places(plan(whole))) == "One new\n\nStory new"
+    names = ["".join(random.Random(i).choices("abcdefgh", k=8)) for i in range(200)]
+    rows = spark.createDataFrame([("h", page.replace("{0}", n)) for n in names], "host string, html string")
+    (found,) = html_wrapper.host_plans(rows).collect()
+    assert {row[1] for row in json.loads(found.told)[1]} == {"", "body", "div", "div.story", "p"}
+    assert main_text(page.replace("{0}", "new"), *places(found.told)) == "One new\n\nStory new"
+
+
+def closing_pages(n=400):
+    """A closing line on three quarters of a host's pages, rare labels, and pages whose texts only the whole host tells of."""
+    draw = random.Random(7)
+    say = lambda k: " ".join(draw.choice(WORDS) + str(draw.randrange(10_000)) for _ in range(k))
+    rows = []
+    for i in range(n):
+        close = "<div>All rights are with the makers of this site</div>" if i < 0.76 * n else "<div>Early " + say(2) + "</div>"
+        rows.append((i, f"https://one.example/{i}", f"<body><div class='c{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}'>{say(3)}</div><div><h1>{say(4)}</h1><p>{say(20)}</p></div>{close}</body>"))
+    return rows
+
+
+@pytest.mark.parametrize("few", [0, 16 << 20])
+def test_partitions_do_not_matter(spark, monkeypatch, few):
+    monkeypatch.setattr(html_wrapper, "BROADCAST_BYTES", few)
+    monkeypatch.setattr(html_wrapper, "HELD_ITEMS", 500)
+    rows = closing_pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    shuffled = random.Random(2).sample(rows, len(rows))
+    layouts = [df.coalesce(1).sortWithinPartitions("page_id"), df.repartitionByRange(4, "page_id"), df.repartition(40), spark.createDataFrame(shuffled, df.schema).repartition(4)]
+    found = [{r.page_id: r.text for r in extract_main_text(layout).collect()} for layout in layouts]
+    assert all(f == found[0] for f in found[1:])
+    assert sum("All rights" in t for t in found[0].values()) == 0 and sum("Early" in t for t in found[0].values()) == 96
+
+
+def test_copies_of_a_page_do_not_matter(spark):
+    page = f"<body><div>Our site</div><article>{ARTICLE}<div class='related'><p>A part of {{0}} that stays.</p></div></article><div>Copyright</div></body>"
+    alone = texts(spark, page, 1)
+    rows = [(i, "https://a.example/", page.replace("{0}", "0")) for i in range(8)]
+    copies = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in copies} == set(alone) == set(expected(TEXT + "\n\nA part of {0} that stays.", 1))
+    assert texts(spark, page, 3) == expected(TEXT + "\n\nA part of {0} that stays.", 3)
+    several = [(i, u, h) for i, u, h in closing_pages(40)]
+    more = several + [several[k] for k in (0, 0, 0, 39, 39)] + [several[1]] * 60
+    by = lambda rows: {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert by(several) == by(more)
 
 
 def test_deep_and_long_pages(spark):
