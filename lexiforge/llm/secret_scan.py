@@ -1,19 +1,24 @@
 """Secret scans by pattern and by compressed size (operator 4).
 
-Three fixed patterns give the base spans. Beyond them, strings in a sensitive
-context (a word such as ``credential`` stands on the same line or the ones beside
-it, or they are in a PEM block) are candidates: zstandard, primed with a dictionary
-of identifiers, compresses the code on both sides with and without the candidate,
-and the bytes that the candidate adds are set against its length. Identifiers, words
-and paths repeat their surroundings or the dictionary and add little; random strings
-add about their whole length and are reported as spans of kind ``novel``, wherever
-in the text they stand again.
-
-The dictionary has the words that identifiers in sensitive contexts are put together
-from, by the number of texts that have them: all texts are counted, and the most
-frequent ``CORPUS_WORDS`` are kept. Only strings that read as words are counted, so
-a secret does not become known by being copied. A list of common ones stands behind
-them for small tables.
+Three fixed patterns give the base spans. Beyond them, every string of eight characters or
+more in a sensitive context (a word such as ``credential`` stands on the same line or the ones
+beside it, or they are in a PEM block) is a candidate. zstandard, primed with a dictionary of
+words, tells how many bytes it adds, in parts of its length: to known words, where only the dictionary
+can make it cheap, and to the text on both sides, where a string that stands there before is
+cheap. No other rule decides: a string that adds more to known words than an identifier of that
+length and kind would, and at least ``WITHIN`` to its surroundings, is a span of kind ``novel``,
+wherever in the text it stands again.
+
+What identifiers add is measured, not assumed: words of the dictionary are put together as
+identifiers are (run together, joined, with numbers), one in ``FOLDS`` of them a word that the measuring
+dictionary lacks, and the limit of a length and kind is what few of them exceed. Numbers are
+held against dates, times and counters, so random digits are rarely told apart from those. Case
+does not count.
+
+The dictionary has the words of sensitive contexts by the number of texts that have them: all
+texts are counted, and the most frequent are kept, as many as asked for. Only strings that read
+as words are counted, so a secret does not become known by being copied. A list of common ones
+stands behind them for small tables.
 
 Defined results: null texts are empty and have no spans. Texts of any length
 are scanned whole, in time that grows with their length; positions are code points,
@@ -25,7 +30,10 @@ words; other columns pass, but one named like the result is replaced.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -47,13 +55,11 @@ KINDS = ("assign", "access", "hex", "novel")
 # Words that make the lines around them sensitive.
 SENSITIVE = re.compile(r"passw(?:or)?d|passphrase|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|signing[\x20_-]?key|credential|bearer|authorization", re.IGNORECASE | re.ASCII)
 SENSITIVE_WORDS = ("passw", "passphrase", "secret", "token", "key", "credential", "bearer", "authorization")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{8,}(?:\.[A-Za-z0-9+/_-]{8,})*={0,2}", re.ASCII)
-#: Short candidates change between kinds of characters at least so often, longer ones between letters and digits, or they don't read as words.
-LONG, CHANGES = 16, 4
-CHANGE = re.compile(r"(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[0-9]|(?<=[0-9])[A-Za-z]", re.ASCII)
-DIGITS = re.compile(r"(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]", re.ASCII)
+CANDIDATE = re.compile(r"""[^\s"'`<>()\[\]{},;:=]{8,}={0,2}""")
+#: What may end a sentence behind a candidate: a full stop, or a mark that stands twice or more.
+TAIL = re.compile(r"(?:[.!?]|([^\w\s=/+-])\1+)\Z")
 #: Words as identifiers are put together from them, and runs without vowels.
-PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", re.ASCII)
+PIECE = re.compile(r"[^\W\d_a-zß-ÿ]?[a-zß-ÿ]+|[^\W\d_a-zß-ÿ]+(?![a-zß-ÿ])")
 CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{6,}", re.ASCII)
 #: A PEM block up to its END line, or to the text's end.
 PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.*?)(?=-----END |\Z)", re.ASCII | re.DOTALL)
@@ -63,11 +69,20 @@ LINES = 1
 WRAPPED = (" ", "\t")
 #: Characters before and after a candidate that count as its surroundings.
 SURROUNDINGS = 256
-#: Compressed bytes added, over the candidate's length.
-NOVEL = 0.7
-
-#: Words of the corpus in the dictionary, and characters of one at most.
-CORPUS_WORDS, WORD_LENGTH = 2000, 40
+#: Words of the corpus in the dictionary unless asked otherwise, and characters of one at most.
+CORPUS_WORDS, WORD_LENGTH = 8000, 40
+#: Lengths at which limits are fitted; between them they are interpolated.
+LENGTHS = (8, 10, 12, 16, 20, 28, 40)
+#: Identifiers measured for each length and kind, and how many of them may be above the limit.
+MEASURED, ABOVE = 200, 5
+#: Parts that the words are dealt out in, to measure each by the others.
+FOLDS = 8
+#: Known words before and after a string that is measured alone, and how often it is, among others.
+AMONG, TIMES = 24, 3
+#: A limit is at least this: strings that add less are no news, however little identifiers add.
+LEAST = 0.6
+#: What a string adds to its surroundings at least, in parts of its length.
+WITHIN = 0.4
 
 # What source code and prose around secrets is made of; it stands behind the corpus's own words.
 IDENTIFIERS = """
@@ -82,30 +97,95 @@ request response header headers body content type json xml html text data payloa
 database table column select insert update create drop where order group by limit index primary foreign
 get set put post patch head options send receive read write open close start stop run execute load save
 message error warning info debug log logger logging format print output input result status code number count
+usr local share lib bin etc var opt home tmp src main certificates certificate cert ssl tls linux unknown x86_64 utf8 unicode general
+authentication provider manager service factory handler controller builder client server worker context module package version user
+reset confirm timeout session identity account profile permission role policy rule event listener callback promise async await
+phone email address street city country language straight forward quick simple complete direct general special number system network
 January February March April May June July August September October November December Monday Sunday
+-----BEGIN PRIVATE KEY----- -----END PRIVATE KEY----- -----BEGIN RSA PRIVATE KEY----- -----END RSA PRIVATE KEY----- -----BEGIN PGP PRIVATE KEY BLOCK-----
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 0000000000000000 xxxxxxxxxxxxxxxx
 your_api_key_here your-token-here changeme placeholder redacted undefined application_default_credentials
 """.encode()
 
 
 class Novelty:
-    """How many bytes a candidate adds to its compressed surroundings."""
+    """How many bytes a candidate adds to its compressed surroundings, in parts of its length; case does not count."""
+
+    def __init__(self, words: bytes = b"", level: int = 9, behind: bytes = IDENTIFIERS):
+        self.compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict((words + b" " + behind).lower(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+        # among known words, as nothing short is compressed by itself
+        draw, known = random.Random(3), (words + b" " + behind).lower().decode("utf-8", "surrogatepass").split()
+        said = lambda: " ".join(draw.choices(known, k=AMONG))
+        self.sides = [(f"{said()} ", f" {said()}") for _ in range(TIMES)]
+        self.nothing = [self.size("".join(sides)) for sides in self.sides]
+
+    def size(self, text: str) -> int:
+        # lone surrogates may stand beside a candidate
+        return len(self.compressor.compress(text.lower().encode("utf-8", "surrogatepass")))
+
+    def alone(self, candidate: str) -> float:
+        return sum(self.size(candidate.join(sides)) - n for sides, n in zip(self.sides, self.nothing)) / TIMES / self.length(candidate)
 
-    def __init__(self, words: bytes = b"", level: int = 9):
-        self.compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words + IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+    def within(self, before: str, candidate: str, after: str) -> float:
+        return (self.size(before + candidate + after) - self.size(before + after)) / self.length(candidate)
 
-    def ratio(self, before: str, candidate: str, after: str = "") -> float:
-        # lone surrogates may stand beside it
-        before_, own, after_ = (x.encode("utf-8", "surrogatepass") for x in (before, candidate, after))
-        added = len(self.compressor.compress(before_ + own + after_)) - len(self.compressor.compress(before_ + after_))
-        return added / len(own)
+    @staticmethod
+    def length(candidate: str) -> int:
+        return len(candidate.encode("utf-8", "surrogatepass"))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def novelty(words: bytes) -> Novelty:
     return Novelty(words)
 
 
+def kind_of(own: str) -> str:
+    """Which characters a string has: strings of one kind are compared."""
+    letters, digits = any(c.isalpha() for c in own), any(c.isdigit() for c in own)
+    return "letters" if letters and not digits else "both" if letters else "number"
+
+
+def identifier(kind: str, words: list[str], length: int, draw: random.Random) -> str:
+    """A string of about ``length`` characters as identifiers of that kind are."""
+    if kind == "number":
+        day = f"{draw.randint(1990, 2039)}{draw.choice('-/.')}{draw.randint(1, 12):02d}-{draw.randint(1, 28):02d}"
+        parts = [day, f"{draw.randint(0, 23):02d}.{draw.randint(0, 59):02d}", str(draw.randint(0, 999) * 10 ** draw.randint(0, 6)), f"{draw.randint(0, 255)}.{draw.randint(0, 255)}.0.1"]
+        own = draw.choice(parts)
+        while len(own) < length:
+            own += draw.choice("-/.+") + draw.choice(parts)
+        return own
+    own, join = "", draw.choice(["", "_", "-", "/", "."])
+    while len(own) < length:
+        own += (join if own else "") + draw.choice(words)
+    return own + str(draw.randint(1, 99)) if kind == "both" else own
+
+
+@lru_cache(maxsize=8)
+def limits(words: bytes) -> dict[str, tuple[float, ...]]:
+    """For each kind the ratios, by LENGTHS, that few identifiers made of the words exceed."""
+    draw, all_ = random.Random(5), sorted({w for w in (words + b" " + IDENTIFIERS).decode("utf-8", "surrogatepass").lower().split() if w.isalpha()})
+    draw.shuffle(all_)
+    others = [Novelty(" ".join(w for i, w in enumerate(all_) if i % FOLDS != k).encode("utf-8", "surrogatepass"), behind=b"") for k in range(FOLDS)]
+    found = {}
+    for kind in ("letters", "both", "number"):
+        row: list[float] = []
+        for length in LENGTHS:
+            ratios = sorted(others[i % FOLDS].alone(identifier(kind, all_, length, draw)) for i in range(MEASURED))
+            # a longer identifier adds no larger part of its length
+            row.append(max(LEAST, min([ratios[-1 - ABOVE], *row])))
+        found[kind] = tuple(row)
+    return found
+
+
+def limit(kind: str, length: int, by_kind: dict[str, tuple[float, ...]]) -> float:
+    """The limit of a length; between the fitted lengths on a line, beyond them as at the last."""
+    row = by_kind[kind]
+    for (a, b), (x, y) in zip(zip(LENGTHS, LENGTHS[1:]), zip(row, row[1:])):
+        if length <= b:
+            return x + (y - x) * max(0, length - a) / (b - a)
+    return row[-1]
+
+
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) by the three patterns."""
     spans = []
@@ -155,21 +235,20 @@ def contexts(text: str) -> list[tuple[int, int]]:
 
 def worded(own: str) -> bool:
     """Are a string's letters put together from what may be words, which compress no better than random letters do?"""
-    letters = [c for c in own.lower() if c.isalpha()]
+    letters = [c for c in unicodedata.normalize("NFD", own.lower()) if c.isalpha()]
     pieces = PIECE.findall(own)
     return len(letters) >= 3 * len(pieces) and 5 * sum(c in "aeiouy" for c in letters) >= len(letters) and not CONSONANTS.search(own.lower())
 
 
-def may_be_secret(own: str) -> bool:
-    """Does a candidate change between letters and digits so often, or read so little like words, that its bytes are worth a look?"""
-    if not re.search("[A-Za-z]", own):
-        return False
-    if len(own) < LONG:
-        return len(CHANGE.findall(own)) >= CHANGES
-    return len(DIGITS.findall(own)) >= CHANGES or not worded(own)
+def candidates(text: str, start: int, stop: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, string) of each candidate of a part of the text."""
+    for m in CANDIDATE.finditer(text, start, stop):
+        own = TAIL.sub("", m.group())
+        if len(own) >= LENGTHS[0]:
+            yield m.start(), m.start() + len(own), own
 
 
-def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], words: bytes = b"") -> list[tuple[int, int, int]]:
+def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], words: bytes, by_kind: dict[str, tuple[float, ...]]) -> list[tuple[int, int, int]]:
     """Incompressible strings in a sensitive context that no base span touches, and all their copies."""
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
@@ -177,28 +256,34 @@ def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], words: by
     for start, _, end in base:
         taken[start:end] = b"\x01" * (end - start)
     novel: dict[str, bool] = {}
+    unknown: dict[str, bool] = {}
+    measure = novelty(words)
     for start, stop in contexts(text):
-        for m in CANDIDATE.finditer(text, start, stop):
-            own = m.group()
-            if novel.get(own) or any(taken[m.start() : m.end()]) or not may_be_secret(own):
+        for a, b, own in candidates(text, start, stop):
+            if novel.get(own) or any(taken[a:b]):
                 continue
-            # copies nearby are no surroundings: they would make any string known
-            before, after = text[max(0, m.start() - SURROUNDINGS) : m.start()].replace(own, ""), text[m.end() : m.end() + SURROUNDINGS].replace(own, "")
-            novel[own] = novelty(words).ratio(before, own, after) >= NOVEL
+            if own not in novel:
+                unknown[own] = measure.alone(own) > limit(kind_of(own), len(own), by_kind)
+            novel[own] = False
+            if unknown[own]:
+                # copies nearby are no surroundings: they would make any string known
+                before, after = text[max(0, a - SURROUNDINGS) : a].replace(own, ""), text[b : b + SURROUNDINGS].replace(own, "")
+                novel[own] = measure.within(before, own, after) >= WITHIN
     if not any(novel.values()):
         return []
-    return [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if novel.get(m.group()) and not any(taken[m.start() : m.end()])]
+    return [(a, 3, b) for a, b, own in candidates(text, 0, len(text)) if novel.get(own) and not any(taken[a:b])]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(text: str | None, words: bytes = b"") -> dict:
+def scan(text: str | None, words: bytes = b"", by_kind: dict[str, tuple[float, ...]] | None = None) -> dict:
+    """The spans of a text; ``by_kind``: limits, else those of the words."""
     text = text or ""
     low = text.lower()  # only tells which patterns can match at all
     base = base_spans(text, low)
-    spans = sorted(base + novel_spans(text, low, base, words))
+    spans = sorted(base + novel_spans(text, low, base, words, by_kind or limits(words)))
     n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
     return {"n_assign": n[0], "n_access": n[1], "n_hex": n[2], "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "spans": joined(spans), "found": [{"kind": KINDS[k], "start": a, "end": b, "string": text[a:b]} for a, k, b in spans]}
 
@@ -216,7 +301,7 @@ def context_words(text: str | None) -> list[str]:
     return sorted(w for w in set(found) if 3 <= len(w) <= WORD_LENGTH and worded(w))
 
 
-def dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
+def dictionary(docs: DataFrame, text_col: str = "text", corpus_words: int = CORPUS_WORDS) -> bytes:
     """The words of most texts' sensitive contexts, the most frequent last: there zstandard refers to them most cheaply."""
 
     @F.arrow_udf("array<string>")
@@ -224,23 +309,25 @@ def dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
         return pa.array([context_words(t.as_py()) for t in texts], pa.list_(pa.string()))
 
     counts = docs.select(F.explode(listed(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    words = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect()]
+    words = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(corpus_words).collect()]
     return " ".join(reversed(words)).encode("utf-8", "surrogatepass")
 
 
 def secrets(text: Column, words: bytes = b"") -> Column:
     """A struct of the counts, the digest of the base spans, all spans as text and as an array with the strings found."""
 
+    by_kind = limits(words)
+
     @F.arrow_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:bigint,end:bigint,string:string>>")
     def scanned(texts: pa.Array) -> pa.Array:
-        return pa.array([scan(t.as_py(), words) for t in texts], RESULT)
+        return pa.array([scan(t.as_py(), words, by_kind) for t in texts], RESULT)
 
     return scanned(text)
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", result_col: str = "secrets", words: bytes | None = None) -> DataFrame:
-    """``docs`` with the secrets of each text; words: a dictionary in place of that of ``docs``."""
-    return docs.withColumn(result_col, secrets(F.col(text_col), dictionary(docs, text_col) if words is None else words))
+def scan_secrets(docs: DataFrame, text_col: str = "text", result_col: str = "secrets", words: bytes | None = None, corpus_words: int = CORPUS_WORDS) -> DataFrame:
+    """``docs`` with the secrets of each text; words: a dictionary in place of that of ``docs``, which has ``corpus_words`` words."""
+    return docs.withColumn(result_col, secrets(F.col(text_col), dictionary(docs, text_col, corpus_words) if words is None else words))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
