@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions import text as X
 from lexiforge.operators import html
 from lexiforge.operators.profile import Profile
+from lexiforge.operators.selectors import PageProfile, detail
 from lexiforge.plans.registry import query
 from lexiforge.sources.tables import table
 
@@ -208,3 +209,28 @@ def profiled_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "pages").select("page_id", F.explode(html.projection(F.col("html"))["links"]).alias("l"))
     slugs = links.select("page_id", PROFILE.parse(F.col("l.href")).alias("slug")).where("slug is not null")
     return slugs.groupBy("slug").agg(F.count_distinct("page_id").alias("pages")).withColumn("url", PROFILE.render(F.col("slug")))
+
+
+#: Two sources' profiles, as they are stored: one has lines in elements of their own, the other in its paragraphs and headings.
+PROFILES = {
+    "verses": {"origin": "https://verses.example.org", "path": "/{slug}", "title": 'meta[property="og:title"], title', "content": "body > article", "lines": "p.verse, div.verse > span", "fallback": "p", "links": "nav li > a", "author": 'a[rel="author"], nav ul a'},
+    "prose": {"origin": "https://prose.example.com", "path": "/{slug}", "title": "article > h1", "content": "article", "lines": "h1, p", "fallback": "div", "links": "nav a", "author": "a.author"},
+}
+DECODED_SQL = "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&middot;', '·'), '&amp;', '&')"
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, CASE WHEN regexp_matches(url, '://[^/?#]*\.org([/?#]|$)') THEN 'verses' ELSE 'prose' END AS profile, html, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article FROM pages),
+n AS (SELECT *, list_transform(list_slice(string_split(article, '<p>'), 2, 100000), lambda x: regexp_replace(x, '(?s)</p>.*', '')) AS ps, regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM p),
+x AS (SELECT *, list_transform(CASE WHEN profile = 'prose' THEN list_concat([h1], ps) ELSE ps END, lambda y: regexp_replace(regexp_replace(y, '<br>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g')) AS texts FROM n),
+l AS (SELECT *, list_transform(string_split(array_to_string(texts, chr(10)), chr(10)), lambda y: trim({DECODED_SQL.format("y")})) AS ls FROM x),
+e AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: ls[i] <> '') AS filled FROM l),
+s AS (SELECT *, CASE WHEN len(filled) = 0 THEN [] ELSE list_slice(ls, filled[1], filled[-1]) END AS own FROM e)
+SELECT page_id, profile, trim(regexp_split_to_array({DECODED_SQL.format("CASE WHEN profile = 'prose' THEN h1 ELSE t END")}, '\s+-\s+')[1]) AS title, CASE WHEN profile = 'prose' THEN 'lines' ELSE 'fallback' END AS mode,
+  len(own)::INTEGER AS lines, sha256(array_to_string(own, chr(10))) AS digest, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href'))::INTEGER AS links,
+  CASE WHEN profile = 'verses' THEN regexp_extract(html, '(?s)<nav><ul><li><a href="([^"]*)"', 1) END AS author FROM s""")
+def profiled_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, lines, links and authors of pages by the selectors of their source's profile; lines from a fallback where it has none, without outer blank ones."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "html", F.when(F.col("url").rlike(r"://[^/?#]*\.org(?:[/?#]|\z)"), "verses").otherwise("prose").alias("profile"))
+    found = rows.select("page_id", "profile", detail(F.col("html"), F.col("profile"), {n: PageProfile.from_json(p) for n, p in PROFILES.items()}).alias("d"))
+    return found.select("page_id", "profile", "d.title", "d.mode", F.size("d.lines").alias("lines"), F.sha2(F.array_join("d.lines", "\n"), 256).alias("digest"), F.size("d.links").alias("links"), "d.author")
