@@ -227,11 +227,30 @@ class References(Keys):
             self.found.setdefault(low)
 
 
+def no_number(name: str):
+    raise NotJson(name)
+
+
 def references_of(payload: str | None) -> list[str]:
-    reader = References()
+    """The references of a payload; the library reads it, or, where it is too deep for that, the reader without recursion."""
+    reader, todo = References(), []
     try:
-        reader.read(payload or "")
-    except NotJson:
+        todo.append(json.loads(payload or "", parse_constant=no_number, parse_int=len, parse_float=len))
+        while todo:
+            value = todo.pop()
+            if isinstance(value, str):
+                reader.text(value)
+            elif isinstance(value, list):
+                todo += value
+            elif isinstance(value, dict):
+                todo += value.values()
+    except RecursionError:
+        reader = References()
+        try:
+            reader.read(payload or "")
+        except NotJson:
+            return []
+    except ValueError:
         return []
     return list(reader.found)
 

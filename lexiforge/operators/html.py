@@ -1,4 +1,4 @@
-"""Structured records from HTML, and lossless segments of text."""
+"""Links of HTML pages, and lossless segments of text."""
 
 from __future__ import annotations
 
@@ -12,55 +12,45 @@ from pyspark.sql import functions as F
 SEGMENT = re.compile(r"[^\W_]+|[\W_]+")
 
 
-class Projection(HTMLParser):
-    """Title, links with their texts, and paragraphs."""
+class Links(HTMLParser):
+    """The targets of links, with their texts."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.title, self.links, self.paragraphs = "", [], []
-        self.inside, self.href = "", None
+        self.links: list[list[str]] = []
+        self.inside = False
 
     def handle_starttag(self, tag, attrs):
-        if tag == "title":
-            self.inside = "title"
-        elif tag == "a":
-            self.href = dict(attrs).get("href")
-            if self.href is not None:
-                self.links.append([self.href, ""])
-        elif tag == "p":
-            self.paragraphs.append("")
-            self.inside = "p"
+        if tag == "a":
+            href = dict(attrs).get("href")
+            self.inside = href is not None
+            if self.inside:
+                self.links.append([href, ""])
 
     def handle_endtag(self, tag):
-        if tag in ("title", "p"):
-            self.inside = ""
-        elif tag == "a":
-            self.href = None
+        if tag == "a":
+            self.inside = False
 
     def handle_data(self, data):
-        if self.inside == "title":
-            self.title += data
-        elif self.href is not None:
+        if self.inside:
             self.links[-1][1] += data
-        elif self.inside == "p":
-            self.paragraphs[-1] += data
 
 
-def read_page(page: str | None) -> dict:
-    parser = Projection()
+def read_links(page: str | None) -> list[dict[str, str]]:
+    parser = Links()
     parser.feed(page or "")
     parser.close()
-    return {"title": parser.title.strip(), "links": [{"href": h, "name": n.strip()} for h, n in parser.links], "paragraphs": [p.strip() for p in parser.paragraphs]}
+    return [{"href": href, "name": name.strip()} for href, name in parser.links]
 
 
-def projection(page: Column) -> Column:
-    """(title, links, paragraphs) of a page."""
+def links(page: Column) -> Column:
+    """(href, name) of each link of a page."""
 
-    @F.pandas_udf("title string, links array<struct<href:string,name:string>>, paragraphs array<string>")
-    def project(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_page(p) for p in pages], columns=["title", "links", "paragraphs"])
+    @F.pandas_udf("array<struct<href:string,name:string>>")
+    def listed(pages: pd.Series) -> pd.Series:
+        return pages.map(read_links)
 
-    return project(page)
+    return listed(page)
 
 
 def segments(text: Column) -> Column:

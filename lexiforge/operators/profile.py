@@ -1,4 +1,4 @@
-"""Declarative profiles of sources: which elements a page's records stand in, and how their paths are made. No code and no patterns."""
+"""Declarative routes of sources: how their paths are made. No code and no patterns."""
 
 from __future__ import annotations
 
@@ -13,19 +13,16 @@ PLACEHOLDER = re.compile(r"\{([a-z]+)\}")
 
 @dataclass(frozen=True)
 class Profile:
-    """origin: scheme and host; title: the element that names a page; path: a template of one placeholder, such as ``/poem/{slug}.html``."""
+    """origin: scheme and host; path: a template of one placeholder, such as ``/poem/{slug}.html``."""
 
     origin: str
     path: str
-    title: str = "title"
 
     def __post_init__(self):
         if not re.fullmatch(r"https://[a-z0-9.-]+", self.origin):
             raise ValueError(f"no origin: {self.origin}")
         if len(PLACEHOLDER.findall(self.path)) != 1 or not self.path.startswith("/") or re.search(r"[?#\s\\]", self.path) or re.search(r"[{}]", PLACEHOLDER.sub("", self.path)):
             raise ValueError(f"no path template: {self.path}")
-        if not re.fullmatch(r"[a-z][a-z0-9]*", self.title):
-            raise ValueError(f"no element: {self.title}")
 
     def parts(self) -> tuple[str, str]:
         """What stands before and after the placeholder."""
@@ -42,7 +39,3 @@ class Profile:
     def render(self, value: Column) -> Column:
         before, after = self.parts()
         return F.concat(F.lit(self.origin + before), value, F.lit(after))
-
-    def name(self, page: Column) -> Column:
-        """The text of the first title element."""
-        return F.trim(F.regexp_extract(page, rf"(?is)<{self.title}(?:\s[^>]*)?>(.*?)</{self.title}", 1))

@@ -214,13 +214,13 @@ def response_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT o_orderkey, length('{"key":' || o_orderkey || ',"state":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}') + 1 AS bytes FROM orders WHERE o_totalprice > 1000),
+WITH s AS (SELECT o_orderkey, length('{"key":' || o_orderkey || ',"state":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}') + 1 AS bytes FROM orders),
 f AS (SELECT *, sum(bytes) OVER (ORDER BY o_orderkey) AS running, row_number() OVER (ORDER BY o_orderkey) AS r FROM s WHERE bytes <= 6000)
 SELECT o_orderkey, CAST(running AS BIGINT) AS running FROM f WHERE running <= 6000 AND r <= 100""")
 def request_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items in order under a bound of serialised bytes, commas included, and of their number."""
     item = F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("priority")))
-    sized = table(spark, sf_dir, "orders").where("o_totalprice > 1000").select("o_orderkey", (F.octet_length(item) + 1).alias("bytes"))
+    sized = table(spark, sf_dir, "orders").select("o_orderkey", (F.octet_length(item) + 1).alias("bytes"))
     return budget_prefix(sized, "o_orderkey", "bytes", 6000, items=100).select("o_orderkey", F.col("running").cast("long").alias("running"))
 
 

@@ -143,21 +143,21 @@ def newest_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH u AS (SELECT l_orderkey, l_linenumber, CASE WHEN count(*) = 1 THEN max(l_partkey) END AS p FROM lineitem GROUP BY ALL)
-SELECT o_orderkey, p AS outcome FROM orders LEFT JOIN u ON l_orderkey = o_orderkey AND l_linenumber = 1""")
+SELECT o_orderkey, l_linenumber AS line, p AS outcome FROM orders LEFT JOIN u ON l_orderkey = o_orderkey""")
 def unique_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An outcome whose id stands twice counts as missing, as null."""
-    outcomes = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_partkey").alias("p")).where("n = 1")
-    return table(spark, sf_dir, "orders").join(outcomes, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.col("p").alias("outcome"))
+    outcomes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.when(F.count("*") == 1, F.max("l_partkey")).alias("p"))
+    return table(spark, sf_dir, "orders").join(outcomes, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.col("l_linenumber").alias("line"), F.col("p").alias("outcome"))
 
 
 @query("""
-WITH c AS (SELECT c_custkey % 100 AS ordinal, c_custkey AS revision FROM customer WHERE c_acctbal > 5000),
+WITH c AS (SELECT c_custkey % 100 AS ordinal, c_custkey AS revision FROM customer),
 r AS (SELECT *, count(*) OVER (PARTITION BY ordinal) AS candidates, row_number() OVER (PARTITION BY ordinal ORDER BY revision) AS k FROM c)
 SELECT ordinal, revision, candidates, candidates > 1 AS ambiguous FROM r WHERE k = 1""")
 def ambiguity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first candidate and how many there are."""
     w = Window.partitionBy("ordinal")
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select((F.col("c_custkey") % 100).alias("ordinal"), F.col("c_custkey").alias("revision"))
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 100).alias("ordinal"), F.col("c_custkey").alias("revision"))
     ranked = c.withColumns({"candidates": F.count("*").over(w), "k": F.row_number().over(w.orderBy("revision"))})
     return ranked.where("k = 1").select("ordinal", "revision", "candidates", (F.col("candidates") > 1).alias("ambiguous"))
 

@@ -57,7 +57,7 @@ def fingerprint_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT event_id, json_valid(props) AS valid, CASE WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') THEN 'number' WHEN json_type(props, '$.k') IS NULL THEN 'missing' ELSE 'other' END AS k_type,
-  len(json_keys(props)) = 1 AS exact_keys, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) BETWEEN 0 AND 99 AS in_range FROM events""")
+  len(json_keys(props)) = 1 AS exact_keys, CAST(json_extract(props, '$.k') AS BIGINT) BETWEEN 0 AND 99 AS in_range FROM events""")
 def json_typed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads are parsed once; types are tested, not coerced."""
     v = F.try_parse_json("props")
@@ -67,7 +67,7 @@ def json_typed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         v.isNotNull().alias("valid"),
         F.when(kind == "BIGINT", "number").when(kind.isNull(), "missing").otherwise("other").alias("k_type"),
         (F.size(F.json_object_keys("props")) == 1).alias("exact_keys"),
-        F.coalesce(F.try_variant_get(v, "$.k", "bigint"), F.lit(-1)).between(0, 99).alias("in_range"),
+        F.try_variant_get(v, "$.k", "bigint").between(0, 99).alias("in_range"),
     )
 
 
@@ -99,10 +99,10 @@ def bucket_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 SELECT page_id, 'https://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(.)/$', '\1') AS canonical,
-  coalesce(try_cast(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) AS BIGINT), -1) AS number FROM pages""")
+  try_cast(nullif(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1), '') AS BIGINT) AS number FROM pages""")
 def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical URLs and the number in their path template."""
-    return table(spark, sf_dir, "pages").select("page_id", X.canonical_url(F.col("url")).alias("canonical"), F.coalesce(F.regexp_extract("url", "/[a-z]{2}/([0-9]+)", 1).try_cast("long"), F.lit(-1)).alias("number"))
+    return table(spark, sf_dir, "pages").select("page_id", X.canonical_url(F.col("url")).alias("canonical"), F.regexp_extract("url", "/[a-z]{2}/([0-9]+)", 1).try_cast("long").alias("number"))
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*')) AS INT) AS words, array_to_string(list_slice(regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*'), 1, 3), ' ') AS head FROM documents")
@@ -133,7 +133,7 @@ WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^
 SELECT href, count(*) AS links, count(DISTINCT page_id) AS pages FROM a GROUP BY href""")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by target, repeats counted."""
-    links = table(spark, sf_dir, "pages").select("page_id", F.explode(html.projection(F.col("html"))["links"]).alias("l"))
+    links = table(spark, sf_dir, "pages").select("page_id", F.explode(html.links(F.col("html"))).alias("l"))
     return links.groupBy(F.col("l.href").alias("href")).agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("pages"))
 
 
@@ -194,7 +194,7 @@ WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([
 SELECT href, count(*) - 1 AS repeats, count(DISTINCT name) > 1 AS conflict FROM a GROUP BY href""")
 def html_link_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all pages of a feed, one for each target; repeats are counted, other names for it are a conflict."""
-    links = table(spark, sf_dir, "pages").select(F.explode(html.projection(F.col("html"))["links"]).alias("l")).select("l.href", "l.name")
+    links = table(spark, sf_dir, "pages").select(F.explode(html.links(F.col("html"))).alias("l")).select("l.href", "l.name")
     return links.groupBy("href").agg((F.count("*") - 1).alias("repeats"), (F.min("name") != F.max("name")).alias("conflict"))
 
 
@@ -206,7 +206,7 @@ WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^
 SELECT slug, 'https://source.example.org/' || slug AS url, count(DISTINCT page_id) AS pages FROM p WHERE slug <> '' GROUP BY slug""")
 def profiled_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links that fit a source's path template, rendered as URLs of its origin."""
-    links = table(spark, sf_dir, "pages").select("page_id", F.explode(html.projection(F.col("html"))["links"]).alias("l"))
+    links = table(spark, sf_dir, "pages").select("page_id", F.explode(html.links(F.col("html"))).alias("l"))
     slugs = links.select("page_id", PROFILE.parse(F.col("l.href")).alias("slug")).where("slug is not null")
     return slugs.groupBy("slug").agg(F.count_distinct("page_id").alias("pages")).withColumn("url", PROFILE.render(F.col("slug")))
 
