@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexiforge.llm import exact_dedup, html_wrapper, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter
+from lexiforge.llm import decontamination, exact_dedup, html_wrapper, importance_resampling, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter
 
 LONG = "alpha beta gamma delta epsilon " * 20_000 + "token = abcdef123456"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,6 +60,8 @@ WHOLE = {
     "pages": lambda spark, d: html_wrapper.extract_main_text(d, url_col="source", html_col="text", text_col="main"),
     "near": lambda spark, d: jaccard_join.near_duplicates(d),
     "exact": lambda spark, d: exact_dedup.exact_groups(d, exact_dedup.older_half(d)),
+    "leaks": lambda spark, d: decontamination.contamination(d, d.limit(3), item_id_col="doc_id", keep_text=True, spans_col="spans"),
+    "resampled": lambda spark, d: importance_resampling.resample(d, d.limit(3), percent=50, min_words=1),
 }
 
 
