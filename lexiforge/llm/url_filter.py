@@ -3,7 +3,9 @@
 Rules of host and path decide first; the longest that fits wins. They also give
 the examples: pages that a rule blocks or allows are the two classes of a
 multinomial naive Bayes model over the words of host and path, which judges the
-pages without a rule. Further examples may be given as a table of judged URLs.
+pages without a rule. A word of a host and the same word of a path are two tokens: what
+a country's name says in a host it need not say in a path. Further examples may be given as
+a table of judged URLs.
 
 Host labels are cut into words first. All substrings of a label that are as long as
 some word of the lexicon are joined with it, and a Viterbi pass finds the cut of the
@@ -146,6 +148,14 @@ def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
     return hosts.join(own, "host", "left").select("host", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
+def host_tokens(words: Column) -> Column:
+    return F.transform(words, lambda w: F.concat(F.lit("host "), w))
+
+
+def path_tokens(path: Column) -> Column:
+    return F.transform(letters(path), lambda w: F.concat(F.lit("path "), w))
+
+
 def examples(pairs: DataFrame, column: str) -> DataFrame:
     """(column, block, allow): the pages of each class by host or path."""
     count = lambda says: F.coalesce(F.sum(F.when(F.col("known") == says, F.col("n"))), F.lit(0)).alias(says)
@@ -154,8 +164,8 @@ def examples(pairs: DataFrame, column: str) -> DataFrame:
 
 def bayes(hosts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, float]:
     """(word, odds), the log odds of ``block`` with add-one smoothing, and those of a page before any word; from pairs whose verdict is ``known``."""
-    of_hosts = examples(pairs, "host").join(hosts, "host").select(F.explode("words").alias("word"), "block", "allow")
-    of_paths = examples(pairs, "path").select(F.explode(letters(F.col("path"))).alias("word"), "block", "allow")
+    of_hosts = examples(pairs, "host").join(hosts, "host").select(F.explode(host_tokens(F.col("words"))).alias("word"), "block", "allow")
+    of_paths = examples(pairs, "path").select(F.explode(path_tokens(F.col("path"))).alias("word"), "block", "allow")
     counts = settle(of_hosts.union(of_paths).groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")))
     total = counts.agg(F.sum("block").alias("all_block"), F.sum("allow").alias("all_allow"), F.count("*").alias("v"))
     odds = F.log((F.col("block") + 1) / (F.col("all_block") + F.col("v"))) - F.log((F.col("allow") + 1) / (F.col("all_allow") + F.col("v")))
@@ -190,8 +200,8 @@ def judge_urls(pages: DataFrame, url_col: str = "url", host_col: str = "host", p
     odds = settle(odds)
     # only what no rule decides is scored
     open_pairs = pairs.where("known is null")
-    host_odds = hosts.join(open_pairs.select("host").distinct(), "host").select("host", F.explode("words").alias("word")).join(odds, "word").groupBy("host").agg(F.sum("odds").alias("host_odds"))
-    path_odds = open_pairs.select("path").distinct().select("path", F.explode(letters(F.col("path"))).alias("word")).join(odds, "word").groupBy("path").agg(F.sum("odds").alias("path_odds"))
+    host_odds = hosts.join(open_pairs.select("host").distinct(), "host").select("host", F.explode(host_tokens(F.col("words"))).alias("word")).join(odds, "word").groupBy("host").agg(F.sum("odds").alias("host_odds"))
+    path_odds = open_pairs.select("path").distinct().select("path", F.explode(path_tokens(F.col("path"))).alias("word")).join(odds, "word").groupBy("path").agg(F.sum("odds").alias("path_odds"))
     score = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0))
     own = [unused(pages, c) for c in ("_host", "_path", "_rule", "_verdict", "_own_host", "_own_path")]
     found = with_host_odds(pairs, host_odds, hosts).join(path_odds, "path", "left")
