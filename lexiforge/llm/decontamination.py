@@ -31,6 +31,7 @@ doesn't (unless asked for); output columns replace columns of their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -71,20 +72,22 @@ def joined(low: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> str:
 def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
     """(item, words, size, width, shingles) for each window of each item; shingles are of ``width`` words."""
 
+    def cut(batch: pa.RecordBatch) -> Iterator[tuple]:
+        at = 0
+        for low, begins, ends, hashes, first in words_of(batch.column(1)):
+            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                size = min(window, b - a)
+                width = min(shingle, size)
+                for s in range(a, b - size + 1) if size else ():
+                    h = chained(hashes, np.arange(s, s + size - width + 1), width)
+                    yield batch.column(0)[at + i].as_py(), joined(low, begins[s : s + size], ends[s : s + size]), size, width, h.view(np.int64).tolist()
+            at += len(first) - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
         for batch in batches:
-            at = 0
-            for low, begins, ends, hashes, first in words_of(batch.column(1)):
-                rows = []
-                for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                    size = min(window, b - a)
-                    width = min(shingle, size)
-                    for s in range(a, b - size + 1) if size else ():
-                        h = chained(hashes, np.arange(s, s + size - width + 1), width)
-                        rows.append((batch.column(0)[at + i].as_py(), joined(low, begins[s : s + size], ends[s : s + size]), size, width, h.view(np.int64).tolist()))
-                at += len(first) - 1
-                for k in range(0, len(rows), PLACES):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + PLACES]), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], names=["item", "words", "size", "width", "shingles"])
+            for rows in batched(cut(batch), PLACES):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["item", "words", "size", "width", "shingles"])
 
     return items.mapInArrow(run, "item string, words string, size int, width int, shingles array<long>")
 
@@ -130,19 +133,9 @@ def screened(docs: DataFrame, text_col: str, names: list[str], bits, widths: lis
         for batch in batches:
             column = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
             counts: list[np.ndarray] = []
-            held: list[tuple] = []
-
-            def rows_of(held: list[tuple]) -> pa.RecordBatch:
+            for held in batched(places(column(names[0]), column(text_col), counts), PLACES):
                 found = dict(zip(names, zip(*held)))
-                return pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) if f.name in found else pa.nulls(len(held), f.type) for f in out], schema=out)
-
-            for place in places(column(names[0]), column(text_col), counts):
-                held.append(place)
-                if len(held) == PLACES:
-                    yield rows_of(held)
-                    held = []
-            if held:
-                yield rows_of(held)
+                yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) if f.name in found else pa.nulls(len(held), f.type) for f in out], schema=out)
             if batch.num_rows:
                 own = {c: column(c) for c in passed} | {names[1]: pa.array(np.concatenate(counts), pa.int64())}
                 yield pa.RecordBatch.from_arrays([own[f.name] if f.name in own else pa.nulls(batch.num_rows, f.type) for f in out], schema=out)

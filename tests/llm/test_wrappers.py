@@ -12,7 +12,7 @@ from html import unescape
 import pytest
 
 from lexiforge.llm import html_wrapper
-from lexiforge.llm.html_wrapper import aligned, extract_main_text, flat, main_text, page_wrapper, places, plan, unflat
+from lexiforge.llm.html_wrapper import aligned, extract_main_text, flat, main_text, page_wrapper, places, unflat
 
 ARTICLE = "<h1>Title {0}</h1><p>The long story of page {0} goes on and on, with word{0} and more of it.</p>"
 TEXT = "Title {0}\n\nThe long story of page {0} goes on and on, with word{0} and more of it."
