@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import predicates as P
-from lexiforge.functions import text as X
 from lexiforge.functions.alignment import filled
 from lexiforge.plans.alignment import filled_sql
 from lexiforge.plans.payloads import UNSAFE_SQL
