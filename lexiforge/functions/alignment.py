@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed pattern of a refusal or of an assistant's own words around a text; letter case doesn't count.
@@ -109,35 +112,69 @@ def script_runs(line: Column, word: str = ARABIC_WORD) -> Column:
     return F.regexp_extract_all(line, F.lit(f"[{word}]+|[^{word}]+"), F.lit(0))
 
 
+def running(lengths: Column, flags: Column) -> Column:
+    """(stop, token) for each element of two arrays: the sum of the lengths so far, and how many flags were set before this one."""
+
+    @F.arrow_udf("array<struct<stop:bigint,token:bigint>>")
+    def summed(lengths: pa.Array, flags: pa.Array) -> pa.Array:
+        n = pc.list_value_length(lengths).fill_null(0).to_numpy(zero_copy_only=False)
+        begins = np.concatenate(([0], np.cumsum(n)))
+
+        def along(values: np.ndarray) -> np.ndarray:
+            total = np.concatenate(([0], np.cumsum(values.astype(np.int64))))
+            return total[1:] - np.repeat(total[begins[:-1]], n)
+
+        own, set_ = lengths.flatten().to_numpy(zero_copy_only=False), flags.flatten().to_numpy(zero_copy_only=False)
+        rows = pa.StructArray.from_arrays([pa.array(along(own)), pa.array(along(set_) - set_.astype(np.int64))], ["stop", "token"])
+        return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), rows)
+
+    return summed(lengths, flags)
+
+
 def segments(rows: DataFrame, keys: list[str], line: str, word: str = ARABIC_WORD) -> DataFrame:
     """(keys, segment, kind, surface, start, stop, token_index) of each segment of each line; offsets in characters, token_index for words only.
 
-    Segments are placed by running sums within a line, so a line may have any number of them.
+    A line is cut, and its segments are placed, where it lies: nothing is shuffled.
     """
-    cut = rows.select(*keys, F.posexplode(script_runs(F.col(line), word)).alias("segment", "surface"))
-    along = Window.partitionBy(*keys).orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
-    is_word = F.col("surface").rlike(rf"\A[{word}]")
-    placed = cut.withColumns({"kind": F.when(is_word, "word").otherwise("text"), "stop": F.sum(F.length("surface")).over(along), "words": F.sum(is_word.cast("long")).over(along)})
-    return placed.select(*keys, "segment", "kind", "surface", (F.col("stop") - F.length("surface")).alias("start"), "stop", F.when(F.col("kind") == "word", F.col("words") - 1).alias("token_index"))
+    cut = rows.select(*keys, script_runs(F.col(line), word).alias("s"))
+    marked = cut.withColumns({"n": F.transform("s", F.length), "w": F.transform("s", lambda x: x.rlike(rf"\A[{word}]"))})
+    placed = marked.withColumn("at", running(F.col("n"), F.col("w")))
+    each = placed.select(*keys, F.posexplode(F.arrays_zip("s", "n", "w", "at")).alias("segment", "x"))
+    kind = F.when(F.col("x.w"), "word").otherwise("text")
+    return each.select(*keys, "segment", kind.alias("kind"), F.col("x.s").alias("surface"), (F.col("x.at.stop") - F.col("x.n")).alias("start"), F.col("x.at.stop").alias("stop"), F.when(F.col("x.w"), F.col("x.at.token")).alias("token_index"))
+
+
+def swept(words: np.ndarray, glosses: np.ndarray) -> list[dict]:
+    """(kind, start, stop) of the stretches of words that no gloss covers, and of those that two or more do; intervals are rows of (start, stop)."""
+    at = np.concatenate((words.ravel(), glosses.ravel()))
+    if not len(at):
+        return []
+    step = np.tile([1, -1], len(at) // 2)
+    is_word = np.arange(len(at)) < words.size
+    places, of = np.unique(at, return_inverse=True)
+    # boundaries are added up in order: no pair of intervals is formed
+    inside, covered = (np.cumsum(np.bincount(of, weights=step * side, minlength=len(places)))[:-1] for side in (is_word, ~is_word))
+    kind = np.where((inside > 0) & (covered == 0), 1, np.where(covered > 1, 2, 0))
+    begins = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1]))) if len(kind) else np.zeros(0, int)
+    ends = np.append(begins[1:], len(kind))
+    return [{"kind": "gap" if kind[a] == 1 else "overlap", "start": int(places[a]), "stop": int(places[b])} for a, b in zip(begins, ends) if kind[a]]
 
 
 def gloss_cover(words: DataFrame, glosses: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, kind, start, stop) for what glosses leave uncovered of a line's words (``gap``) and cover twice (``overlap``).
 
-    ``words`` and ``glosses`` are intervals (start, stop) of lines. Boundaries are added up in order, as a sweep: no pair of
-    intervals is formed, and neighbouring stretches of one kind are one.
+    ``words`` and ``glosses`` are intervals (start, stop) of lines; a line's are packed before they are
+    shuffled, and swept in one row. Neighbouring stretches of one kind are one.
     """
-    edge = lambda rows, is_word: rows.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("stop").alias("at"), F.lit(-1).alias("step")))).alias("e"), F.lit(is_word).alias("w"))
-    edges = edge(words, 1).union(edge(glosses, 0)).groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum(F.col("e.step") * F.col("w")).alias("word"), F.sum(F.col("e.step") * (1 - F.col("w"))).alias("gloss"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    swept = edges.select(*keys, F.col("at").alias("start"), F.lead("at").over(order).alias("stop"), F.sum("word").over(upto).alias("in_words"), F.sum("gloss").over(upto).alias("in_glosses"))
-    kind = F.when((F.col("in_words") > 0) & (F.col("in_glosses") == 0), "gap").when(F.col("in_glosses") > 1, "overlap")
-    marked = swept.withColumn("kind", kind).where("stop is not null and start < stop")
-    by_place = Window.partitionBy(*keys).orderBy("start")
-    begins = ~F.col("kind").eqNullSafe(F.lag("kind").over(by_place)) | (F.lag("stop").over(by_place) != F.col("start"))
-    numbered = marked.withColumn("run", F.sum(begins.cast("int")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.where("kind is not null").groupBy(*keys, "run", "kind").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
+
+    @F.arrow_udf("array<struct<kind:string,start:bigint,stop:bigint>>")
+    def covered(words: pa.Array, glosses: pa.Array) -> pa.Array:
+        pairs = lambda own: np.array([(x["start"], x["stop"]) for x in own or ()], np.int64).reshape(-1, 2)
+        return pa.array((swept(pairs(w), pairs(g)) for w, g in zip(words.to_pylist(), glosses.to_pylist())), pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])))
+
+    packed = lambda rows, name: rows.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias(name))
+    both = packed(words, "words").join(packed(glosses, "glosses"), keys, "full_outer")
+    return both.select(*keys, F.inline(covered(F.col("words"), F.col("glosses"))))
 
 
 def gloss_findings(words: DataFrame, glosses: DataFrame, keys: list[str]) -> DataFrame:
