@@ -144,20 +144,19 @@ def segments(rows: DataFrame, keys: list[str], line: str, word: str = ARABIC_WOR
     return each.select(*keys, "segment", kind.alias("kind"), F.col("x.s").alias("surface"), (F.col("x.at.stop") - F.col("x.n")).alias("start"), F.col("x.at.stop").alias("stop"), F.when(F.col("x.w"), F.col("x.at.token")).alias("token_index"))
 
 
-def swept(words: np.ndarray, glosses: np.ndarray) -> list[dict]:
-    """(kind, start, stop) of the stretches of words that no gloss covers, and of those that two or more do; intervals are rows of (start, stop)."""
+def swept(words: np.ndarray, glosses: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind (1 or 2), start and stop of the stretches of words that no gloss covers, and of those that two or more do; intervals are rows of (start, stop)."""
     at = np.concatenate((words.ravel(), glosses.ravel()))
-    if not len(at):
-        return []
     step = np.tile([1, -1], len(at) // 2)
     is_word = np.arange(len(at)) < words.size
     places, of = np.unique(at, return_inverse=True)
     # boundaries are added up in order: no pair of intervals is formed
     inside, covered = (np.cumsum(np.bincount(of, weights=step * side, minlength=len(places)))[:-1] for side in (is_word, ~is_word))
     kind = np.where((inside > 0) & (covered == 0), 1, np.where(covered > 1, 2, 0))
-    begins = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1]))) if len(kind) else np.zeros(0, int)
+    begins = np.flatnonzero(np.diff(kind, prepend=-1))
     ends = np.append(begins[1:], len(kind))
-    return [{"kind": "gap" if kind[a] == 1 else "overlap", "start": int(places[a]), "stop": int(places[b])} for a, b in zip(begins, ends) if kind[a]]
+    told = kind[begins] > 0
+    return kind[begins[told]], places[begins[told]], places[ends[told]]
 
 
 def gloss_cover(words: DataFrame, glosses: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,8 +168,16 @@ def gloss_cover(words: DataFrame, glosses: DataFrame, keys: list[str]) -> DataFr
 
     @F.arrow_udf("array<struct<kind:string,start:bigint,stop:bigint>>")
     def covered(words: pa.Array, glosses: pa.Array) -> pa.Array:
-        pairs = lambda own: np.array([(x["start"], x["stop"]) for x in own or ()], np.int64).reshape(-1, 2)
-        return pa.array((swept(pairs(w), pairs(g)) for w, g in zip(words.to_pylist(), glosses.to_pylist())), pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])))
+        def intervals(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            return np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(2)], axis=1).astype(np.int64), np.concatenate(([0], np.cumsum(n)))
+
+        (w, of_words), (g, of_glosses) = intervals(words), intervals(glosses)
+        found = [swept(w[of_words[i] : of_words[i + 1]], g[of_glosses[i] : of_glosses[i + 1]]) for i in range(len(words))]
+        kinds, starts, stops = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(3))
+        rows = pa.StructArray.from_arrays([pa.array(np.array(["", "gap", "overlap"])[kinds]), pa.array(starts), pa.array(stops)], ["kind", "start", "stop"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32)), rows)
 
     packed = lambda rows, name: rows.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias(name))
     both = packed(words, "words").join(packed(glosses, "glosses"), keys, "full_outer")
