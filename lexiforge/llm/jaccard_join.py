@@ -51,6 +51,8 @@ WIDTH = 5
 NEED = (75, 100)
 #: Shingles that a bucket of hash space is sized for.
 BUCKET_SHINGLES = 3_000_000
+#: Parts in which a bucket's shingles are unpacked.
+PARTS = 16
 #: Texts sampled for common shingles, and tasks that count them; those in one of ``COMMON`` of them are, at most MOST_COMMON.
 SAMPLED_TEXTS, SAMPLE_TASKS, COMMON, MOST_COMMON = 20_000, 8, 500, 65_536
 #: Sets whose keys agree by chance, at most; about one is expected among 10^10 sets.
@@ -83,7 +85,7 @@ def pack(ids: np.ndarray) -> bytes:
     return np.ascontiguousarray(ids.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def unpack(data: bytes) -> np.ndarray:
+def unpack(data: bytes | pa.Buffer) -> np.ndarray:
     six = np.frombuffer(data, np.uint8).reshape(-1, 6)
     out = np.zeros((len(six), 8), np.uint8)
     out[:, :6] = six
@@ -137,9 +139,26 @@ def blob(keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> dict[str, byte
 
 def unblob(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, sizes, ids) of each shingle of all blobs."""
-    read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in rows[name]]
+    read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in rows[name]]
     runs = np.concatenate(read("runs", np.uint32))
-    return np.repeat(np.concatenate(read("keys", np.int64)), runs), np.repeat(np.concatenate(read("sizes", np.uint32)), runs), np.concatenate([unpack(x.as_py()) for x in rows["ids"]])
+    return np.repeat(np.concatenate(read("keys", np.int64)), runs), np.repeat(np.concatenate(read("sizes", np.uint32)), runs), np.concatenate([unpack(x.as_buffer()) for x in rows["ids"]])
+
+
+def in_parts(rows: pa.Table) -> Iterator[pa.Table]:
+    """The blobs of a bucket, some at a time."""
+    step = max(1, -(-rows.num_rows // PARTS))
+    return (rows.slice(a, step) for a in range(0, rows.num_rows, step))
+
+
+def repeated_ids(rows: pa.Table) -> np.ndarray:
+    """The shingles that stand in the blobs more than once, sorted; no more than the shingles themselves is held."""
+    every, at = np.empty(sum(len(x.as_buffer()) for x in rows["ids"]) // 6, np.uint64), 0
+    for x in rows["ids"]:
+        ids = unpack(x.as_buffer())
+        every[at : at + len(ids)] = ids
+        at += len(ids)
+    every.sort()
+    return np.unique(every[1:][every[1:] == every[:-1]])
 
 
 def is_in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -182,12 +201,13 @@ def shared_shingles(blobs: DataFrame, n_buckets: int, n_groups: int, common: np.
     """
 
     def keep(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        keys, sizes, ids = unblob(rows)
-        order = np.argsort(ids, kind="stable")
-        keys, sizes, ids = keys[order], sizes[order], ids[order]
-        same = ids[1:] == ids[:-1]
-        twice = np.concatenate(([False], same)) | np.concatenate((same, [False])) | is_in(ids, common)
-        keys, sizes, ids = keys[twice], sizes[twice], ids[twice]
+        # most shingles are of one class: only the others are unpacked with their classes
+        stay, found = np.union1d(repeated_ids(rows), common), []
+        for keys, sizes, ids in map(unblob, in_parts(rows)):
+            told = is_in(ids, stay)
+            found.append((keys[told], sizes[told], ids[told]))
+        keys, sizes, ids = map(np.concatenate, zip(*found))
+        del found
         order = np.lexsort((keys, ids))
         keys, sizes, ids = keys[order], sizes[order], ids[order]
         new = np.ones(len(ids), bool)
@@ -252,10 +272,6 @@ def as_links(pairs: list[tuple[int, int]], keys: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
 
 
-def read_sets(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    return rows["key"].to_numpy(), [unpack(x.as_py()) for x in rows["ids"]], rows["n"].to_numpy()
-
-
 def links_within(rows: DataFrame) -> DataFrame:
     """Links (a, b) that join the sets of each ``part`` of ``rows`` (task, part, side, key, n, ids, label) to its components.
 
@@ -264,14 +280,14 @@ def links_within(rows: DataFrame) -> DataFrame:
     """
 
     def inside(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        keys, sets, sizes = read_sets(rows)
+        keys, sizes, ids = rows["key"].to_numpy(), rows["n"].to_numpy(), rows["ids"].combine_chunks()
         parts, sides = rows["part"].to_numpy(), rows["side"].to_numpy()
         groups = Groups(rows["label"].to_numpy())
         order = np.argsort(parts, kind="stable")
         cuts = np.flatnonzero(np.diff(parts[order])) + 1
         found = []
         for own in np.split(order, cuts):
-            tree = lambda which: SignatureTree([sets[i] for i in which], sizes[which], which)
+            tree = lambda which: SignatureTree([unpack(ids[i].as_buffer()) for i in which.tolist()], sizes[which], which)
             left = own[sides[own] == sides[own].min()]
             one = tree(left)
             found += links(one, one if len(left) == len(own) else tree(own[sides[own] != sides[own].min()]), groups, NEED)
@@ -280,9 +296,9 @@ def links_within(rows: DataFrame) -> DataFrame:
     return rows.select("task", "part", "side", "key", "n", "ids", "label").groupBy("task").applyInArrow(inside, LINK)
 
 
-def packed(rows: DataFrame, part: Column, sets: DataFrame) -> DataFrame:
-    """``rows`` with small parts put together to tasks of about ``PACK_BYTES``, as far as the size of ``sets`` tells."""
-    total = sets.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
+def packed(rows: DataFrame, part: Column, sizes: DataFrame) -> DataFrame:
+    """``rows`` with small parts put together to tasks of about ``PACK_BYTES``; ``sizes`` has the ``bytes`` of each row."""
+    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     return rows.withColumns({"part": part, "task": F.pmod(part, F.lit(max(1, -(-total // PACK_BYTES))))})
 
 
@@ -316,8 +332,11 @@ def large_block_links(rows: DataFrame) -> DataFrame:
     narrow = second.select("block", "key", "label")
     meeting = along_shingles(postings, lists.join(broadcast_few(costs.where("along <= around").select("block")), "block", "left_semi"))
     meeting = meeting.union(around_the_rest(narrow, costs.where("along > around").select("block", "main", "chunks", "tiles")))
-    sets = settle(meeting).join(second.select("key", "label", "n", "ids"), "key")
-    return edges.union(links_within(packed(sets, F.col("met"), second)))
+    meeting = settle(meeting)
+    # a set meets others in many parts: tasks are sized by its copies
+    copies = meeting.join(second.select("key", F.octet_length("ids").alias("bytes")), "key")
+    sets = meeting.join(second.select("key", "label", "n", "ids"), "key")
+    return edges.union(links_within(packed(sets, F.col("met"), copies)))
 
 
 MEET = ("key", "side", "met")
@@ -349,7 +368,7 @@ def link_edges(blocks: DataFrame) -> DataFrame:
     rows = blocks.join(sizes, "block")
     small = rows.where(F.col("size") <= TILE).withColumns({"side": F.lit(0), "label": F.col("key")})
     large = rows.where(F.col("size") > TILE).withColumn("tile", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / TILE)))
-    edges = links_within(packed(small, F.col("block"), blocks))
+    edges = links_within(packed(small, F.col("block"), small.select(F.octet_length("ids").alias("bytes"))))
     if not sizes.where(F.col("size") > TILE).isEmpty():
         edges = edges.union(large_block_links(gathered(settle(large.select("block", "tile", "key", "n", "ids", "prefix")), SETS_A_TASK // 2)))
     return edges
