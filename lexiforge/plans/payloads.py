@@ -9,7 +9,7 @@ from lexiforge.functions import canonical as C
 from lexiforge.functions import payloads as P
 from lexiforge.functions import text as X
 from lexiforge.plans.registry import query
-from lexiforge.sources.tables import table
+from lexiforge.sources.tables import spread, table
 
 #: RE2's form of predicates.UNSAFE.
 UNSAFE_SQL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{202A}-\x{202E}\x{2066}-\x{2069}]"
@@ -127,8 +127,11 @@ def canonical_json_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digests of a nested payload's canonical forms: keys by UTF-16 unit in two places, by collation in two, numbers as doubles."""
     pieces = ['{ "b": "', "o_orderstatus", r'", "_x": -0.0, "1": 9007199254740993, "é": [', "o_custkey", r', null, {"q": 1.50, "p": 1E21} ], "f": "é\ud800", "B": true, "e": ', "floor(o_totalprice)", ".0}"]
     payload = F.concat(*[F.expr(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", payload.alias("p"))
-    return rows.select("o_orderkey", *[F.sha2(C.canonical_json(F.col("p"), v), 256).alias(v) for v in C.VARIANTS])
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_totalprice"), "o_orderkey").select("o_orderkey", payload.alias("p"))
+    forms = rows.select("o_orderkey", C.canonical_json_forms(F.col("p")).alias("f"))
+    # each of the two forms is written and digested once, for all variants that have it
+    digests = forms.select("o_orderkey", *[F.sha2(f"f.{form}", 256).alias(form) for form in ("unit", "letter")])
+    return digests.select("o_orderkey", *[F.col("letter" if of_letter else "unit").alias(v) for v, of_letter in C.VARIANTS.items()])
 
 
 # Names and spellings: (case, text, its search form).

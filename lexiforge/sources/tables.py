@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task of heavy work on each row is sized for.
+ROWS_A_TASK = 50_000
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt anew by ``keys``, for work that is heavy where their files are small: a small file is read by one task."""
+    return rows.repartition(max(1, -(-rows.count() // ROWS_A_TASK)), *keys)
+
+
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType, longest_line: int = 1 << 20) -> DataFrame:
     """One JSON object a line; blank lines are skipped, a malformed or overlong line fails the read, with its file and beginning."""
     lines = spark.read.text(path).select("value", "_metadata.file_name").where(F.trim("value") != "")

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.functions.canonical import VARIANTS, NotJson, canonical, canonical_json, number, references
+from lexiforge.functions.canonical import VARIANTS, Keys, NotJson, Writer, canonical, canonical_forms, canonical_json, keys_of, number, references
 
 # Numbers as ECMAScript writes them.
 NUMBERS = {
@@ -86,3 +86,36 @@ def test_glob_classes(spark, pattern, fits, fails):
 
     rows = spark.createDataFrame([(t, True) for t in fits] + [(t, False) for t in fails], "t string, fits boolean")
     assert rows.where(F.col("t").rlike(glob(pattern)) != F.col("fits")).count() == 0
+
+
+def test_the_library_and_the_readers_agree():
+    rng = random.Random(11)
+    letters = ["a", "b", "é", "B", "\ud800", "😀", "～", '"', "\\", "\n", "\x7f", " ", "1", "_"]
+    value = lambda d: [number_text, text, listed, keyed][rng.randrange(4 if d < 4 else 2)](d + 1)
+    number_text = lambda _: rng.choice([*NUMBERS, "0.00012", "1e16", "12345678901234567.5", "1e400", "-123456789012345", "99999999999999999999999.5"])
+    text = lambda _: json.dumps("".join(rng.choices(letters, k=rng.randrange(3))), ensure_ascii=rng.random() < 0.5)
+    listed = lambda d: f"[{' ,'.join(value(d) for _ in range(rng.randrange(4)))}]"
+    keyed = lambda d: "{" + ", ".join(f"{text(d)} : {value(d)}" for _ in range(rng.randrange(5))) + "}"
+    for payload in (value(0) for _ in range(3000)):
+        try:
+            read = Writer().read(payload)
+        except NotJson:
+            read = None
+        assert canonical(payload) == read
+        if read is not None:
+            keys = Keys()
+            keys.read(payload)
+            assert keys_of(payload) == list(keys.found)
+            order = rng.sample(range(len(keys.found)), len(keys.found))
+            named = list(keys.found)
+            assert canonical_forms(payload, order) == (read, Writer({named[at]: rank for rank, at in enumerate(order)}).read(payload))
+
+
+def test_work_on_orders_is_spread(spark, sf_dir, monkeypatch):
+    from lexiforge.plans import QUERIES
+    from lexiforge.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 300)
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    assert rows.rdd.getNumPartitions() == 1
+    assert QUERIES["canonical_json_variants"](spark, sf_dir).rdd.getNumPartitions() == -(-rows.count() // 300)
