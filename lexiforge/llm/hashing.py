@@ -12,6 +12,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text hashed at a time; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
+#: Bytes whose sums are held at a time while a block's words are hashed; a longer word is hashed alone.
+SUMMED_BYTES = 1 << 17
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -30,7 +32,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
-            size = max(n, BLOCK_BYTES)
+            size = max(n, SUMMED_BYTES)
             steps = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
             for s in steps:
                 s[0] = 1
@@ -78,10 +80,18 @@ def cut_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WH
 
 
 def hashes_of(low: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of each word."""
-    up, down = POWERS.upto(len(low))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up)))
-    return mixed((total[ends] - total[begins]) * down[begins], 7)
+    """The hash of each word; it doesn't depend on the word's place, so sums of some words at a time do."""
+    found, start = np.empty(len(begins), np.uint64), 0
+    while start < len(begins):
+        first = int(begins[start])
+        stop = max(start + 1, int(np.searchsorted(ends, first + SUMMED_BYTES, "right")))
+        own = low[first : int(ends[stop - 1])]
+        up, down = POWERS.upto(len(own))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((own.astype(np.uint64) + np.uint64(1)) * up)))
+        begin, end = begins[start:stop] - first, ends[start:stop] - first
+        found[start:stop] = mixed((total[end] - total[begin]) * down[begin], 7)
+        start = stop
+    return found
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.storage import table
+from lexiforge.llm.storage import table, unused
 
 MARKER = "▁"
 #: How far the score of an unknown character is below the least one.
@@ -44,6 +45,8 @@ REMEMBERED_CHUNKS = 200_000
 REMEMBERED_BYTES = 64
 #: Characters of texts whose new chunks are cut together.
 TOGETHER = 500_000
+#: Bytes of texts that are strings of Python, or decoded, at a time.
+SLICE_BYTES = 1 << 20
 
 
 #: The check of a slot that no state has.
@@ -265,15 +268,43 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def few_at_a_time(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of about ``SLICE_BYTES``; a longer text is a run of its own."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def listed(ids: bytes | bytearray, counts: list[int]) -> pa.ListArray:
+    """Packed identifiers as lists; they are not copied."""
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), len(ids) // 4, [None, pa.py_buffer(ids)]))
+
+
+def cut_and_checked(texts: pa.Array, model: PieceModel, check: bool = True) -> tuple[pa.ListArray, pa.Array]:
+    """Each text's pieces, and whether they decode to it; only few texts at a time are strings of Python or are decoded."""
+    every, counts, same = bytearray(), [], [pa.array([], pa.bool_())]
+    for few in few_at_a_time(texts):
+        found = model.encode_all(few.to_pylist())
+        own = [len(f) // 4 for f in found]
+        packed = b"".join(found)
+        if check:
+            same.append(pc.equal(model.decode_all(listed(packed, own)), few.fill_null("")))
+        every += packed
+        counts += own
+    return listed(every, counts), pa.concat_arrays(same)
+
+
 def encoded(text: Column, model_path: str) -> Column:
     """The identifiers of the text's pieces."""
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        model = piece_model(model_path)
-        found = model.encode_all(texts.to_pylist())
-        offsets = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        return cut_and_checked(texts, piece_model(model_path), check=False)[0]
 
     return encode(text)
 
@@ -289,10 +320,20 @@ def decoded(ids: Column, model_path: str) -> Column:
 
 
 def encode_and_decode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "piece_ids", count_col: str = "n_pieces", same_col: str = "round_trip") -> DataFrame:
-    """``docs`` with the pieces' identifiers, their number and whether they decode to the same text."""
-    made = docs.withColumn(ids_col, encoded(F.col(text_col), model_path))
-    same = decoded(F.col(ids_col), model_path) == F.coalesce(F.col(text_col), F.lit(""))
-    return made.withColumns({count_col: F.size(ids_col).cast("long"), same_col: same})
+    """``docs`` with the pieces' identifiers, their number and whether they decode to the same text.
+
+    Texts are decoded where they are cut: decode(encode(text)) beside encode(text)
+    would cut every text twice, and send it back once more to be compared.
+    """
+
+    @F.arrow_udf("ids array<int>, same boolean")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(cut_and_checked(texts, piece_model(model_path)), ["ids", "same"])
+
+    row = unused(docs, "_cut")
+    made = docs.withColumn(row, cut(F.col(text_col)))
+    ids, same = F.col(f"{row}.ids"), F.col(f"{row}.same")
+    return made.withColumns({ids_col: ids, count_col: F.size(ids).cast("long"), same_col: same}).drop(row)
 
 
 def default_model() -> str:
